@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
 
@@ -21,8 +21,17 @@ def _collapse_slashes(path: Column) -> Column:
 
 def technique_of(path: Column, benign: str = V.DEFAULT_BENIGN_PATHS) -> Column:
     """Technique of a request path: 'benign' and 'unknown' are answers too."""
-    clean = _collapse_slashes(path)
-    chain = (F.when(path.isNull() | (path == ""), F.lit("unknown"))
+    return _technique_of_clean(_collapse_slashes(path), benign)
+
+
+def with_technique(df: DataFrame, benign: str = V.DEFAULT_BENIGN_PATHS) -> DataFrame:
+    """Adds technique; the cleaned path is a projection of its own, computed once."""
+    return (df.withColumn("_clean", _collapse_slashes(F.col("path")))
+            .withColumn("technique", _technique_of_clean(F.col("_clean"), benign)).drop("_clean"))
+
+
+def _technique_of_clean(clean: Column, benign: str) -> Column:
+    chain = (F.when(clean.isNull() | (clean == ""), F.lit("unknown"))
              .when(clean.rlike(f"(?i){benign}") | clean.rlike(f"(?i){V.ALWAYS_BENIGN_PATHS}"),
                    F.lit("benign")))
     for name, _, pattern in V.TECHNIQUE_RULES:

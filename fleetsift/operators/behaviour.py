@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.access import parse_access, request_from_fields
+from ..functions.access import FIELDS, with_request
 from ..functions.clients import (claims_browser, crawler_claim, crawler_verdict, is_asset,
                                  is_candid, ua_anachronism)
+from ..functions.staging import only_where
 from ..functions.times import clf_time, int_div
 from .runs import longest_run
 
@@ -16,10 +17,9 @@ def client_requests(events: DataFrame) -> DataFrame:
 
     `at` is the line's own clock where it has one, else the row's timestamp.
     """
-    parsed = events.select("id", "timestamp", F.coalesce(
-        request_from_fields(F.col("kv")), parse_access(F.col("raw"), "profiler")).alias("r"))
-    return (parsed.filter(F.col("r").isNotNull()).select("id", "timestamp", "r.*")
+    rows = (with_request(events.select("id", "timestamp", "raw", "kv"))
             .withColumn("at", F.coalesce(clf_time(F.col("when")), "timestamp")))
+    return only_where(rows, F.col("ip").isNotNull(), [*FIELDS, "at"], ["id", "timestamp"])
 
 
 def client_agents(requests: DataFrame) -> DataFrame:

@@ -7,21 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
-from ..functions.access import event_to_hit
-from ..functions.documents import first_nonempty
+from ..functions.access import with_hit
+from ..functions.staging import only_where
 from ..functions.techniques import (TECHNIQUES, actor_profile, actor_score, fingerprint,
-                                    tactic_of, technique_of)
+                                    tactic_of, with_technique)
 
 
 def access_hits(events: DataFrame, benign: str = V.DEFAULT_BENIGN_PATHS) -> DataFrame:
     """One row per request: id, timestamp, ip, path, method, status, target, technique."""
-    hit = events.select("id", "timestamp",
-                        F.coalesce(F.try_element_at("labels", F.lit("instance")),
-                                   F.lit("unknown")).alias("target"),
-                        event_to_hit(F.col("raw"), F.col("kv")).alias("hit"))
-    return (hit.filter(F.col("hit").isNotNull())
-            .select("id", "timestamp", "target", "hit.*")
-            .withColumn("technique", technique_of(F.col("path"), benign)))
+    rows = events.select("id", "timestamp", "raw", "kv",
+                         F.coalesce(F.try_element_at("labels", F.lit("instance")),
+                                    F.lit("unknown")).alias("target"))
+    return only_where(with_technique(with_hit(rows), benign),
+                      F.col("ip").isNotNull() & F.col("path").isNotNull(),
+                      ["ip", "path", "method", "status", "technique"], ["id", "timestamp", "target"])
 
 
 def split_internal(hits: DataFrame, internal: DataFrame) -> tuple[DataFrame, DataFrame]:
