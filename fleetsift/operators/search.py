@@ -7,7 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
-from ..functions.documents import OBJECT_AS_MAP
 from ..functions.times import as_timestamp, seconds
 
 
@@ -31,11 +30,12 @@ def _any_field(df: DataFrame, value: str) -> Column:
     if "kv_v" not in df.columns:
         return plain
     is_text = lambda v: F.schema_of_variant(v) == "STRING"
-    same = lambda v: is_text(v) & (v.cast("string") == value)
-    listed = lambda v: F.exists(F.try_variant_get(v, "$", "array<variant>"), same)
-    typed = F.exists(F.map_values(F.try_variant_get("kv_v", "$", OBJECT_AS_MAP)),
-                     lambda v: F.coalesce(same(v), F.lit(False)) | F.coalesce(listed(v), F.lit(False)))
-    return F.when(F.col("kv_v").isNull(), plain).otherwise(typed)
+    same = lambda v: F.coalesce(is_text(v) & (v.cast("string") == value), F.lit(False))
+    listed = lambda v: F.coalesce(F.exists(F.try_variant_get(v, "$", "array<variant>"), same), F.lit(False))
+    typed = F.exists(F.map_values("kv_v"), lambda v: same(v) | listed(v))
+    untyped = F.exists(F.map_entries("kv"), lambda e: (e["value"] == value)
+                       & ~F.map_contains_key("kv_v", e["key"]))
+    return F.when(F.col("kv_v").isNull(), plain).otherwise(typed | untyped)
 
 
 def is_network() -> Column:

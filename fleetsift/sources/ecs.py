@@ -83,6 +83,6 @@ def map_ecs(documents: DataFrame, as_of, max_depth: int = 8) -> DataFrame:
         (F.col("_f.message").isNotNull() | F.col("_request")).alias("stored"),
         F.coalesce("_f.dataset", F.lit("unstructured")).alias("event"), labels.alias("labels"),
         F.map_concat(rest, mapped, suspect).alias("kv"),
-        F.map_filter("_typed", lambda k, _: ~k.isin(claimed)).alias("kv_typed"),
+        F.map_filter("_typed", lambda k, _: ~k.isin(claimed)).alias("kv_v"),
         F.coalesce("_f.message", F.when(F.col("_request"), line)).alias("raw"),
         F.col("_clamped.ts").alias("ts"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -20,7 +21,12 @@ FILE = T.StructType([
 ])
 
 
-@dataclass(frozen=True)
+def if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """df with a broadcast hint when it has at most max_rows rows, else as it is."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+@dataclass
 class Topology:
     """nodes (id, name, type, ip, ips, role), edges, and the collector's own node id."""
     nodes: DataFrame
@@ -38,6 +44,16 @@ class Topology:
         ips = self.nodes.select(F.explode("ips").alias("alias"), F.col("id").alias("node_id"), F.lit(0).alias("own"))
         return ids.union(ips).groupBy("alias").agg(F.max_by("node_id", F.struct("own", "node_id")).alias("node_id"))
 
+    @cached_property
+    def lookup(self) -> DataFrame:
+        """aliases, hinted for broadcast only after its size was looked at."""
+        return if_small(self.aliases())
+
+    @cached_property
+    def ids(self) -> DataFrame:
+        """(node_id), hinted for broadcast only after its size was looked at."""
+        return if_small(self.nodes.select(F.col("id").alias("node_id")).distinct())
+
     def internal_addresses(self) -> DataFrame:
         """(ip) of everything that resolves to a declared node."""
         return self.aliases().filter(~F.col("node_id").startswith("external:")).select(F.col("alias").alias("ip"))
