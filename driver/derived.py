@@ -13,6 +13,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fleetsift.session import scratch_path
+from fleetsift.sources.events import write_events
+
 PATHS = [
     "/.env", "/.ssh/id_rsa", "/.git/config", "/Jenkinsfile",
     "/fetch?url=http://169.254.169.254/latest/meta-data/", "/proxy", "/vendor/phpunit/eval-stdin.php",
@@ -124,5 +127,14 @@ def to_events(flat: DataFrame) -> DataFrame:
         kv.alias("kv"), F.lit(0.0).alias("latency_us"), "raw")
 
 
+_TABLES: dict[tuple, str] = {}
+
+
 def log(spark: SparkSession, sf_dir: str, clock: str = "real") -> DataFrame:
-    return to_events(flat_log(spark, sf_dir, clock))
+    """The derived log as a stored table, written once per session to the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, clock)
+    if key not in _TABLES:
+        path = scratch_path(spark, f"log-{clock}")
+        write_events(to_events(flat_log(spark, sf_dir, clock)), path, mode="overwrite")
+        _TABLES[key] = path
+    return spark.read.parquet(_TABLES[key])

@@ -261,6 +261,7 @@ def search_subgraph(edges: DataFrame, topology: Topology, flows: DataFrame | Non
         live = _merge_history_flows(live, edges, past)
     seed = ip or instance
     if seed and depth > 1:
+        live = cut_lineage(live)
         all_nodes = live.select(F.explode(F.array("source", "target")).alias("id")).distinct()
         found = find_seed(all_nodes, seed, topology)
         if not found.isEmpty():

@@ -40,7 +40,8 @@ def read_rules(rules: DataFrame, max_rules: int = 20_000) -> list[Rule]:
 
 def covers(line: Column, java_pattern) -> Column:
     """The first match spans at least 70 % of the stripped line."""
-    found = F.length(F.regexp_extract(line, java_pattern, 0))
+    pattern = java_pattern if isinstance(java_pattern, Column) else F.lit(java_pattern)
+    found = F.length(F.call_function("regexp_extract", line, pattern, F.lit(0)))
     text = F.length(F.trim(line))
     return (text > 0) & (found >= text * V.MIN_COVERAGE)
 
