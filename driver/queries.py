@@ -404,7 +404,18 @@ def critical_lines(s, d):
 
 # ---- graph ---------------------------------------------------------------------------------
 
+_FLEETS: dict[str, TY.Topology] = {}
+
+
 def fleet(s) -> TY.Topology:
+    """The declared topology, built and measured once per session."""
+    key = s.sparkContext.applicationId
+    if key not in _FLEETS:
+        _FLEETS[key] = _declared_fleet(s)
+    return _FLEETS[key]
+
+
+def _declared_fleet(s) -> TY.Topology:
     nodes = s.createDataFrame([
         ("hub", "collector", "server", "10.0.0.250", ["192.0.2.10"], "collects"),
         ("hub:ingest", None, "service", None, None, None), ("hub:dnsmasq", None, "service", None, None, None),

@@ -14,6 +14,8 @@ from .threats import raise_reason
 
 def threat_findings(actors: DataFrame, detail: list[str] | None = None) -> DataFrame:
     """Detections (kind, subject, instance, severity_hint, evidence) for actors worth raising."""
+    if "inconsistency" not in actors.columns:
+        actors = actors.withColumn("inconsistency", F.lit(None).cast("long"))
     reason = raise_reason()
     high = F.arrays_overlap(F.map_keys("techniques"), F.array(*[F.lit(t) for t in V.ESCALATE_ONCE]))
     detail = detail or [c for c in actors.columns if c not in ("newest",)]

@@ -22,8 +22,10 @@ def ingest_lines(lines: DataFrame, rules: list[Rule], as_of) -> DataFrame:
     rows = match_templates(text.withColumn("_t", clamped), rules)
     status = (F.when(is_noise(F.col("raw"), F.col("labels")), "filtered")
               .when(F.col("event") == "unstructured", "unstructured").otherwise("matched"))
-    return rows.select("id", F.col("_t.ts").alias("ts"), F.col("_t.suspect").alias("suspect"), "event", "labels",
-                       "kv", F.lit(0.0).alias("latency_us"), "raw", status.alias("status"))
+    rows = rows.withColumns({"ts": F.col("_t.ts"), "suspect": F.col("_t.suspect"),
+                             "latency_us": F.lit(0.0), "status": status})
+    return only_where(rows, F.col("status").isNotNull(), ["event", "kv", "ts", "suspect", "status"],
+                      ["id", "labels", "latency_us", "raw"])
 
 
 def ingest_documents(documents: DataFrame, as_of) -> DataFrame:
@@ -32,8 +34,9 @@ def ingest_documents(documents: DataFrame, as_of) -> DataFrame:
     status = (F.when(F.col("rejected") | ~F.coalesce("stored", F.lit(False)), "rejected")
               .when(is_noise(F.col("raw"), F.col("labels")), "filtered").otherwise("structured"))
     suspect = F.try_element_at("kv", F.lit("_ts_suspect")).try_cast("timestamp")
-    return mapped.select("ts", suspect.alias("suspect"), "event", "labels", "kv", "kv_v",
-                         F.lit(0.0).alias("latency_us"), "raw", status.alias("status"))
+    rows = mapped.withColumns({"suspect": suspect, "latency_us": F.lit(0.0), "status": status})
+    return only_where(rows, F.col("status").isNotNull(),
+                      ["ts", "suspect", "event", "labels", "kv", "kv_v", "latency_us", "raw", "status"])
 
 
 def to_store(rows: DataFrame) -> DataFrame:
