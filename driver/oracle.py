@@ -152,7 +152,7 @@ SQL["campaigns"] = real(f"""SELECT m.fingerprint, any_value(actor_id) AS actor_i
 SQL["technique_totals"] = real("SELECT technique, count(*) AS hits FROM hits WHERE technique <> 'benign' GROUP BY ALL", hits())
 INTERNAL = "('10.0.0.250', '192.0.2.10', '10.0.0.10', '10.0.0.11', '10.0.0.12', '10.0.0.13', '198.51.100.3')"
 SQL["internal_addresses_left_out"] = real(f"SELECT ip, CASE WHEN ip IN {INTERNAL} THEN -1 ELSE count(*) END AS hits FROM hits GROUP BY ip", hits())
-SQL["owners"] = real("""SELECT grp AS asn, arg_max(org, (score, hostile_hits, newest)) AS org, arg_max(country, (score, hostile_hits, newest)) AS country,
+SQL["owners"] = real("""SELECT grp AS asn, first(org ORDER BY place) AS org, first(country ORDER BY place) AS country,
     count(*) AS actor_count, string_agg(ip, ',' ORDER BY place) FILTER (WHERE place <= 25) AS actors, sum(hostile_hits)::BIGINT AS hits,
     coalesce(any_value(p.prefixes), '') AS prefixes, any_value(t.techniques) AS techniques
   FROM ranked JOIN (SELECT grp, string_agg(DISTINCT t, ',' ORDER BY t) AS techniques FROM
@@ -344,7 +344,7 @@ SQL["rate_series"] = compressed("""SELECT instance, event, epoch_us(minute) AS m
 SQL["unstructured_surges"] = compressed(f"""SELECT instance, total_1m, count_1m, round(count_1m / total_1m * 100, 6) AS ratio FROM (
     SELECT instance, count(*) AS total_1m, count(*) FILTER (WHERE event = 'unstructured') AS count_1m FROM log
     WHERE timestamp >= {LAST} - INTERVAL 60 SECOND GROUP BY ALL) WHERE total_1m >= 20 AND count_1m / total_1m * 100 > 5.0 AND count_1m >= 1""")
-TICKS = """cnt AS (SELECT instance, event, to_timestamp(ceil(epoch_us(timestamp) / 60000000.0) * 60)::TIMESTAMP AS tick, count(*) AS n FROM log GROUP BY ALL),
+TICKS = """cnt AS (SELECT instance, event, make_timestamp((epoch_us(timestamp) // 60000000 + 1) * 60000000) AS tick, count(*) AS n FROM log GROUP BY ALL),
 rate AS (SELECT 'rate_spike' AS kind, instance, event, tick, n, buckets, (n - avg_1m) / greatest(sqrt(avg_1m), 1.0) AS measure FROM (
     SELECT *, sum(n) OVER w * (60.0 / 900) AS avg_1m, count(*) OVER w AS buckets FROM cnt
     WINDOW w AS (PARTITION BY instance, event ORDER BY tick RANGE BETWEEN INTERVAL 840 SECOND PRECEDING AND CURRENT ROW))),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
-from ..functions.times import as_timestamp, seconds
+from ..functions.times import as_timestamp, int_div, seconds
 
 
 def _instance() -> Column:
@@ -78,10 +78,10 @@ def unstructured_surges(events: DataFrame, as_of, min_total: int = 50, min_ratio
 def anomaly_ticks(events: DataFrame, tick_s: int = 60, window_s: int = V.WINDOW_SECONDS) -> DataFrame:
     """Both measures for every key at every tick: the input of the hysteresis fold.
 
-    Each key's events are counted per tick, then each tick looks back over the
-    window; `kind` tells rate from surge. Keys quiet at a tick do not appear.
+    Each key's events are counted per tick, named by its end, then each tick looks
+    back over the window; `kind` tells rate from surge. Quiet keys do not appear.
     """
-    tick = F.timestamp_seconds(F.ceil(F.unix_micros("timestamp") / F.lit(tick_s * 1_000_000)) * tick_s)
+    tick = F.timestamp_seconds((int_div(F.unix_micros("timestamp"), tick_s * 1_000_000) + 1) * tick_s)
     base = events.select(_instance().alias("instance"), "event", tick.alias("tick"))
     counts = base.groupBy("instance", "event", "tick").agg(F.count("*").alias("n"))
     at = F.unix_seconds("tick")
