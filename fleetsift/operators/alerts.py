@@ -33,7 +33,7 @@ def critical_lines(events: DataFrame) -> DataFrame:
 
 
 def _greedy(cooldown_s: int):
-    def pick(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pick(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         seconds = np.sort(pdf["second"].to_numpy())
         chosen, at = [], 0
         while at < len(seconds):
