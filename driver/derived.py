@@ -111,8 +111,15 @@ FROM (
 """
 
 
-def flat_log(spark: SparkSession, sf_dir: str, clock: str = "real") -> DataFrame:
+def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, spread over the cores when the file gives fewer splits than that."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return events.repartition(cores) if events.rdd.getNumPartitions() < cores else events
+
+
+def flat_log(spark: SparkSession, sf_dir: str, clock: str = "real") -> DataFrame:
+    events = events_table(spark, sf_dir)
     return spark.sql(flat_sql("spark", clock).replace("FROM events)", "FROM {events})"), events=events)
 
 

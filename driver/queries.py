@@ -15,20 +15,19 @@ from fleetsift.schema import CAMPAIGN_ACTOR
 from fleetsift.session import configure, cut_lineage, scratch_path
 from fleetsift.sources import ecs, events as EV, lines as LN, topology as TY
 
-from .derived import log
+from .derived import events_table, log
 
 AS_OF = "2024-01-31 00:00:00"
 us = lambda c: F.unix_micros(c)
 csv = lambda c: F.array_join(c, ",")
 
 
-def _events(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet")
+_events = events_table
 
 
 def last_instant(spark: SparkSession, d: str, plus_s: int = 0) -> str:
     """The compressed clock's last moment, as text."""
-    row = (_events(spark, d).agg(F.max("event_id").alias("m"))
+    row = (spark.read.parquet(f"{d}/events.parquet").agg(F.max("event_id").alias("m"))
            .select((F.timestamp_micros(F.lit(1704067200000000) + F.col("m") * 100000 + plus_s * 1000000)).cast("string")).first())
     return row[0]
 

@@ -10,7 +10,7 @@ OBJECT_AS_MAP = "map<string,variant>"
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(v, "$", OBJECT_AS_MAP).isNotNull()
 
 
 def flatten_json(v: Column, max_depth: int = 8) -> Column:
@@ -19,17 +19,20 @@ def flatten_json(v: Column, max_depth: int = 8) -> Column:
     Lists and empty objects are values, keys that already hold dots pass through.
     Objects nested deeper than max_depth stay values.
     """
-    entries = F.map_entries(F.try_variant_get(v, "$", OBJECT_AS_MAP))
+    def describe(key, value):
+        """key, value and what is inside it, so each value is opened once."""
+        inside = F.map_entries(F.try_variant_get(value, "$", OBJECT_AS_MAP))
+        return F.struct(key.alias("key"), value.alias("value"), inside.alias("inside"))
 
     def open_one(e):
-        inside = F.map_entries(F.try_variant_get(e["value"], "$", OBJECT_AS_MAP))
-        opened = F.transform(inside, lambda i: F.struct(
-            F.concat(e["key"], F.lit("."), i["key"]).alias("key"), i["value"].alias("value")))
-        return F.when(is_object(e["value"]) & (F.size(inside) > 0), opened).otherwise(F.array(e))
+        opened = F.transform(e["inside"], lambda i: describe(F.concat(e["key"], F.lit("."), i["key"]), i["value"]))
+        return F.when(F.coalesce(F.size(e["inside"]), F.lit(0)) > 0, opened).otherwise(F.array(e))
 
+    entries = F.transform(F.map_entries(F.try_variant_get(v, "$", OBJECT_AS_MAP)),
+                          lambda e: describe(e["key"], e["value"]))
     for _ in range(max_depth - 1):
         entries = F.flatten(F.transform(entries, open_one))
-    return F.map_from_entries(entries)
+    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["value"])))
 
 
 def text_of(v: Column) -> Column:

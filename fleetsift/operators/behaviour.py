@@ -9,6 +9,7 @@ from ..functions.clients import (claims_browser, crawler_claim, crawler_verdict,
                                  is_candid, ua_anachronism)
 from ..functions.staging import only_where
 from ..functions.times import clf_time, int_div
+from ..session import cut_lineage
 from .runs import longest_run
 
 
@@ -69,11 +70,11 @@ def upper_median_gap(gaps: DataFrame) -> DataFrame:
             .agg(F.first("total").alias("gaps"), F.min("gap_ms").alias("median_gap_ms")))
 
 
-def longest_404_run(requests: DataFrame) -> DataFrame:
+def longest_404_run(requests: DataFrame, written: bool = False) -> DataFrame:
     """(ip, longest_404_run) in scan order: row timestamp, then id."""
     rows = requests.select(F.col("ip").alias("key"), F.col("timestamp").alias("at"), "id",
                            (F.coalesce("status", F.lit("")) == "404").alias("flag"))
-    return longest_run(rows).select(F.col("key").alias("ip"), F.col("longest_run").alias("longest_404_run"))
+    return longest_run(rows, written).select(F.col("key").alias("ip"), F.col("longest_run").alias("longest_404_run"))
 
 
 def _agent_facts(requests: DataFrame) -> DataFrame:
@@ -162,11 +163,14 @@ def behaviour_profiles(requests: DataFrame, rdns: DataFrame | None = None) -> Da
 
     Agent strings are judged once per distinct (ip, agent). The full list of
     agents is in client_agents; it can be as long as a client cares to make it.
+    The requests are written to the shared folder first: five steps read them,
+    and the lines are parsed once.
     """
+    requests = cut_lineage(requests)
     gaps = upper_median_gap(request_gaps(requests))
     joined = (_request_facts(requests)
               .join(_agent_facts(requests), "ip", "left").join(gaps, "ip", "left")
-              .join(longest_404_run(requests), "ip", "left").join(_methods(requests), "ip", "left"))
+              .join(longest_404_run(requests, written=True), "ip", "left").join(_methods(requests), "ip", "left"))
     if rdns is None:
         joined = joined.withColumn("rdns", F.lit(None).cast("string"))
     else:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from .threats import rank_key, top_members
 
 OWNER_COLUMNS = ["asn", "prefix", "country", "registry", "allocated", "org"]
@@ -52,7 +53,9 @@ def owners_by_prefix(addresses: DataFrame, netblocks: DataFrame) -> DataFrame:
 
 def owners(actors: DataFrame) -> DataFrame:
     """Actors grouped by the network that owns them."""
-    keyed = actors.withColumn("group", F.coalesce("asn", F.lit("unknown")))
+    keyed = cut_lineage(actors.select(
+        "ip", "asn", "org", "country", "prefix", "techniques", "score", "hostile_hits", "newest",
+        F.coalesce("asn", F.lit("unknown")).alias("group")))
     totals = keyed.groupBy("group").agg(
         F.count("*").alias("actor_count"), F.sum("hostile_hits").alias("hits"),
         F.max(F.struct(rank_key().alias("rank"), "asn", "org", "country")).alias("top"))

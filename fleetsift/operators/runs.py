@@ -56,16 +56,17 @@ def _summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([open_piece])
 
 
-def longest_run(rows: DataFrame) -> DataFrame:
+def longest_run(rows: DataFrame, written: bool = False) -> DataFrame:
     """(key, longest_run) of rows (key, at, id, flag), ordered by at, then id.
 
     Rows are range-partitioned by (key, at, id), so a key holding a third of the
     table is spread over a third of the tasks. Each task reduces its stretch of a
     key to one piece; the pieces of a key, at most one per task, are then joined
-    up in order. The narrow input is written first because range partitioning
-    reads its input twice.
+    up in order. Range partitioning reads its input twice, so the narrow input is
+    written first unless it comes from written files anyway.
     """
-    narrow = cut_lineage(rows.select("key", "at", "id", "flag"))
+    narrow = rows.select("key", "at", "id", "flag")
+    narrow = narrow if written else cut_lineage(narrow)
     ordered = narrow.repartitionByRange("key", "at", "id").sortWithinPartitions("key", "at", "id")
     pieces = ordered.mapInPandas(_summarize, PIECE)
 

@@ -11,6 +11,7 @@ from ..functions.access import with_hit
 from ..functions.staging import only_where
 from ..functions.techniques import (TECHNIQUES, actor_profile, actor_score, fingerprint,
                                     tactic_of, with_technique)
+from ..session import cut_lineage
 
 
 def access_hits(events: DataFrame, benign: str = V.DEFAULT_BENIGN_PATHS) -> DataFrame:
@@ -53,8 +54,10 @@ def threat_actors(hits: DataFrame, min_hits: int = 1, max_paths: int = 40) -> Da
     """Actors: one row per address with at least min_hits hostile requests.
 
     Counting runs on (ip, status, target) first, with map-side combining, so an
-    address that holds a third of all requests shrinks before it is shuffled.
+    address that holds a third of all requests shrinks before it is shuffled. The
+    hits are written first: counts and paths read them, and lines are parsed once.
     """
+    hits = cut_lineage(hits)
     names = [t for t in TECHNIQUES]
     per = hits.groupBy("ip", "status", "target").agg(
         F.count("*").alias("n"), F.count_if(F.col("technique") == "benign").alias("benign"),
@@ -111,7 +114,8 @@ def top_members(actors: DataFrame, group: str, k: int = 25) -> DataFrame:
 
 def campaigns(actors: DataFrame) -> DataFrame:
     """Actors that share a technique fingerprint: the same tooling, whatever its address."""
-    members = actors.filter(~F.col("fingerprint").isin(V.NOT_A_CAMPAIGN))
+    members = cut_lineage(actors.filter(~F.col("fingerprint").isin(V.NOT_A_CAMPAIGN)).select(
+        "ip", "fingerprint", "score", "hostile_hits", "newest", "first_seen", "last_seen", "techniques", "targets"))
     totals = members.groupBy("fingerprint").agg(
         F.count("*").alias("actor_count"), F.sum("hostile_hits").alias("hits"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),

@@ -26,37 +26,34 @@ class ThreatView:
 def threat_view(events: DataFrame, topology: Topology | None = None, owners: DataFrame | None = None,
                 rdns: DataFrame | None = None, registry: DataFrame | None = None, *,
                 q: str | None = "HTTP/1.1", since_s: int | None = None, as_of=None,
-                limit: int | None = None, min_hits: int = 1, materialize: bool = False) -> ThreatView:
+                limit: int | None = None, min_hits: int = 1) -> ThreatView:
     """Actors with owner, behaviour and tags, their campaigns and totals.
 
     The view covers every matching row of the window unless a limit is asked for,
     and `scanned` says how many rows matched and whether the limit cut any off.
-    With materialize the parsed requests are written to the shared folder first,
-    so the log is read and parsed once for all parts of the view; leave it off
-    for inputs small enough to read twice.
+    Requests, and then the finished actors, are written to the shared folder, so
+    the log is parsed once for each reader and the parts of the view share actors.
     """
     filters = dict(q=q, since_s=since_s, as_of=as_of)
     rows = (events.filter(log_filter(events, **filters)) if limit is None
             else search_logs(events, limit, **filters))
     scanned = search_with_truncation(events, limit or 2**31 - 1, **filters)
     hits, requests = T.access_hits(rows), B.client_requests(rows)
-    if materialize:
-        hits, requests = cut_lineage(hits), cut_lineage(requests)
+    hits = cut_lineage(hits) if topology else hits
     internal = topology.internal_addresses() if topology else None
     excluded = hits.select("ip").limit(0)
     if internal is not None:
         hits, excluded = T.split_internal(hits, internal)
     actors = T.threat_actors(hits, min_hits)
-    found_owners = None
     if owners is not None:
         actors = O.attach_owner(actors, owners, rdns)
-        found_owners = O.owners(actors)
     else:
         actors = actors.withColumn("org", F.lit(None).cast("string"))
     profiles = B.behaviour_profiles(requests, rdns).select(
         "ip", "tells", "inconsistency", "user_agent_count", "peak_rate_per_s", "connections",
         "longest_404_run")
-    actors = actors.join(profiles, "ip", "left").withColumn("auto_tags", T.auto_tags())
+    actors = cut_lineage(actors.join(profiles, "ip", "left").withColumn("auto_tags", T.auto_tags()))
+    found_owners = O.owners(actors) if owners is not None else None
     campaigns = T.campaigns(actors)
     if registry is not None:
         actors, campaigns = T.attach_registry(actors, registry), T.attach_registry(campaigns, registry)

@@ -39,6 +39,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and continue from the files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared folder as Parquet and continue from the files.
+
+    Later steps read only the columns they need, their size is known to the
+    planner, and a lost executor costs one read instead of the steps before.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,8 +19,7 @@ def decode_documents(df: DataFrame, column: str = "value", ndjson: bool = False)
     if ndjson:
         text = text.select(F.explode(F.split("body", r"\r?\n")).alias("body"))
     parsed = (text.filter(F.trim("body") != "").select("body", F.try_parse_json("body").alias("v")))
-    is_list = F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False))
-    items = F.when(is_list, F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
+    items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
     if ndjson:
         items = F.array("v")
     rows = parsed.select("body", F.explode(items).alias("doc"))

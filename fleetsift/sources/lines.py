@@ -36,8 +36,7 @@ def json_lines_of(df: DataFrame, labels: dict | None = None, column: str = "valu
     body = F.try_parse_json(column)
     get = lambda path, kind="variant": F.try_variant_get("v", path, kind)
     parsed = df.select(F.col(column).alias("body"), body.alias("v")).filter("v is not null")
-    items = F.coalesce(F.when(F.schema_of_variant("v").startswith("ARRAY"), get("$", "array<variant>")),
-                       get("$.lines", "array<variant>"), F.array(F.col("v")))
+    items = F.coalesce(get("$", "array<variant>"), get("$.lines", "array<variant>"), F.array(F.col("v")))
     own = F.coalesce(get("$.labels", "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
     rows = parsed.select(own.alias("own"), F.explode(items).alias("item"))
     line = F.coalesce(F.try_variant_get("item", "$.line", "string"),

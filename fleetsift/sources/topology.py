@@ -7,6 +7,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..session import cut_lineage
+
 NODE = "id string, name string, type string, ip string, ips array<string>, role string"
 EDGE = ("source string, target string, protocol string, channel string, "
         "expected_min_rate double")
@@ -47,12 +49,12 @@ class Topology:
     @cached_property
     def lookup(self) -> DataFrame:
         """aliases, hinted for broadcast only after its size was looked at."""
-        return if_small(self.aliases())
+        return if_small(cut_lineage(self.aliases()))
 
     @cached_property
     def ids(self) -> DataFrame:
         """(node_id), hinted for broadcast only after its size was looked at."""
-        return if_small(self.nodes.select(F.col("id").alias("node_id")).distinct())
+        return if_small(cut_lineage(self.nodes.select(F.col("id").alias("node_id")).distinct()))
 
     def internal_addresses(self) -> DataFrame:
         """(ip) of everything that resolves to a declared node."""
