@@ -527,8 +527,8 @@ def dangling_edges(s, d):
 
 def folded_addresses(s, d):
     nodes, e = _tables(s, d)
-    ip_map = nodes.filter("id like 'external:198.51.100.1%'").select(
-        F.substring_index("id", ":", -1).alias("ip"), F.lit("gw").alias("node_id"))
+    ip_map = cut_lineage(nodes.filter("id like 'external:198.51.100.1%'").select(
+        F.substring_index("id", ":", -1).alias("ip"), F.lit("gw").alias("node_id")))
     n2, e2 = G.fold_addresses(nodes, e, ip_map)
     return (n2.filter("declared").select(F.concat(F.lit("node "), "id").alias("item"), F.size("ips").cast("long").alias("n"))
             .union(e2.agg(F.count("*").alias("n")).select(F.lit("edges"), "n")))
