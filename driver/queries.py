@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import SparkSession, functions as F
 
 from fleetsift import fixed_values as V
 from fleetsift.functions import access, clients, documents, lines as L, techniques as TQ, times, values
@@ -12,7 +12,7 @@ from fleetsift.operators import (alerts, anomaly, behaviour as B, findings as N,
 from fleetsift.plans import ingest, metrics
 from fleetsift.plans.threat_view import sweep as findings_sweep, threat_view
 from fleetsift.schema import CAMPAIGN_ACTOR
-from fleetsift.session import configure, cut_lineage, scratch_path
+from fleetsift.session import cut_lineage, scratch_path
 from fleetsift.sources import ecs, events as EV, lines as LN, topology as TY
 
 from .derived import events_table, log

@@ -11,8 +11,8 @@ from fleetsift.sources import lines as LN
 from fleetsift.streaming import ingest as SI, sources as SS, stateful as ST, upkeep as SU
 
 from .derived import to_events, flat_log
-from .oracle import (AS_OF as SQL_AS_OF, MATCH, SENT, SQL, TICKS, compressed, cooldown, real)
-from .queries import AS_OF, _edges, _stream_bodies, _unit_lines, base_rules, fleet, last_instant, us
+from .oracle import AS_OF as SQL_AS_OF, MATCH, SQL, TICKS, compressed, real
+from .queries import AS_OF, _stream_bodies, _unit_lines, base_rules, fleet, us
 
 _STAGED: dict[tuple, str] = {}
 
@@ -138,7 +138,6 @@ STREAM_SQL = {
     "stream_anomalies": compressed("""SELECT kind, instance, event, epoch_us(tick) AS tick_us, n, active::INT AS active FROM states
         WHERE tick <= (SELECT max(timestamp) FROM log)""", TICKS),
     "stream_unit_alerts": SQL["unit_alerts"],
-    "stream_skeletons": SQL["skeletons"].replace("SELECT", "SELECT", 1),
     "stream_shifts": SQL["topology_shifts"].replace("SELECT edge_id, type, severity, rate_1m FROM shift", "SELECT edge_id, type, severity FROM shift WHERE type = 'NOVEL_EDGE'"),
 }
 STREAM_SQL["stream_skeletons"] = ("SELECT skeleton, (n // 3)::BIGINT AS emitted, (n // 3 * 3)::BIGINT AS lines FROM ("

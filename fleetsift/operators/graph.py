@@ -12,8 +12,6 @@ from ..sources.topology import Topology
 from .anomaly import z_score
 from .flows import resolve_nodes
 
-NO_EDGES = ["edge_id", "source", "target", "protocol"]
-
 
 def edge_id(source: Column, target: Column, kind: Column) -> Column:
     return F.concat(source, F.lit("->"), target, F.lit(":"), kind)
