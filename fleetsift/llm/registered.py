@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .fingerprints import fingerprint_documents
 from .licenses import scan_licenses
+from .ngram_join import similarity_components
+from .packing import pack_documents
+from .quality_classifier import score_quality, train_quality
 from .quality_rules import judge_quality
 from .secrets import scan_secrets
 from .toxicity import score_toxicity, train_toxicity
@@ -21,6 +25,12 @@ PATTERN_RULES = [Rule("||casino-", "block"), Rule("||free-bets.", "block"), Rule
                  Rule(".exe|", "block"), Rule("/search?*q=", "block")]
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_url_filters(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts on every page's address: site rules first, then pattern rules, then allow."""
     return (filter_urls(table(spark, d, "pages").select("page_id", "url"), SITE_RULES + PATTERN_RULES)
@@ -53,5 +63,27 @@ def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, table(spark, d, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op5_license_scans, op6_quality_rules, op7_secret_scans, op8_toxicity)}
+def op2_document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprint_documents(table(spark, d, "documents"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles agree by 85 percent or more."""
+    return similarity_components(table(spark, d, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's pieces in sequences of 1024 tokens."""
+    return pack_documents(table(spark, d, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of every document by two co-trained views, fitted on rows that are not held out."""
+    docs = table(spark, d, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, d, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op3_ngram_jaccard_join, op5_license_scans, op6_quality_rules, op7_secret_scans, op8_toxicity,
+                                   op9_best_fit_packing, op10_quality_classifier)}
 SQL: dict[str, str] = {}
