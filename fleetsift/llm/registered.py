@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 from .fingerprints import fingerprint_documents
 from .licenses import scan_licenses
+from .nbest import encode_n_best
 from .ngram_join import similarity_components
 from .packing import pack_documents
 from .quality_classifier import score_quality, train_quality
@@ -37,6 +38,11 @@ def op1_url_filters(spark: SparkSession, d: str) -> DataFrame:
             .select("page_id", "host", "path", "rule", "verdict", "pattern_rule"))
 
 
+def op4_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    """The four best segmentations of every document, and whether each decodes to it."""
+    return encode_n_best(table(spark, d, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+
+
 def op5_license_scans(spark: SparkSession, d: str) -> DataFrame:
     """Licenses that the lines and blocks of every document declare."""
     found = scan_licenses(table(spark, d, "documents").select("doc_id", "text"))
@@ -84,6 +90,6 @@ def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, table(spark, d, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op3_ngram_jaccard_join, op5_license_scans, op6_quality_rules, op7_secret_scans, op8_toxicity,
-                                   op9_best_fit_packing, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op3_ngram_jaccard_join, op4_sentencepiece,
+                                   op5_license_scans, op6_quality_rules, op7_secret_scans, op8_toxicity, op9_best_fit_packing, op10_quality_classifier)}
 SQL: dict[str, str] = {}
