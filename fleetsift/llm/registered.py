@@ -9,6 +9,7 @@ from .fingerprints import fingerprint_documents
 from .licenses import scan_licenses
 from .nbest import encode_n_best
 from .ngram_join import similarity_components
+from .oracle import SQL  # noqa: F401
 from .packing import pack_documents
 from .quality_classifier import score_quality, train_quality
 from .quality_rules import judge_quality
@@ -92,4 +93,3 @@ def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op3_ngram_jaccard_join, op4_sentencepiece,
                                    op5_license_scans, op6_quality_rules, op7_secret_scans, op8_toxicity, op9_best_fit_packing, op10_quality_classifier)}
-SQL: dict[str, str] = {}
