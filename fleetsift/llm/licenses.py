@@ -1,7 +1,7 @@
 """License scans: normalised text against license templates by the Dice coefficient over word bigrams.
 
-A document is looked at line by line and block by block (a block is a run of lines that hold a word;
-one of a single line is that line). A unit is normalised to lower-case runs of letters and digits; its
+A document is looked at line by line and block by block (a block is a run of lines between lines of
+white space; one of a single line is that line). A unit is normalised to lower-case runs of letters and digits; its
 set of word bigrams B is compared with a template's set A by 2|A and B| / (|A| + |B|). A value of t or
 more needs |A| t / (2 - t) <= |B| <= |A| (2 - t) / t, so a unit meets only the templates within these
 bounds, and no bigram is formed for a unit that lies outside all of them by its number of words.
@@ -75,7 +75,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = NOTICES, t
                                F.array(*[F.lit(x) for x in g]).alias("grams")) for name, g in sets])
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
     blocks = F.filter(F.split(F.coalesce(text, F.lit("")), r"\n[\x20\x09-\x0d]*\n"),
-                      lambda b: F.contains(F.trim(F.lit("\n"), b), F.lit("\n")))
+                      lambda b: F.contains(F.trim(b, F.lit("\n")), F.lit("\n")))
     numbered = F.transform(F.concat(lines, blocks), lambda u, i: F.struct(i.alias("unit"), _unit_words(u).alias("words")))
     names = [c for c in docs.columns if c not in ("units", "sized", "found")]
     units = F.filter(numbered, lambda u: F.size(u["words"]) > 0)
