@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fleetsift import fixed_values as V
 
-from .derived import FIELDS, flat_sql
+from .derived import FIELDS, PATHS, flat_sql
 from .queries import ORGS, RULES
 
 q = lambda text: "'" + text.replace("'", "''") + "'"
@@ -139,6 +139,7 @@ SQL["instances"] = real(f"SELECT DISTINCT instance FROM log WHERE timestamp >= {
 
 SQL["technique_counts"] = real(f"SELECT technique, {TACTIC} AS tactic, method, status, count(*) AS n, count(DISTINCT ip) AS ips FROM hits GROUP BY ALL", hits())
 SQL["threat_actors"] = real(f"SELECT {ACTOR_COLUMNS} FROM actors", hits(), actors())
+SQL["actor_hostile_paths"] = real("SELECT ip, count(DISTINCT path) AS hostile_paths FROM hits WHERE technique <> 'benign' GROUP BY ip", hits())
 SQL["actor_paths_capped"] = real("SELECT ip, distinct_paths, sample_paths, score FROM actors", hits(), actors(paths=5, min_hits=20))
 SQL["campaigns"] = real(f"""SELECT m.fingerprint, any_value(actor_id) AS actor_id, any_value(actor_name) AS actor_name,
     arg_max(threat_tier, (score, hostile_hits, newest)) AS threat_tier, count(*) AS actor_count,
@@ -247,6 +248,7 @@ SQL["threat_view_actors"] = compressed(f"""SELECT ip, hits, score, inconsistency
     {US("CASE WHEN seen IS NULL THEN first_seen ELSE least(first_seen, TIMESTAMP '2023-12-01 00:00:00') END")} AS first_us
   FROM tagged LEFT JOIN reg USING (actor_id)""", *VIEW, TAGGED, *REG_ACTORS)
 SQL["threat_view_tags"] = compressed("SELECT tag, count(*) AS actors FROM (SELECT unnest(tags) AS tag FROM tagged) GROUP BY tag", *VIEW, TAGGED)
+SQL["threat_view_scan_all"] = compressed("SELECT count(*) AS matched, count(*) AS returned, FALSE AS truncated, CAST(NULL AS VARCHAR) AS note FROM log WHERE raw ILIKE '%HTTP/1.1%'")
 SQL["threat_view_scan"] = compressed("""SELECT m AS matched, least(m, 500) AS returned, m > 500 AS truncated, CASE WHEN m > 500 THEN
   'showing the most recent 500 of ' || m || ' requests in this window; raise ?limit= to widen it' END AS note
   FROM (SELECT count(*) AS m FROM log WHERE raw ILIKE '%HTTP/1.1%')""")
@@ -353,8 +355,9 @@ surge AS (SELECT 'unstructured_surge' AS kind, instance, 'unstructured_surge' AS
 turns AS (SELECT *, CASE WHEN kind = 'rate_spike' THEN CASE WHEN buckets >= 5 AND n >= 3 AND measure >= 1.0 THEN 1 WHEN buckets >= 5 AND measure < 0.0 THEN 0 END
     ELSE CASE WHEN buckets >= 20 AND measure > 7.0 AND n >= 3 THEN 1 WHEN buckets >= 20 AND measure < 5.0 THEN 0 END END AS turn
   FROM (SELECT * FROM rate UNION ALL SELECT * FROM surge)),
+aged AS (SELECT * REPLACE (coalesce(turn, CASE WHEN epoch(tick) - epoch(lag(tick) OVER (PARTITION BY kind, instance, event ORDER BY tick)) > 900 THEN 0 END) AS turn) FROM turns),
 states AS (SELECT *, coalesce(last_value(turn IGNORE NULLS) OVER (PARTITION BY kind, instance, event ORDER BY tick
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS active FROM turns)"""
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS active FROM aged)"""
 SQL["anomaly_states"] = compressed("SELECT kind, instance, event, epoch_us(tick) AS tick_us, n, active::INT AS active FROM states", TICKS)
 
 
@@ -463,15 +466,14 @@ SQL["subgraph_search_reach"] = compressed("""SELECT 'edge_count' AS metric, coun
     "hit AS (SELECT * FROM edge WHERE protocol = 'tcp' AND (contains(source, 'host-2') OR contains(target, 'host-2')))", walk("'host-2'", 2, "hit"),
     "inside AS (SELECT * FROM hit WHERE source IN (SELECT id FROM near) AND target IN (SELECT id FROM near))")
 SQL["host_flows"] = compressed("""SELECT direction, count(*) AS flows, sum(rate_1m)::BIGINT AS rate, round(round(sum(bytes_per_sec), 2) * 100)::BIGINT AS bytes_x100,
-    coalesce(string_agg(DISTINCT nullif(process, ''), ',' ORDER BY nullif(process, '')), '') AS processes FROM (
+    array_to_string(list_sort(list_distinct(list_filter(flatten(list(ends)), lambda x: x <> ''))), ',') AS processes FROM (
     SELECT *, CASE WHEN s AND t THEN 'internal' WHEN t THEN 'inbound' WHEN s THEN 'outbound' END AS direction,
-      coalesce(CASE WHEN t AND NOT s AND target LIKE 'host-1:%' THEN substr(target, 8) END, CASE WHEN source LIKE 'host-1:%' THEN substr(source, 8) END,
-        CASE WHEN target LIKE 'host-1:%' THEN substr(target, 8) END, '') AS process
+      [CASE WHEN s AND source LIKE 'host-1:%' THEN substr(source, 8) ELSE '' END, CASE WHEN t AND target LIKE 'host-1:%' THEN substr(target, 8) ELSE '' END] AS ends
     FROM (SELECT *, source = 'host-1' OR source LIKE 'host-1:%' AS s, target = 'host-1' OR target LIKE 'host-1:%' AS t FROM edge)) WHERE direction IS NOT NULL GROUP BY direction""", *edge_tables())
-SQL["time_lapse"] = compressed(f"""SELECT i AS slice_index, count(*) AS total_edges, count(*) FILTER (WHERE prev IS NULL OR prev <> i - 1) AS new_edges, sum(n)::BIGINT AS total_volume,
-    round(round(sum(n) * 128 / 100.0, 2) * 100)::BIGINT AS bytes_x100 FROM (SELECT *, lag(i) OVER (PARTITION BY edge_id ORDER BY i) AS prev FROM (
+SQL["time_lapse"] = compressed(f"""SELECT r.range AS slice_index, count(i) AS total_edges, count(i) FILTER (WHERE prev IS NULL OR prev <> i - 1) AS new_edges, coalesce(sum(n), 0)::BIGINT AS total_volume,
+    round(round(coalesce(sum(n), 0) * 128 / 100.0, 2) * 100)::BIGINT AS bytes_x100 FROM range(9) r LEFT JOIN (SELECT *, lag(i) OVER (PARTITION BY edge_id ORDER BY i) AS prev FROM (
     SELECT source || '->' || target || ':' || channel AS edge_id, (epoch_us(timestamp) - epoch_us({LAST}) + 900000000) // 100000000 AS i, count(*) AS n
-    FROM past WHERE timestamp >= {LAST} - INTERVAL 900 SECOND AND timestamp < {LAST} GROUP BY ALL)) GROUP BY i""", SOCK, PAST)
+    FROM past WHERE timestamp >= {LAST} - INTERVAL 900 SECOND AND timestamp < {LAST} GROUP BY ALL)) AS c ON c.i = r.range GROUP BY r.range""", SOCK, PAST)
 SQL["retired_externals"] = compressed("""SELECT id FROM node WHERE type = 'external' AND id IN (SELECT id FROM pair GROUP BY id HAVING sum(v) <= 1
     AND count(DISTINCT CASE WHEN other NOT LIKE 'external:%' THEN other END) <= 1)""", *edge_tables(), DECLARED_TYPE, NODES,
     """rare AS (SELECT source, target, CASE WHEN contains(target, 'd1') THEN 1 ELSE total_volume END AS v FROM edge)""",
@@ -501,6 +503,12 @@ SQL["matched_lines"] = real(f"""SELECT rule AS event, process, usr AS "user", ke
       WHEN 'auth_line' THEN 'host,seq,user' WHEN 'any_info' THEN 'client_ip,client_port,ip,port' ELSE '' END AS keys,
     CASE rule WHEN 'socket_line' THEN {G('socket_line', 3)} WHEN 'key_accepted' THEN {G('key_accepted', 2)}
       WHEN 'any_info' THEN split_part({G('any_info', 1)}, ':', 1) END AS ip FROM ruled) GROUP BY ALL""", MATCH)
+SQL["matched_lines_many_rules"] = real("""SELECT event, count(*) AS n, sum(done)::BIGINT AS done FROM (
+    SELECT CASE WHEN source <> 'uvicorn' THEN 'unstructured' WHEN status = '304' AND (octet * """ + str(len(PATHS)) + """ + p) * 3 + s >= 1000 THEN 'any_304'
+      ELSE 'u' || octet || '_' || p || '_' || status END AS event, CASE WHEN source = 'uvicorn' AND NOT (status = '304' AND (octet * """ + str(len(PATHS)) + """ + p) * 3 + s >= 1000) THEN 1 ELSE 0 END AS done
+    FROM (SELECT source, regexp_extract(raw, '198\\.51\\.100\\.([0-9]+)', 1) AS o, regexp_extract(raw, '"GET (.*) HTTP/', 1) AS path, regexp_extract(raw, '" ([0-9]+) Done', 1) AS status FROM log) AS l
+    LEFT JOIN paths USING (path) LEFT JOIN statuses USING (status), LATERAL (SELECT try_cast(o AS INT) AS octet)) GROUP BY event""",
+    "paths(p, path) AS (VALUES " + ", ".join(f"({i}, {q(p)})" for i, p in enumerate(PATHS)) + ")", "statuses(s, status) AS (VALUES (0, '404'), (1, '304'), (2, '200'))")
 RULE_TABLE = "rules(priority, event, pattern) AS (VALUES " + ", ".join(f"({i}, {q(e)}, {q(p)})" for i, (e, p) in enumerate(RULES)) + ")"
 SQL["template_usage"] = real("SELECT r.event, count(l.rule) AS hits FROM rules r LEFT JOIN ruled l ON l.rule = r.event GROUP BY r.event", MATCH, RULE_TABLE)
 LEARNED = f"""learned AS (SELECT min(event_id) AS seq, CASE WHEN event_type IN ('view', 'click') THEN 'auth_line' ELSE 'new_line' END AS event,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession, functions as F
 
 from fleetsift import fixed_values as V
@@ -15,7 +17,7 @@ from fleetsift.schema import CAMPAIGN_ACTOR
 from fleetsift.session import cut_lineage, scratch_path
 from fleetsift.sources import ecs, events as EV, lines as LN, topology as TY
 
-from .derived import events_table, log
+from .derived import PATHS, events_table, log
 
 AS_OF = "2024-01-31 00:00:00"
 us = lambda c: F.unix_micros(c)
@@ -112,6 +114,10 @@ def threat_actors(s, d):
     return _actor_columns(T.threat_actors(T.access_hits(log(s, d))))
 
 
+def actor_hostile_paths(s, d):
+    return T.threat_actors(T.access_hits(log(s, d)), max_paths=3).select("ip", "hostile_paths")
+
+
 def actor_paths_capped(s, d):
     actors = T.threat_actors(T.access_hits(log(s, d)), min_hits=20, max_paths=5)
     return actors.select("ip", F.col("distinct_paths").cast("long").alias("distinct_paths"),
@@ -230,6 +236,10 @@ def threat_view_tags(s, d):
     return _view(s, d).tag_totals
 
 
+def threat_view_scan_all(s, d):
+    return _view(s, d).scanned
+
+
 def threat_view_scan(s, d):
     return _view(s, d, limit=500).scanned
 
@@ -596,6 +606,19 @@ def matched_lines(s, d):
         F.count("*").alias("n"), F.min(get("ip")).alias("min_ip"), F.max(get("ip")).alias("max_ip"))
 
 
+def many_rules():
+    """A rule for every address, path and status of the log, with one general rule at place 1000."""
+    rules = [(f"u{a}_{p}_{status}", rf'INFO:\s+(?P<ip>198\.51\.100\.{a}):(?P<port>\d+) - "GET (?P<path>{re.escape(path)}) HTTP/1\.1" (?P<status>{status})(?: (?P<word>\w+))?')
+             for a in range(40) for p, path in enumerate(PATHS) for status in ("404", "304", "200")]
+    return rules[:1000] + [("any_304", r'INFO:\s+(?P<ip>[\d.]+):.* HTTP/1\.1" 304 \w+')] + rules[1000:]
+
+
+def matched_lines_many_rules(s, d):
+    m = TP.match_templates(log(s, d).select("id", "timestamp", "raw", "labels"), [TP.Rule.of(e, p) for e, p in many_rules()])
+    done = F.when(F.array_contains(F.map_values("kv"), "Done"), 1).otherwise(0)
+    return m.groupBy("event").agg(F.count("*").alias("n"), F.sum(done).alias("done"))
+
+
 def template_usage(s, d):
     return TP.template_usage(_matched(s, d), base_rules(s)).select("event", "hits")
 
@@ -870,14 +893,14 @@ def topology_aliases(s, d):
 BATCH = {f.__name__: f for f in [
     search_value, search_text, search_field, search_port_process, search_window, search_by_shape, count_text,
     search_truncation, recent_logins, network_rows, network_dns, instances, technique_counts, threat_actors,
-    actor_paths_capped, campaigns, technique_totals, internal_addresses_left_out, owners, owner_by_prefix,
+    actor_paths_capped, actor_hostile_paths, campaigns, technique_totals, internal_addresses_left_out, owners, owner_by_prefix,
     behaviour_profiles, request_gaps, longest_404_runs, client_claims, threat_view_actors, threat_view_tags,
-    threat_view_scan, raise_reasons, findings_upserted, findings_listed, findings_summed, finding_evidence,
+    threat_view_scan, threat_view_scan_all, raise_reasons, findings_upserted, findings_listed, findings_summed, finding_evidence,
     rejected_verdicts, campaign_registry, presence, unexpected_logins, login_findings, sweep, rate_windows,
     rate_spikes, rate_series, unstructured_surges, anomaly_states, anomaly_alerts, unit_alerts, critical_lines,
     observed_flows, history_flows, edges, topology_shifts, silent_links, node_states, subgraph, subgraph_edges,
     subgraph_search, subgraph_search_reach, host_flows, time_lapse, retired_externals, dangling_edges,
-    folded_addresses, merged_history, graph_summary, graph_filtered, fleet_metrics, matched_lines, template_usage,
+    folded_addresses, merged_history, graph_summary, graph_filtered, fleet_metrics, matched_lines, matched_lines_many_rules, template_usage,
     added_rules, loaded_rules, merged_rules, skeletons, clusters, document_skeletons, synthesized_rules,
     value_shapes, normalized_fields, ecs_rows, ecs_accounting, ecs_value_search, flattened_documents, text_lines,
     json_lines, stream_entries, stream_regrouped, stream_labels, socket_snapshot, logfmt_fields, timestamps,

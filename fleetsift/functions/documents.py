@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
 
@@ -13,11 +13,25 @@ def is_object(v: Column) -> Column:
     return F.try_variant_get(v, "$", OBJECT_AS_MAP).isNotNull()
 
 
+def nesting(v: Column) -> Column:
+    """How deep the objects of a VARIANT lie in each other (an upper bound where lists hold objects)."""
+    braces = F.regexp_replace(F.regexp_replace(v.cast("string"), r'"(\\.|[^"\\])*"', ""), "[^{}]", "")
+    steps = F.aggregate(F.split(braces, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda acc, c: F.struct(
+        (acc["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"),
+        F.greatest(acc["most"], acc["now"] + F.when(c == "{", 1).otherwise(0)).alias("most")))
+    return F.coalesce(steps["most"], F.lit(0))
+
+
+def deepest(documents: DataFrame, column: str) -> int:
+    """The deepest nesting in a column of documents, at least 1: what flatten_json needs to open them all."""
+    return max(1, documents.agg(F.max(nesting(F.col(column)))).first()[0] or 1)
+
+
 def flatten_json(v: Column, max_depth: int = 8) -> Column:
     """A VARIANT object as MAP<STRING, VARIANT> with dotted keys.
 
     Lists and empty objects are values, keys that already hold dots pass through.
-    Objects nested deeper than max_depth stay values.
+    Objects nested deeper than max_depth stay values; `deepest` tells how much is needed.
     """
     def describe(key, value):
         """key, value and what is inside it, so each value is opened once."""

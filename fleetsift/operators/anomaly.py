@@ -101,8 +101,10 @@ def anomaly_ticks(events: DataFrame, tick_s: int = 60, window_s: int = V.WINDOW_
 
 def hysteresis(ticks: DataFrame, raise_z: float = 4.0, clear_z: float = 2.0, min_count: int = 30,
                min_buckets: int = 5, min_ratio: float = 2.5, raise_share: float = 20.0,
-               clear_share: float = 8.0, min_total: int = 50, min_surge: int = 20) -> DataFrame:
-    """Which keys are alarming at each tick: raised high, cleared low, held in between.
+               clear_share: float = 8.0, min_total: int = 50, min_surge: int = 20,
+               window_s: int = V.WINDOW_SECONDS) -> DataFrame:
+    """Which keys are alarming at each tick: raised high, cleared low, held in between, and cleared
+    as well once nothing was heard for longer than the window.
 
     The state after a tick is that of the last tick that either raised or cleared,
     so it is a running last value, not a loop.
@@ -117,6 +119,8 @@ def hysteresis(ticks: DataFrame, raise_z: float = 4.0, clear_z: float = 2.0, min
                  ).otherwise((F.col("buckets") >= min_total) & (F.col("measure") < clear_share))
     so_far = Window.partitionBy("kind", "instance", "event").orderBy("tick").rowsBetween(
         Window.unboundedPreceding, 0)
-    turn = F.when(high, F.lit(True)).when(low, F.lit(False))
+    before = F.lag("tick").over(Window.partitionBy("kind", "instance", "event").orderBy("tick"))
+    aged = F.unix_seconds("tick") - F.unix_seconds(before) > window_s
+    turn = F.when(high, F.lit(True)).when(low | aged, F.lit(False))
     return (ticks.withColumn("turn", turn)
             .withColumn("active", F.coalesce(F.last("turn", ignorenulls=True).over(so_far), F.lit(False))))

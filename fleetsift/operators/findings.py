@@ -89,7 +89,7 @@ def list_findings(findings: DataFrame, state=None, kind=None, limit: int = 50) -
     if kind:
         rows = rows.filter(F.col("kind") == kind)
     return (rows.orderBy((F.col("state") == "new").desc(), F.desc("last_seen"), "fingerprint")
-            .limit(min(int(limit), 500)))
+            .limit(int(limit)))
 
 
 def get_finding(findings: DataFrame, key: str) -> DataFrame:

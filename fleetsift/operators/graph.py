@@ -166,7 +166,8 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     Each hop is written to the shared folder, so a plan never repeats earlier hops
     and a lost executor costs one hop. A node already reached is never revisited.
     """
-    depth = max(0, min(int(depth), V.MAX_HOPS))
+    if depth < 0:
+        raise ValueError("a depth is at least 0")
     links = edges.select("source", "target").filter("source != target").distinct()
     both = links.union(links.select("target", "source")).toDF("id", "next")
     reached = cut_lineage(seeds.select("id").distinct().withColumn("hops", F.lit(0)))
@@ -301,14 +302,17 @@ def subgraph_counts(found: DataFrame, shifts: DataFrame | None = None) -> DataFr
 
 
 def host_flows(edges: DataFrame, host: str) -> DataFrame:
-    """Edges of a host with direction inbound, outbound or internal, and the process at its end."""
+    """Edges of a host with direction inbound, outbound or internal, the process at its end, and the
+    processes at both ends where both are the host's."""
     at = lambda c: (F.col(c) == host) | F.col(c).startswith(f"{host}:")
     own = lambda c: F.when(F.col(c).startswith(f"{host}:"), F.substr(c, F.lit(len(host) + 2)))
     direction = (F.when(at("source") & at("target"), "internal").when(at("target"), "inbound")
                  .when(at("source"), "outbound"))
     return (edges.withColumn("direction", direction).filter("direction is not null")
             .withColumn("process", F.coalesce(F.when(F.col("direction") == "inbound", own("target")),
-                                              own("source"), own("target"), F.lit(""))))
+                                              own("source"), own("target"), F.lit("")))
+            .withColumn("processes", F.array_distinct(F.array_compact(F.array(
+                F.when(at("source"), F.nullif(own("source"), F.lit(""))), F.when(at("target"), F.nullif(own("target"), F.lit(""))))))))
 
 
 def host_flow_summary(flows_of_host: DataFrame) -> DataFrame:
@@ -316,12 +320,17 @@ def host_flow_summary(flows_of_host: DataFrame) -> DataFrame:
     return flows_of_host.groupBy("direction").agg(
         F.count("*").alias("flows"), F.round(F.sum("rate_1m"), 2).alias("rate"),
         F.round(F.sum("bytes_per_sec"), 2).alias("bytes_per_sec"),
-        F.array_sort(F.collect_set(F.nullif("process", F.lit("")))).alias("processes"))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("processes")))).alias("processes"))
+
+
+def surface_slices(slices: int) -> int:
+    """A number of slices asked for from outside, held within the usual bounds."""
+    return max(V.MIN_SLICES, min(int(slices), V.MAX_SLICES))
 
 
 def flow_slices(flows: DataFrame, as_of, since_s: int = 3600, slices: int = 12) -> DataFrame:
     """(slice_index, edge_id, volume, is_new): edges per slice, new against the slice before."""
-    n = max(V.MIN_SLICES, min(int(slices), V.MAX_SLICES))
+    n = slices
     start = F.unix_micros(as_timestamp(as_of)) - since_s * 1_000_000
     index = F.floor((F.unix_micros("timestamp") - start) * n / F.lit(float(since_s * 1_000_000))).cast("int")
     rows = flows.withColumn("slice_index", index).filter(F.col("slice_index").between(0, n - 1))
@@ -332,13 +341,15 @@ def flow_slices(flows: DataFrame, as_of, since_s: int = 3600, slices: int = 12)
 
 
 def time_lapse(flows: DataFrame, as_of, since_s: int = 3600, slices: int = 12) -> DataFrame:
-    """Per slice with traffic: edges, new edges, volume and bytes per second."""
-    n = max(V.MIN_SLICES, min(int(slices), V.MAX_SLICES))
+    """Per slice, with traffic or without: edges, new edges, volume and bytes per second."""
+    n = slices
     width = since_s / n
     start = as_timestamp(as_of) - seconds(since_s)
-    return (flow_slices(flows, as_of, since_s, slices).groupBy("slice_index").agg(
+    busy = flow_slices(flows, as_of, since_s, slices).groupBy("slice_index").agg(
         F.count("*").alias("total_edges"), F.count_if("is_new").alias("new_edges"),
         F.sum("volume").alias("total_volume"))
+    every = flows.sparkSession.range(n).select(F.col("id").cast("int").alias("slice_index"))
+    return (every.join(busy, "slice_index", "left").na.fill(0, ["total_edges", "new_edges", "total_volume"])
         .withColumn("timestamp_start", F.timestamp_micros(
             F.unix_micros(start) + (F.col("slice_index") * (width * 1e6)).cast("long")))
         .withColumn("bytes_per_sec", F.round(F.col("total_volume") * V.DEFAULT_SAMPLE_BYTES

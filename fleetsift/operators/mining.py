@@ -90,7 +90,7 @@ def validate_rules(candidates: DataFrame, written_by_model: bool = False) -> Dat
 
     A pattern written by a model must also match neither negative control.
     """
-    java = F.regexp_replace("pattern", r"\(\?P<\w+>", "(")
+    java = F.concat(F.lit(UNICODE), F.regexp_replace("pattern", r"\(\?P<\w+>", "("))  # word characters as in Python
     judged = candidates.withColumn("_java", java).withColumn(
         "matched", F.size(F.filter("samples", lambda s: covers(s, F.col("_java")))))
     keep = F.col("matched") >= F.greatest(F.lit(1), F.size("samples") - 1)

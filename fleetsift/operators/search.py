@@ -92,27 +92,30 @@ def log_filter(df: DataFrame, *, event=None, instance=None, source=None, q=None,
 
 
 def clamp_limit(limit: int, cap: int = V.HARD_ROW_CAP) -> int:
+    """For callers that take limits from outside."""
     return max(1, min(int(limit), cap))
 
 
-def search_logs(df: DataFrame, limit: int = V.DEFAULT_ROWS, **filters) -> DataFrame:
-    """Newest first, ties by id; the limit is held between 1 and the hard cap."""
-    return (df.filter(log_filter(df, **filters))
-            .orderBy(F.desc("timestamp"), F.desc("id")).limit(clamp_limit(limit)))
+def search_logs(df: DataFrame, limit: int | None = V.DEFAULT_ROWS, **filters) -> DataFrame:
+    """Newest first, ties by id; as many as asked for, all of them without a limit."""
+    if limit is not None and limit < 1:
+        raise ValueError("a limit is at least 1")
+    found = df.filter(log_filter(df, **filters)).orderBy(F.desc("timestamp"), F.desc("id"))
+    return found if limit is None else found.limit(int(limit))
 
 
 def surface_search(df: DataFrame, limit: int = V.DEFAULT_ROWS, **filters) -> DataFrame:
     """search_logs with the cap of a request from outside."""
-    return search_logs(df, min(int(limit), V.SURFACE_ROW_CAP), **filters)
+    return search_logs(df, clamp_limit(limit, V.SURFACE_ROW_CAP), **filters)
 
 
 def count_logs(df: DataFrame, **filters) -> DataFrame:
     return df.filter(log_filter(df, **filters)).agg(F.count("*").alias("matched"))
 
 
-def search_with_truncation(df: DataFrame, limit: int, **filters) -> DataFrame:
+def search_with_truncation(df: DataFrame, limit: int | None, **filters) -> DataFrame:
     """One row: how many rows match, how many a search returns, and whether it stops short."""
-    shown = F.least(F.col("matched"), F.lit(clamp_limit(limit)).cast("long"))
+    shown = F.col("matched") if limit is None else F.least(F.col("matched"), F.lit(limit).cast("long"))
     cut = F.col("returned") < F.col("matched")
     return (count_logs(df, **filters).withColumn("returned", shown).withColumn("truncated", cut)
             .withColumn("note", F.when(F.col("truncated"), F.format_string(

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+from re import _parser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
@@ -14,30 +18,56 @@ from ..schema import RULE
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule as the generated expressions need it: groups by position."""
+    """A rule with the literal text that every line it matches holds ('' where it has none)."""
     event: str
     pattern: str
-    names: dict = field(default_factory=dict)
-    java: str = ""
+    literal: str = ""
 
     @classmethod
     def of(cls, event: str, pattern: str) -> "Rule | None":
         """None for a pattern that does not compile."""
-        try:
-            groups = dict(re.compile(pattern).groupindex)
-        except re.error:
-            return None
-        return cls(event, pattern, groups, re.sub(r"\(\?P<\w+>", "(", pattern))
-
-
-def read_rules(rules: DataFrame, max_rules: int = 20_000) -> list[Rule]:
-    """The rules in order, for building expressions; refuses a table that is no rule set."""
-    rows = rules.orderBy("priority", "event").select("event", "pattern").limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} rules")
+        return None if refusal(pattern) else cls(event, pattern, _literal(_parser.parse(pattern)))
+
+
+def refusal(pattern: str) -> str | None:
+    """Why a pattern is no regular expression; None if it is one."""
+    try:
+        re.compile(pattern)
+    except (re.error, TypeError, OverflowError, RecursionError) as e:
+        return str(e)
+    return None
+
+
+def _literal(tree) -> str:
+    """The longest run of plain characters that a parsed pattern cannot do without."""
+    if getattr(tree, "state", None) is not None and tree.state.flags & re.IGNORECASE:
+        return ""
+    best = run = ""
+    for op, value in tree:
+        if op is _parser.LITERAL:
+            run += chr(value)
+            continue
+        inner = ""
+        if op is _parser.SUBPATTERN and not value[1] & re.IGNORECASE:
+            inner = _literal(value[3])
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] > 0:
+            inner = _literal(value[2])
+        best, run = max(best, run, inner, key=len), ""
+    return max(best, run, key=len)
+
+
+def read_rules(rules: DataFrame) -> list[Rule]:
+    """The rules in order. `rejected_rules` has those that do not compile."""
+    rows = rules.orderBy("priority", "event").select("event", "pattern").collect()
     return [r for r in (Rule.of(row.event, row.pattern) for row in rows) if r]
 
 
+def rejected_rules(rules: DataFrame) -> DataFrame:
+    """(event, pattern, reason) of the rules that cannot be used."""
+    rows = [(r.event, r.pattern, refusal(r.pattern)) for r in rules.orderBy("priority", "event").select("event", "pattern").collect()]
+    return rules.sparkSession.createDataFrame([r for r in rows if r[2]], "event string, pattern string, reason string")
+
+
 def covers(line: Column, java_pattern) -> Column:
     """The first match spans at least 70 % of the stripped line."""
     pattern = java_pattern if isinstance(java_pattern, Column) else F.lit(java_pattern)
@@ -46,38 +76,42 @@ def covers(line: Column, java_pattern) -> Column:
     return (text > 0) & (found >= text * V.MIN_COVERAGE)
 
 
-def match_templates(lines: DataFrame, rules: list[Rule], chunk: int = 50) -> DataFrame:
+@lru_cache(maxsize=8)
+def _compiled(rules: tuple) -> list:
+    return [(r.literal, re.compile(r.pattern).search, r.event) for r in rules]
+
+
+def _first_match(line: str | None, compiled: list) -> tuple:
+    """Event, field names and values by the first rule that covers the line."""
+    need = len(line.strip()) * V.MIN_COVERAGE if line else 0
+    if need:
+        for literal, search, event in compiled:
+            if literal in line:
+                found = search(line)
+                if found and found.end() - found.start() >= need:
+                    fields = found.groupdict()
+                    return event, list(fields), list(fields.values())
+    return "unstructured", [], []
+
+
+def match_templates(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     """Adds event and kv by the first rule that covers the line; else unstructured, {}.
 
-    The winner is found by short-circuiting chains of about `chunk` rules; only
-    its own pattern is then read for fields. Each step is a projection of its
-    own, so no regex runs twice for the same purpose.
+    Lines pass through Python in Arrow batches: the patterns are Python's, so word characters are
+    Unicode, references back work, and a group that took no part is null. The plan is one step however
+    many rules there are; a rule's expression runs only for lines that hold its literal text.
     """
-    raw = F.col("raw")
-    groups = [range(i, min(i + chunk, len(rules))) for i in range(0, len(rules), chunk)]
-    chains = []
-    for members in groups:
-        chain = None
-        for i in members:
-            hit = covers(raw, rules[i].java)
-            chain = F.when(hit, i) if chain is None else chain.when(hit, i)
-        chains.append(chain)
-    found = F.coalesce(*chains) if chains else F.lit(None).cast("int")
-    staged = lines.withColumn("_rule", found)
-    empty = F.expr("cast(map() as map<string,string>)")
-    fields = event = None
-    for i, rule in enumerate(rules):
-        pairs = [x for name, at in rule.names.items()
-                 for x in (F.lit(name), F.regexp_extract(raw, rule.java, at))]
-        value = F.create_map(*pairs) if pairs else empty
-        fields = (F if fields is None else fields).when(F.col("_rule") == i, value)
-        event = (F if event is None else event).when(F.col("_rule") == i, F.lit(rule.event))
-    if not rules:
-        fields, event = empty, F.lit("unstructured")
-    else:
-        fields, event = fields.otherwise(empty), event.otherwise("unstructured")
-    return (staged.withColumn("event", event).withColumn("_fields", fields)
-            .withColumn("kv", normalize_fields(F.col("_fields"))).drop("_rule", "_fields"))
+    known = tuple(rules)
+
+    @F.pandas_udf("event string, names array<string>, found array<string>")
+    def first_match(raw: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        compiled = _compiled(known)
+        for part in raw:
+            yield pd.DataFrame([_first_match(line, compiled) for line in part], columns=["event", "names", "found"])
+
+    fields = F.map_from_arrays("_m.names", "_m.found")
+    return (lines.withColumn("_m", first_match("raw")).withColumn("event", F.col("_m.event"))
+            .withColumn("kv", normalize_fields(fields)).drop("_m"))
 
 
 # ---- the rules table -----------------------------------------------------------
@@ -144,4 +178,4 @@ def template_usage(events: DataFrame, rules: DataFrame, order_by: str = "hits",
     hits = events.groupBy("event").agg(F.count("*").alias("hits"))
     usage = rules.join(hits, "event", "left").select(
         "event", "pattern", "created_at", F.coalesce("hits", F.lit(0)).alias("hits"))
-    return usage.orderBy(F.desc(order_by), "event").limit(min(int(limit), 200))
+    return usage.orderBy(F.desc(order_by), "event").limit(int(limit))

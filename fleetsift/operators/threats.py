@@ -37,7 +37,8 @@ def rank_key() -> Column:
 
 
 def _distinct_paths(hits: DataFrame, max_paths: int) -> DataFrame:
-    """Per ip the first max_paths distinct hostile paths, scanning newest first.
+    """Per ip how many distinct hostile paths there are (hostile_paths), and of the first max_paths of
+    them, scanning newest first, how many (distinct_paths) and which (sample_paths, eight).
 
     The rank filter is applied before the shuffle as well, so each task passes on
     at most max_paths rows of an ip however many it holds.
@@ -46,8 +47,9 @@ def _distinct_paths(hits: DataFrame, max_paths: int) -> DataFrame:
               .agg(F.max(F.struct("timestamp", "id")).alias("newest")))
     order = Window.partitionBy("ip").orderBy(F.desc("newest.timestamp"), F.desc("newest.id"))
     first = newest.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_paths)
-    return first.groupBy("ip").agg(F.count("*").alias("distinct_paths"),
-                                   F.slice(F.array_sort(F.collect_list("path")), 1, 8).alias("sample_paths"))
+    shown = first.groupBy("ip").agg(F.count("*").alias("distinct_paths"),
+                                    F.slice(F.array_sort(F.collect_list("path")), 1, 8).alias("sample_paths"))
+    return shown.join(newest.groupBy("ip").agg(F.count("*").alias("hostile_paths")), "ip")
 
 
 def threat_actors(hits: DataFrame, min_hits: int = 1, max_paths: int = 40) -> DataFrame:
@@ -90,6 +92,7 @@ def threat_actors(hits: DataFrame, min_hits: int = 1, max_paths: int = 40) -> Da
         F.col("n").alias("hits"), "hostile_hits", F.col("benign").alias("benign_hits"), "techniques",
         F.array_sort(F.array_distinct(F.transform(F.map_keys("techniques"), tactic_of))).alias("tactics"),
         "fingerprint", "targets", F.coalesce("distinct_paths", F.lit(0)).alias("distinct_paths"),
+        F.coalesce("hostile_paths", F.lit(0)).alias("hostile_paths"),
         F.coalesce("sample_paths", F.array().cast("array<string>")).alias("sample_paths"),
         "statuses", "first_seen", F.col("newest.timestamp").alias("last_seen"), "newest",
         actor_score(F.col("techniques"), F.col("hostile_hits"), F.size("targets")).alias("score"))

@@ -37,7 +37,7 @@ def threat_view(events: DataFrame, topology: Topology | None = None, owners: Dat
     filters = dict(q=q, since_s=since_s, as_of=as_of)
     rows = (events.filter(log_filter(events, **filters)) if limit is None
             else search_logs(events, limit, **filters))
-    scanned = search_with_truncation(events, limit or 2**31 - 1, **filters)
+    scanned = search_with_truncation(events, limit, **filters)
     hits, requests = T.access_hits(rows), B.client_requests(rows)
     hits = cut_lineage(hits) if topology else hits
     internal = topology.internal_addresses() if topology else None

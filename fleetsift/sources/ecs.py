@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as V
-from ..functions.documents import claimed_keys, first_key, flatten_json, is_object, text_of
+from ..functions.documents import claimed_keys, deepest, first_key, flatten_json, is_object, text_of
 from ..functions.times import clamp_ts, parse_ts
 
 
@@ -44,12 +44,14 @@ def _combined_line(p: dict) -> Column:
                            part("status", "000"), part("referer", "-"), part("ua", "-"))
 
 
-def map_ecs(documents: DataFrame, as_of, max_depth: int = 8) -> DataFrame:
+def map_ecs(documents: DataFrame, as_of, max_depth: int | None = None) -> DataFrame:
     """Log rows of ECS documents (doc), with `stored` false where nothing can be kept.
 
     Adds event, labels, kv (text of every value), kv_v (typed values), raw, ts and
     _ts_suspect inside kv. Each step is a projection of its own.
     """
+    if max_depth is None:
+        max_depth = 8 if documents.isStreaming else deepest(documents, "doc")
     typed = documents.withColumn("_typed", flatten_json(F.col("doc"), max_depth))
     flat = typed.withColumn("_flat", F.map_filter(
         F.transform_values("_typed", lambda _, v: text_of(v)), lambda _, v: v.isNotNull()))

@@ -55,6 +55,8 @@ class Hysteresis(StatefulProcessor):
         out = []
         for tick, n, total in zip(batch["tick"], batch["n"], batch["total"]):
             at = int(tick.timestamp())
+            if saved["ticks"] and at - saved["ticks"][-1][0] > self.limits["window_s"]:
+                saved["active"] = False  # aged out
             saved["ticks"] = [t for t in saved["ticks"] if t[0] > at - self.limits["window_s"]] + [[at, int(n)]]
             measure, turn = self._judge(kind, saved["ticks"], int(n), int(total))
             saved["active"] = saved["active"] if turn is None else turn

@@ -170,3 +170,32 @@ def test_flatten(spark):
     v = F.try_parse_json(F.lit('{"a":{"b":1,"c":{}},"x.y":[1],"n":null}'))
     flat = one(spark, F.transform_values(documents.flatten_json(v), lambda _, x: F.to_json(x)))
     assert flat == {"a.b": "1", "a.c": "{}", "x.y": "[1]", "n": "null"}
+
+
+def test_rules_follow_python(spark):
+    rules = [TP.Rule.of("twice", r"(?P<q>['\"]).*(?P=q) said"), TP.Rule.of("word", r"user=(?P<u>\w+)(?: from (?P<src>\S+))?"), TP.Rule.of("digits", r"n\d+")]
+    got = TP.match_templates(lines_df(spark, ["user=m\u00fcller\u00df", "'a b' said", "user=x from 10.0.0.1", "  n12345 ", "n1 and then a lot of other text", ""]), rules)
+    rows = [(r.event, r.kv) for r in got.orderBy("id").collect()]
+    assert rows[0][0] == "word" and rows[0][1]["u"] == "m\u00fcller\u00df"
+    assert [e for e, _ in rows[1:]] == ["twice", "word", "digits", "unstructured", "unstructured"] and rows[4][1] == {}
+
+
+def test_rules_that_do_not_compile_are_told(spark):
+    rules = rules_df(spark, [("good", "a+"), ("bad", "(x"), ("worse", "(?P=q)")])
+    assert [r.event for r in TP.read_rules(rules)] == ["good"]
+    assert {r.event: bool(r.reason) for r in TP.rejected_rules(rules).collect()} == {"bad": True, "worse": True}
+
+
+def test_plan_does_not_grow_with_the_rules(spark):
+    size = lambda n: len(TP.match_templates(lines_df(spark, ["x"]), [TP.Rule.of(f"e{k}", f"text {k} (?P<f{k}>.*)") for k in range(n)])._jdf.queryExecution().toString())
+    assert size(1400) < 1.2 * size(5)
+
+
+def test_objects_ten_levels_deep(spark):
+    deep = "1"
+    for k in range(10, 0, -1):
+        deep = '{"k%d": %s, "t": "}{"}' % (k, deep)
+    v = spark.createDataFrame([(deep,), ('{"a": [1, {"b": 2}]}',), ("[]",), (None,)], "value string").select(F.try_parse_json("value").alias("v"))
+    assert documents.deepest(v, "v") == 10
+    keys = v.select(F.explode(documents.flatten_json(F.col("v"), documents.deepest(v, "v"))).alias("k", "x")).select("k").collect()
+    assert ".".join(f"k{k}" for k in range(1, 11)) in {r.k for r in keys}

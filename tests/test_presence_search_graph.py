@@ -164,3 +164,29 @@ def test_longest_prefix_wins(spark):
     got = {r.ip: r for r in O.owners_by_prefix(spark.createDataFrame([("10.1.2.3",), ("10.9.9.9",), ("11.0.0.1",)], "ip string"), blocks).collect()}
     assert got["10.1.2.3"].org == "narrow" and (got["10.9.9.9"].org, got["10.9.9.9"].asn, got["10.9.9.9"].country) == ("wide", None, None)
     assert "11.0.0.1" not in got
+
+
+def test_unlimited_scans_are_not_cut(spark):
+    many = spark.range(250_000).select(F.col("id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("timestamp"), F.lit("e").alias("event"),
+                                       F.lit("GET HTTP/1.1").alias("raw"), F.create_map(F.lit("instance"), F.lit("h")).alias("labels"), F.expr("map('a', 'b')").alias("kv"))
+    all_rows = S.search_with_truncation(many, None, q="HTTP/1.1").first()
+    assert (all_rows.matched, all_rows.returned, all_rows.truncated, all_rows.note) == (250_000, 250_000, False, None)
+    some = S.search_with_truncation(many, 200_001, q="HTTP/1.1").first()
+    assert (some.returned, some.truncated) == (200_001, True)
+    assert S.search_logs(many, None).count() == 250_000 and S.surface_search(many, 10**9).count() == 1000
+    with pytest.raises(ValueError):
+        S.search_logs(many, 0)
+
+
+def test_processes_of_internal_edges(spark):
+    edges = spark.createDataFrame([("h1:a", "h1:b", 1.0, 2.0), ("h1:a", "x", 1.0, 2.0), ("x", "h1", 1.0, 2.0)], "source string, target string, rate_1m double, bytes_per_sec double")
+    got = {r.direction: r.processes for r in G.host_flow_summary(G.host_flows(edges, "h1")).collect()}
+    assert got == {"internal": ["a", "b"], "outbound": ["a"], "inbound": []}
+
+
+def test_alarms_age_out(spark):
+    at = lambda k, n, z: ("rate_spike", "h", "e", k, n, 10, z, 1.0)
+    ticks = spark.createDataFrame([at(0, 100, 9.0), at(60, 5, 3.0), at(60 + 900, 5, 3.0), at(60 + 900 + 901, 5, 3.0), at(4000, 100, 9.0)],
+                                  "kind string, instance string, event string, s long, n long, buckets long, measure double, avg_1m double")
+    rows = anomaly.hysteresis(ticks.withColumn("tick", F.timestamp_seconds("s"))).orderBy("s").collect()
+    assert [r.active for r in rows] == [True, True, True, False, True]
