@@ -103,7 +103,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
             return {"y": [int(y > 0) for y in batch["y"]], "hits": hits}
         return run
 
-    got = map_batches(sample, selecting, "y int, hits array<int>").orderBy(F.xxhash64("y", "hits")).collect()
+    got = sorted(map_batches(sample, selecting, "y int, hits array<int>").collect(), key=lambda row: (row["hits"], row["y"]))
     cols = np.array([c for row in got for c in row["hits"]], np.int64)
     rows = np.repeat(np.arange(len(got)), [len(row["hits"]) for row in got])
     w, bias = fit_logistic(rows, cols, r[cols], np.array([row["y"] for row in got], float), len(picked), l2=s.l2)
