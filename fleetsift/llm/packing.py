@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -76,6 +77,12 @@ class Encoder:
                 for t, parts, ok in zip(texts, split, plain)]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python process; tasks that run in it one after another share what it has seen."""
+    return Encoder(path)
+
+
 def cut_lengths(n: int, capacity: int) -> list[int]:
     """Lengths of a document's pieces: full ones, with what is left over in front."""
     first = n % capacity
@@ -93,12 +100,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
     names = ["i", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def make():
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        own_encoder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
 
         def work(batch: dict) -> dict:
             rows = []
             for at in range(0, len(batch["i"]), 64):
-                for i, data in zip(batch["i"][at:at + 64], encoder.encode([t or "" for t in batch["t"][at:at + 64]])):
+                for i, data in zip(batch["i"][at:at + 64], own_encoder.encode([t or "" for t in batch["t"][at:at + 64]])):
                     data, start = data + end, 0
                     for k, n in enumerate(cut_lengths(len(data) // 4, capacity)):
                         own = data[4 * start:4 * (start + n)]
