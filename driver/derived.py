@@ -112,10 +112,8 @@ FROM (
 
 
 def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events, spread over the cores when the file gives fewer splits than that."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return events.repartition(cores) if events.rdd.getNumPartitions() < cores else events
+    """The events, spread evenly: a small file is one split."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").repartition(spark.sparkContext.defaultParallelism)
 
 
 def flat_log(spark: SparkSession, sf_dir: str, clock: str = "real") -> DataFrame:

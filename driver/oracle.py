@@ -440,7 +440,8 @@ SQL["topology_shifts"] = compressed("SELECT edge_id, type, severity, rate_1m FRO
 SQL["silent_links"] = compressed("SELECT edge_id, type, severity, rate_1m FROM shift", *edge_tables(130), USUAL)
 DECLARED_TYPE = "declnode(id, t) AS (VALUES ('hub', 'server'), ('hub:ingest', 'service'), ('hub:dnsmasq', 'service'), ('host-0', 'server'), ('host-1', 'server'), ('host-2', 'server'), ('host-3', 'workstation'), ('host-0:sshd', 'service'), ('host-1:nginx', 'service'), ('gw', 'gateway'))"
 NODES = """node AS (SELECT id, coalesce(t, CASE WHEN id LIKE 'external:%' THEN 'external' WHEN dials THEN 'client' ELSE 'service' END) AS type, t IS NOT NULL AS declared
-  FROM declnode FULL JOIN (SELECT id, bool_or(dials) AS dials FROM (SELECT source AS id, true AS dials FROM edge UNION ALL SELECT target, false FROM edge) GROUP BY id) USING (id))"""
+  FROM declnode FULL JOIN (SELECT id, dials FROM (SELECT source AS id, true AS dials, first_seen FROM edge UNION ALL SELECT target, false, first_seen FROM edge)
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY first_seen, dials DESC) = 1) USING (id))"""
 SQL["node_states"] = compressed("""SELECT id, any_value(type) AS type, any_value(node.declared)::INT AS declared,
     CASE WHEN bool_or(silent AND expected_min_rate >= 2) THEN 'DEGRADED' WHEN bool_or(surge AND NOT silent) THEN 'SURGING' ELSE 'HEALTHY' END AS status
   FROM node LEFT JOIN judged ON id = source OR id = target GROUP BY id""", *edge_tables(130), USUAL, DECLARED_TYPE, NODES)

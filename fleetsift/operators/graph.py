@@ -125,10 +125,10 @@ def graph_nodes(edges: DataFrame, topology: Topology) -> DataFrame:
     """Declared nodes and every endpoint seen: id, name, type, ips, declared, seen times.
 
     An undeclared id that starts with 'external:' is external, another one a
-    client if it ever was a source, else a service.
+    client if it was a source when first seen, else a service.
     """
     seen = _ends(edges, "first_seen", "last_seen").groupBy("id").agg(
-        F.bool_or(F.col("role") == "source").alias("dials"), F.min("first_seen").alias("first_seen"),
+        (F.min(F.struct("first_seen", "role"))["role"] == "source").alias("dials"), F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"))
     kind = (F.when(F.col("id").startswith("external:"), "external").when(F.col("dials"), "client")
             .otherwise("service"))

@@ -25,27 +25,39 @@ def attach_owner(actors: DataFrame, owners: DataFrame, rdns: DataFrame | None =
     return out.join(rdns.select("ip", "rdns"), "ip", "left")
 
 
-def _ipv4_number(c):
-    part = lambda i: F.split(c, r"\.")[i].try_cast("bigint")
-    return part(0) * 16777216 + part(1) * 65536 + part(2) * 256 + part(3)
+def _bits(address):
+    """An IPv4 or IPv6 address as text of 32 or 128 binary digits; null for anything else."""
+    octets = F.transform(F.split(address, r"\."), lambda x: F.lpad(F.bin(x.try_cast("bigint")), 8, "0"))
+    halves = F.split(F.lower(address), "::")
+    groups = lambda half: F.filter(F.split(F.coalesce(F.get(halves, half), F.lit("")), ":"), lambda x: x != "")
+    left, right = groups(0), groups(1)
+    zeros = F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right))
+    nibbles = F.split(F.array_join(F.transform(F.concat(left, zeros, right), lambda x: F.lpad(x, 4, "0")), ""), "")
+    wide = F.array_join(F.transform(nibbles, lambda x: F.lpad(F.conv(F.bin(F.conv(x, 16, 10).try_cast("bigint")), 2, 2), 4, "0")), "")
+    found = (F.when(address.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.array_join(octets, ""))
+             .when(address.rlike(r"(?i)^[0-9a-f:]*:[0-9a-f:]*$") & (F.size(left) + F.size(right) <= 8), wide))
+    return F.when(F.length(found).isin(32, 128), found)
 
 
 def owners_by_prefix(addresses: DataFrame, netblocks: DataFrame) -> DataFrame:
-    """Ownership of each address from a table by netblock; the longest prefix wins.
+    """Ownership of each address from a table by netblock, IPv4 or IPv6; the longest prefix wins.
 
     Every address meets one candidate network per prefix length in use, so this
-    is an equi-join on (length, network) instead of a range comparison.
+    is an equi-join on the network's binary digits instead of a range comparison.
     """
-    blocks = (_clean(netblocks).filter(F.col("prefix").rlike(r"^\d+\.\d+\.\d+\.\d+/\d+$"))
-              .withColumn("length", F.substring_index("prefix", "/", -1).cast("int"))
-              .withColumn("network", F.call_function("div", _ipv4_number(F.substring_index("prefix", "/", 1)),
-                                                     F.expr("shiftleft(1L, 32 - length)"))))
-    probes = (addresses.select("ip").distinct().filter(F.col("ip").rlike(r"^\d+\.\d+\.\d+\.\d+$"))
-              .withColumn("number", _ipv4_number(F.col("ip")))
-              .withColumn("length", F.explode(F.sequence(F.lit(0), F.lit(32))))
-              .withColumn("network", F.call_function("div", F.col("number"),
-                                                     F.expr("shiftleft(1L, 32 - length)"))))
-    found = probes.join(blocks, ["length", "network"])
+    blocks = (_clean(netblocks).withColumn("length", F.substring_index("prefix", "/", -1).try_cast("int"))
+              .withColumn("bits", _bits(F.substring_index("prefix", "/", 1)))
+              .filter(F.col("length").between(0, F.length("bits")))
+              .withColumn("wide", F.length("bits")).withColumn("network", F.expr("substring(bits, 1, length)")))
+    used = blocks.select("wide", "length").distinct().collect()  # at most 33 + 129 rows
+    probes = (addresses.select("ip").distinct().withColumn("bits", _bits(F.col("ip"))).filter("bits is not null")
+              .withColumn("wide", F.length("bits"))
+              .withColumn("length", F.explode(F.filter(F.array(*[F.struct(F.lit(r["wide"]).alias("w"), F.lit(r["length"]).alias("n")) for r in used]),
+                                                       lambda u: u["w"] == F.col("wide"))["n"]))
+              .withColumn("network", F.expr("substring(bits, 1, length)"))) if used else None
+    if probes is None:
+        return blocks.select(F.lit(None).cast("string").alias("ip"), *OWNER_COLUMNS).limit(0)
+    found = probes.select("ip", "wide", "length", "network").join(blocks.drop("bits"), ["wide", "length", "network"])
     return found.groupBy("ip").agg(
         F.max_by(F.struct(*OWNER_COLUMNS), F.struct("length", "prefix", "asn")).alias("owner")
     ).select("ip", "owner.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.times import as_timestamp, retention_window, seconds
@@ -29,10 +31,10 @@ def stored_rows(df: DataFrame, ingested_at=None) -> DataFrame:
 def write_events(df: DataFrame, path: str, ingested_at=None, mode: str = "append") -> None:
     """Append to the table at path, one folder per day, rows in a file by event and time.
 
-    Files are cut by task, not by day, so a day that holds most rows is written by
-    many tasks.
+    Rows are rebalanced by day first: small days come from one task each, and a day
+    that holds most rows is split over many.
     """
-    (stored_rows(df, ingested_at).sortWithinPartitions("event_date", "event", "timestamp")
+    (stored_rows(df, ingested_at).hint("rebalance", "event_date").sortWithinPartitions("event_date", "event", "timestamp")
      .write.mode(mode).partitionBy("event_date").parquet(path))
 
 
@@ -67,8 +69,9 @@ def retention_report(df: DataFrame, as_of, spec: str | None = None) -> DataFrame
 def apply_retention(spark: SparkSession, path: str, as_of, spec: str | None = None) -> int:
     """Delete rows of the table at path older than the window; returns how many.
 
-    Days wholly outside go as folders. Only the day the boundary falls in is
-    rewritten, through a copy in the shared folder.
+    Only the day the boundary falls in is rewritten, through a copy in the shared
+    folder and by replacing its folder; days wholly outside go as folders after
+    that. Run again after a failure, it finishes what is left.
     """
     window = retention_window(spec)
     if window is None:
@@ -83,12 +86,16 @@ def apply_retention(spark: SparkSession, path: str, as_of, spec: str | None = No
     boundary = table.filter(F.col("event_date") == F.lit(bounds.day))
     copy = scratch_path(spark, "retention")
     boundary.filter(F.col("timestamp") >= F.lit(bounds.cut)).write.parquet(copy)
+    kept = spark.read.schema(boundary.schema).parquet(copy)
+    gone = bounds.day
+    if kept.limit(1).count():
+        (kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("event_date").parquet(path))
+        gone = (date.fromisoformat(bounds.day) - timedelta(days=1)).isoformat()
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     for status in fs.listStatus(root):
         name = status.getPath().getName()
-        if name.startswith("event_date=") and name.split("=", 1)[1] <= bounds.day:
+        if name.startswith("event_date=") and name.split("=", 1)[1] <= gone:
             fs.delete(status.getPath(), True)
-    (spark.read.schema(boundary.schema).parquet(copy).write.mode("append")
-     .partitionBy("event_date").parquet(path))
     return deleted

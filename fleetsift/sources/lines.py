@@ -46,6 +46,28 @@ def json_lines_of(df: DataFrame, labels: dict | None = None, column: str = "valu
             .filter("raw != ''"))
 
 
+def rejected_bodies(df: DataFrame, column: str = "value") -> DataFrame:
+    """One row: how many bodies there are, and how many of them are no JSON and so give no lines."""
+    blank = F.trim(F.coalesce(column, F.lit(""))) == ""
+    return df.agg(F.count_if(~blank).alias("bodies"), F.count_if(~blank & F.try_parse_json(column).isNull()).alias("rejected"))
+
+
+def identified(lines: DataFrame, labels: dict | None = None) -> DataFrame:
+    """Lines from any reader here as (id, ts, raw, labels), ready for ingest.
+
+    Log-stream entries keep their time and get an id from time, labels and line, so that an entry read
+    twice is the same row. Other lines have no time yet; their id comes from the line and its place in
+    the reading.
+    """
+    if "ts_ns" in lines.columns:
+        raw, ts, place = F.col("line"), F.timestamp_micros(F.call_function("div", F.col("ts_ns"), F.lit(1000))), F.col("ts_ns")
+    else:
+        raw, ts, place = F.col("raw"), F.lit(None).cast("timestamp"), F.monotonically_increasing_id()
+    own = F.map_concat(_labels(labels), "labels") if labels else F.col("labels")
+    key = F.array_join(F.transform(F.array_sort(F.map_entries(own)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return lines.select(F.xxhash64(place, key, raw).alias("id"), ts.alias("ts"), raw.alias("raw"), own.alias("labels"))
+
+
 def read_json_lines(spark: SparkSession, path: str, labels: dict | None = None) -> DataFrame:
     return json_lines_of(spark.read.text(path, wholetext=True), labels)
 

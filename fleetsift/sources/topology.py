@@ -23,11 +23,6 @@ FILE = T.StructType([
 ])
 
 
-def if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """df with a broadcast hint when it has at most max_rows rows, else as it is."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 @dataclass
 class Topology:
     """nodes (id, name, type, ip, ips, role), edges, and the collector's own node id."""
@@ -48,13 +43,13 @@ class Topology:
 
     @cached_property
     def lookup(self) -> DataFrame:
-        """aliases, hinted for broadcast only after its size was looked at."""
-        return if_small(cut_lineage(self.aliases()))
+        """aliases, written once, so that their size is known where they are joined."""
+        return cut_lineage(self.aliases())
 
     @cached_property
     def ids(self) -> DataFrame:
-        """(node_id), hinted for broadcast only after its size was looked at."""
-        return if_small(cut_lineage(self.nodes.select(F.col("id").alias("node_id")).distinct()))
+        """(node_id), written once, so that their size is known where they are joined."""
+        return cut_lineage(self.nodes.select(F.col("id").alias("node_id")).distinct())
 
     def internal_addresses(self) -> DataFrame:
         """(ip) of everything that resolves to a declared node."""

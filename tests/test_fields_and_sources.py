@@ -199,3 +199,20 @@ def test_objects_ten_levels_deep(spark):
     assert documents.deepest(v, "v") == 10
     keys = v.select(F.explode(documents.flatten_json(F.col("v"), documents.deepest(v, "v"))).alias("k", "x")).select("k").collect()
     assert ".".join(f"k{k}" for k in range(1, 11)) in {r.k for r in keys}
+
+
+def test_every_reader_reaches_the_store(spark, tmp_path):
+    from fleetsift.operators import search as S
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("peer 10.0.0.1 is up\n\n  peer 10.0.0.2 is down \n")
+    bodies = spark.createDataFrame([('["peer 10.0.0.3 is up", {"line": "x"}]',), ("{broken",)], "value string")
+    streams = spark.createDataFrame([('{"streams": [{"stream": {"job": "j"}, "values": [["1704067200000000000", "peer 10.0.0.4 is up"], ["x", "y"]]}]}',)], "value string")
+    rules = [TP.Rule.of("peer", r"peer (?P<ip>[\d.]+) is (?P<state>\w+)")]
+    parts = [LN.identified(LN.read_lines(spark, str(tmp_path / "in"))), LN.identified(LN.json_lines_of(bodies)), LN.identified(LN.log_stream_entries(streams))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    EV.write_events(ingest.to_store(ingest.ingest_lines(rows, rules, "2024-01-02 00:00:00")), str(tmp_path / "log"), ingested_at="2024-01-02 00:00:00")
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.select("id").distinct().count() == log.count() == 5
+    assert [r.raw for r in S.search_logs(log, 10, kv="ip:10.0.0.4").collect()] == ["peer 10.0.0.4 is up"]
+    assert log.where("event = 'peer'").count() == 4
+    assert tuple(LN.rejected_bodies(bodies).first()) == (2, 1)

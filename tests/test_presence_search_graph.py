@@ -190,3 +190,20 @@ def test_alarms_age_out(spark):
                                   "kind string, instance string, event string, s long, n long, buckets long, measure double, avg_1m double")
     rows = anomaly.hysteresis(ticks.withColumn("tick", F.timestamp_seconds("s"))).orderBy("s").collect()
     assert [r.active for r in rows] == [True, True, True, False, True]
+
+
+def test_longest_prefix_of_both_families(spark):
+    blocks = spark.createDataFrame([("a", "10.0.0.0/8"), ("b", "10.1.0.0/16"), ("c", "2001:db8::/32"), ("d", "2001:db8:0:1::/64"), ("e", "0.0.0.0/0"), ("f", "junk")], "asn string, prefix string")
+    for c in ("country", "registry", "allocated", "org"):
+        blocks = blocks.withColumn(c, F.lit("x"))
+    ips = spark.createDataFrame([("10.1.2.3",), ("10.9.9.9",), ("192.0.2.1",), ("2001:db8::5",), ("2001:DB8:0:1::5",), ("2001:db9::",), ("::1",), ("host",), (None,)], "ip string")
+    assert {r.ip: r.asn for r in O.owners_by_prefix(ips, blocks).collect()} == {
+        "10.1.2.3": "b", "10.9.9.9": "a", "192.0.2.1": "e", "2001:db8::5": "c", "2001:DB8:0:1::5": "d"}
+    assert O.owners_by_prefix(ips, blocks.limit(0)).count() == 0
+
+
+def test_node_type_follows_the_first_sighting(spark):
+    edges = spark.createDataFrame([("a", "b", 1, 2), ("b", "c", 5, 6)], "source string, target string, f long, l long").select(
+        "source", "target", F.timestamp_seconds("f").alias("first_seen"), F.timestamp_seconds("l").alias("last_seen"))
+    top = TY.Topology(spark.createDataFrame([], "id string, name string, type string, ip string, ips array<string>, role string"), None)
+    assert {r.id: r.type for r in G.graph_nodes(edges, top).collect()} == {"a": "client", "b": "service", "c": "service"}
