@@ -15,8 +15,10 @@ An empty segment says little and is left out, unless the units a set could match
 exceed e; similar sets that match through nothing else both have more than e, so none is lost.
 
 Equal sets are one class from the start, and a task sends a class once. Sets with a common signature are
-candidates: all pairs in groups of a few sets; in larger groups each set with the group's first. Links
-are verified on whole sets. Where a larger group still spans several components, the pairs between its
+candidates: all pairs in groups of a few sets; in larger groups each set with the group's first. Sketches
+show most of those that are no links: sums over buckets, of which no more can differ than elements do.
+Links are verified on whole sets, the strongest candidate of every class first; candidates within a component
+need no more looking at. Where a larger group still spans several components, the pairs between its
 components are verified as well, so no link that joins two components is missed.
 """
 
@@ -79,6 +81,25 @@ class Settings:
         return [b for b in out if self.shape(bands[b][1])[0] > 0]
 
 
+def sketch(found: np.ndarray, share: int = 1) -> np.ndarray:
+    """Sums modulo 256 over a power of two of buckets, at least the number of elements by share.
+
+    Two sets differ in no fewer elements than buckets, so buckets that differ bound the difference.
+    """
+    size = 1 << (max(1, len(found) // share) - 1).bit_length()
+    at = ((found >> _U(32)) * _U(size) >> _U(32)).astype(np.int64)
+    return (np.bincount(at, weights=(found & _U(255)).astype(np.float64), minlength=size).astype(np.int64) & 255).astype(np.uint8)
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the number of elements in which two sketched sets differ."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) > len(a):
+        b = (b.reshape(len(a), -1).sum(axis=1, dtype=np.int64) & 255).astype(np.uint8)
+    return int(np.count_nonzero(a != b))
+
+
 class Segments:
     """The segments of one set in one band: 32-bit half sums of the elements, and element counts."""
 
@@ -117,23 +138,27 @@ def allowances(cost: np.ndarray, deletion_cost: np.ndarray, need: int, start: in
 
 
 def _first_pass(docs: DataFrame, s: Settings) -> DataFrame:
-    """(kind, i, n, cls): one row of kind 0 for each document; and of kind 1 the statistics of a task,
-    as (kind, band, segment, [sets, elements, signed sums])."""
+    """(kind, i, n, cls, sketch, coarse): one row of kind 0 for each document; and of kind 1 the statistics of a
+    task, as (kind, band, segment, [sets, elements, signed sums])."""
     kind = docs.schema["i"].dataType.simpleString()
-    arrow = pa.schema([("kind", pa.int32()), ("i", _arrow(docs, "i")), ("n", pa.int64()), ("cls", pa.int64()),
+    arrow = pa.schema([("kind", pa.int32()), ("i", _arrow(docs, "i")), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("coarse", pa.binary()),
                        ("band", pa.int32()), ("segment", pa.int32()), ("sums", pa.list_(pa.int64()))])
 
     def run(batches):
         bands, seen, held = s.bands(1000), set(), {}
         for batch in batches:
-            ids, n, cls = batch.column("i"), [], []
+            ids, n, cls, sketches, coarse = batch.column("i"), [], [], [], []
             for text in batch.column("t"):
                 found = shingle_set(text.as_py(), s.words)
                 mark = digest(found)
                 n.append(len(found))
                 cls.append(mark)
                 if not len(found) or mark in seen:
+                    sketches.append(None)
+                    coarse.append(None)
                     continue
+                sketches.append(sketch(found).tobytes())
+                coarse.append(sketch(found, 4).tobytes())
                 seen.add(mark)
                 while bands[-1][1] < len(found):
                     bands = s.bands(2 * bands[-1][1])
@@ -148,14 +173,14 @@ def _first_pass(docs: DataFrame, s: Settings) -> DataFrame:
                         sums[2 + k] += 1 - 2 * ((sig >> _U(k + 7)) & _U(1)).astype(np.int64)
             k = len(n)
             yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), ids, pa.array(n, pa.int64()), pa.array(cls, pa.int64()),
-                                              pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64()))], schema=arrow)
+                                              pa.array(sketches, pa.binary()), pa.array(coarse, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64()))], schema=arrow)
         for band, sums in held.items():
             k = sums.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, arrow.field("i").type), pa.nulls(k, pa.int64()),
-                                              pa.nulls(k, pa.int64()), pa.array([band] * k, pa.int32()), pa.array(range(k), pa.int32()),
+                                              pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array([band] * k, pa.int32()), pa.array(range(k), pa.int32()),
                                               pa.array(sums.T.tolist(), pa.list_(pa.int64()))], schema=arrow)
 
-    return docs.mapInArrow(run, f"kind int, i {kind}, n long, cls long, band int, segment int, sums array<long>")
+    return docs.mapInArrow(run, f"kind int, i {kind}, n long, cls long, sketch binary, coarse binary, band int, segment int, sums array<long>")
 
 
 def _arrow(docs: DataFrame, column: str) -> pa.DataType:
@@ -320,37 +345,94 @@ def _third_pass(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.repartition("x").sortWithinPartitions("x", "y").mapInArrow(run, "kind int, x long, y long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b, cls_a, cls_b) whose sets reach the likeness; a and b are ids of documents."""
-    id_type = docs.schema["i"].dataType.simpleString()
-    arrow = pa.schema([("a", _arrow(docs, "i")), ("cls_a", pa.int64()), ("b", _arrow(docs, "i")), ("cls_b", pa.int64()), ("own", pa.binary())])
+def _sifted(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """Candidates (cls_a, cls_b, w) as (a, cls_a, b, cls_b, w), without those whose sizes or sketches show
+    that they are no links. All go through coarse sketches, and those left through fine ones."""
+    names = ["a", "cls_a", "b", "cls_b", "w"]
 
-    def sets(batches):
+    def sift(batches):
         for batch in batches:
-            found = [shingle_set(t.as_py(), s.words) for t in batch.column("t")]
-            good = [digest(f) == c for f, c in zip(found, batch.column("want").to_pylist())]
-            out = [batch.column(n) for n in ("a", "cls_a", "b", "cls_b")] + [pa.array([f.tobytes() for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, schema=arrow).filter(pa.array(good))
-
-    shape = f"a {id_type}, cls_a long, b {id_type}, cls_b long, own binary"
-    of_b = (docs.join(pairs, docs["i"] == pairs["b"]).select("t", "a", "cls_a", "b", "cls_b", F.col("cls_b").alias("want"))
-            .mapInArrow(sets, shape).dropDuplicates(["cls_a", "cls_b"]))
-    firsts = pairs.select("a", "cls_a").distinct().withColumns({"b": F.col("a"), "cls_b": F.col("cls_a")})
-    of_a = (docs.join(firsts, docs["i"] == firsts["a"]).select("t", "a", "cls_a", "b", "cls_b", F.col("cls_a").alias("want"))
-            .mapInArrow(sets, shape).select(F.col("cls_a").alias("first"), F.col("own").alias("other")).dropDuplicates(["first"]))
+            ends = zip(*(batch.column(c) for c in ("n_a", "n_b", "of_a", "of_b")))
+            keep = [least_difference(*(np.frombuffer(v.as_buffer(), np.uint8) for v in (f, g))) * (100 + s.percent)
+                    <= (n.as_py() + m.as_py()) * (100 - s.percent) for n, m, f, g in ends]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names], names=names).filter(pa.array(keep, pa.bool_()))
+
+    for column in ("coarse", "sketch"):
+        end = lambda e: classes.select(F.col("cls").alias(f"cls_{e}"), F.col("rep").alias(e), F.col("n").alias(f"n_{e}"), F.col(column).alias(f"of_{e}"))
+        joined = (pairs.select("cls_a", "cls_b", "w").join(end("b"), "cls_b").join(end("a"), "cls_a")
+                  .where(f"100 * least(n_a, n_b) >= {s.percent} * greatest(n_a, n_b)").select(*names, "n_a", "n_b", "of_a", "of_b"))
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.select(*names).schema)
+        pairs = cut_lineage(joined.mapInArrow(sift, schema))
+    return pairs
+
+
+def _texts(docs: DataFrame, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """docs' rows of the ids in pairs, written once; known rows are not read again."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
+    if known is None:
+        return cut_lineage(docs.join(wanted, "i", "left_semi"))
+    wanted = cut_lineage(wanted.join(known.select("i"), "i", "left_anti"))
+    return known.unionByName(cut_lineage(docs.join(wanted, "i", "left_semi"))) if wanted.limit(1).count() else known
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (cls_a, cls_b) whose sets reach the likeness; a and b are ids of documents.
 
+    Texts travel, not sets: they are a third of the size. Where rows share an id, the one of the class
+    asked for is found by its digest.
+    """
     def compare(batches):
+        last, first = None, None
         for batch in batches:
             keep = []
-            for own, other in zip(batch.column("own"), batch.column("other")):
-                f, g = (np.frombuffer(v.as_buffer(), _U) for v in (own, other))
-                both = len(np.intersect1d(f, g, assume_unique=True))
-                keep.append(100 * both >= s.percent * (len(f) + len(g) - both))
+            for t, other, want_a, want_b in zip(batch.column("t"), batch.column("other"), batch.column("cls_a"), batch.column("cls_b")):
+                t = t.as_py()
+                if t != last:
+                    last, first = t, shingle_set(t, s.words)
+                g = shingle_set(other.as_py(), s.words)
+                both = len(np.intersect1d(first, g, assume_unique=True))
+                keep.append(100 * both >= s.percent * (len(first) + len(g) - both) and digest(first) == want_a.as_py() and digest(g) == want_b.as_py())
             yield pa.RecordBatch.from_arrays([batch.column("cls_a"), batch.column("cls_b")],
                                              schema=pa.schema([("cls_a", pa.int64()), ("cls_b", pa.int64())])).filter(pa.array(keep, pa.bool_()))
 
-    return (of_b.join(of_a, of_b["cls_a"] == of_a["first"]).select("cls_a", "cls_b", "own", "other")
-            .mapInArrow(compare, "cls_a long, cls_b long"))
+    other = docs.join(pairs, docs["i"] == pairs["b"]).select("a", "cls_a", "cls_b", F.col("t").alias("other"))
+    return (docs.join(other, docs["i"] == other["a"]).select("t", "other", "cls_a", "cls_b")
+            .mapInArrow(compare, "cls_a long, cls_b long").distinct())
+
+
+def _settled(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, s: Settings, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Links among pairs (a, cls_a, b, cls_b, w), added to those known, and components of classes.
+
+    In all rounds but the last each class has only its strongest pair to another component verified;
+    pairs within a component found so are not looked at again.
+    """
+    as_links = lambda rows: rows.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+    tried = None
+    labels = components(as_links(links)) if links is not None else None
+    for turn in range(rounds):
+        rest = pairs
+        if labels is not None:
+            for end in ("a", "b"):
+                rest = rest.join(labels.select(F.col("node").alias(f"cls_{end}"), F.col("component").alias(f"in_{end}")), f"cls_{end}", "left")
+            rest = rest.where("coalesce(in_a, cls_a) <> coalesce(in_b, cls_b)").select(*pairs.columns)
+        if tried is not None:
+            rest = rest.join(tried, ["cls_a", "cls_b"], "left_anti").select(*pairs.columns)
+        rest = cut_lineage(rest)
+        if not rest.limit(1).count():
+            break
+        if turn < rounds - 1:
+            strongest = F.max(F.struct("w", "cls_a", "cls_b", "a", "b")).alias("p")
+            ends = rest.select(F.explode(F.array("cls_a", "cls_b")).alias("node"), "*")
+            rest = cut_lineage(ends.groupBy("node").agg(strongest).select("p.*").distinct())
+        now = rest.select("cls_a", "cls_b")
+        tried = now if tried is None else tried.unionByName(now)
+        found = cut_lineage(_verified(docs, rest.select("a", "cls_a", "b", "cls_b"), s))
+        links = found if links is None else links.unionByName(found)
+        labels = components(as_links(links))
+    if links is None:
+        links = docs.sparkSession.createDataFrame([], "cls_a long, cls_b long")
+        labels = components(as_links(links))
+    return links, labels
 
 
 def similarity_components(docs: DataFrame, settings: Settings = Settings(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -368,23 +450,18 @@ def similarity_components(docs: DataFrame, settings: Settings = Settings(), id:
     first = spark.read.parquet(path) if docs.limit(1).count() else None
     if first is None:
         return docs.select(F.col("i").alias(id), F.lit(0).cast("long").alias("n_shingles"), F.col("i").alias("component_id"))
-    sets = first.where("kind = 0").select("i", "n", "cls")
+    sets = first.where("kind = 0").select("i", "n", "cls", "sketch", "coarse")
     plan = spark.sparkContext.broadcast(_plan(first.where("kind = 1"), s))  # a byte for each band and segment
-    classes = cut_lineage(sets.where("n > 0 AND i IS NOT NULL").groupBy("cls").agg(F.min("i").alias("rep"), F.max("n").alias("n")))
+    classes = cut_lineage(sets.where("n > 0").groupBy("cls").agg(F.min("i").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("coarse").alias("coarse"))
+                          .where("rep IS NOT NULL"))
     path = scratch_path(spark, "candidates")
     _third_pass(_second_pass(docs, plan, s), s).write.partitionBy("kind").parquet(path)
     found = spark.read.schema("x long, y long, kind int").parquet(path)
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        a = classes.select(F.col("cls").alias("cls_a"), F.col("rep").alias("a"), F.col("n").alias("n_a"))
-        b = classes.select(F.col("cls").alias("cls_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
-        return (pairs.join(a, "cls_a").join(b, "cls_b")
-                .where(f"100 * least(n_a, n_b) >= {s.percent} * greatest(n_a, n_b)").select("a", "cls_a", "b", "cls_b"))
-
-    pairs = cut_lineage(sized(found.where(f"kind = {_PAIR}").select(F.col("x").alias("cls_a"), F.col("y").alias("cls_b")).distinct()))
-    links = cut_lineage(_verified(docs, pairs, s))
-    as_links = lambda rows: rows.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
-    labels = components(as_links(links))
+    candidates = cut_lineage(found.where(f"kind = {_PAIR}").groupBy(F.col("x").alias("cls_a"), F.col("y").alias("cls_b")).agg(F.count("*").alias("w")))
+    pairs = _sifted(candidates, classes, s)
+    texts = _texts(docs, pairs)
+    links, labels = _settled(texts, pairs, None, s, 3)
     members = found.where(f"kind = {_GROUP}").select(F.col("x").alias("sig"), F.col("y").alias("cls")).distinct()
     placed = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "sig", "cls", F.coalesce("component", "cls").alias("component"))
@@ -393,10 +470,10 @@ def similarity_components(docs: DataFrame, settings: Settings = Settings(), id:
     if across.limit(1).count():
         other = across.select("sig", F.col("cls").alias("other"), F.col("component").alias("its"))
         more = (across.join(other, "sig").where("component < its")
-                .select(F.least("cls", "other").alias("cls_a"), F.greatest("cls", "other").alias("cls_b")).distinct()
-                .join(pairs.select("cls_a", "cls_b"), ["cls_a", "cls_b"], "left_anti"))
-        links = links.unionByName(cut_lineage(_verified(docs, cut_lineage(sized(more)), s)))
-        labels = components(as_links(links))
+                .groupBy(F.least("cls", "other").alias("cls_a"), F.greatest("cls", "other").alias("cls_b")).agg(F.count("*").alias("w"))
+                .join(candidates.select("cls_a", "cls_b"), ["cls_a", "cls_b"], "left_anti"))
+        more = _sifted(more, classes, s)
+        links, labels = _settled(_texts(docs, more, texts), more, links, s, 3)
     labels = labels.withColumnRenamed("node", "cls")
     named = classes.join(labels, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))

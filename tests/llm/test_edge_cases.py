@@ -163,3 +163,16 @@ def test_components_of_paths_and_stars(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[k] == 0 for k in range(41)) and all(got[k] == 100 for k in range(100, 140)) and got[301] == got[300] == 300
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_sketches_bound_the_difference():
+    import numpy as np
+    from fleetsift.llm.ngram_join import least_difference, sketch
+    rng = np.random.default_rng(2)
+    for n, m, same in ((1, 1, 0), (5, 9, 4), (100, 90, 80), (700, 300, 250), (64, 64, 64), (1000, 1030, 1000)):
+        pool = rng.permutation(np.unique(rng.integers(0, (1 << 64) - 1, n + m + same, dtype=np.uint64)))
+        both = pool[:same]
+        a, b = (np.sort(np.concatenate([both, own])) for own in (pool[same:same + n - same], pool[n + same:n + same + m - same]))
+        bound = least_difference(sketch(a), sketch(b))
+        assert bound <= len(np.setxor1d(a, b)) and bound == least_difference(sketch(b), sketch(a))
+        assert len(a) < 90 or bound >= 0.6 * min(len(np.setxor1d(a, b)), len(sketch(a)) // 2, len(sketch(b)) // 2)
