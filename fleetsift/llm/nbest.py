@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -94,32 +95,38 @@ class Lattice:
         """Best ids, best score and the cost of the second best, for words of one length."""
         n, size = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(_U) + _U(1)
-        best = np.full((n, size + 1), -np.inf)
-        second = np.full((n, size + 1), -np.inf)
-        back, piece = np.zeros((n, size + 1), np.int64), np.zeros((n, size + 1), np.int64)
-        best[:, 0] = 0
-        last = len(self.keys) - 1
+        codes = np.ascontiguousarray(codes.T)
+        best, second = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
+        back, piece = np.zeros((size + 1, n), np.int64), np.zeros((size + 1, n), np.int64)
+        best[0] = 0
+        last, every = len(self.keys) - 1, np.arange(n)
         for start in range(size):
-            h = np.zeros(n, _U)
-            stop = min(size, start + self.longest)
-            rolling = h
-            for end in range(start + 1, stop + 1):
-                # the hash of length L is L * step^L + ...: kept without the length term, which is added here
-                rolling = rolling * _STEP + codes[:, end - 1]
+            rolling = np.zeros(n, _U)
+            for end in range(start + 1, min(size, start + self.longest) + 1):
+                # the hash of a piece of length L is that of its characters plus L * step^L
+                rolling = rolling * _STEP + codes[end - 1]
                 width = end - start
                 key = mix(rolling + _U((width * pow(int(_STEP), width, 1 << 64)) % (1 << 64)))
                 at = np.minimum(np.searchsorted(self.keys, key), last)
                 known = self.keys[at] == key
-                s, own = np.where(known, self.values[at], -np.inf), np.where(known, self.ids[at], -1)
                 if width == 1:
-                    missing = np.flatnonzero(np.isinf(s))
-                    if len(missing):
-                        s[missing] = [self.spelled * len(self._spell(words[k][start])) for k in missing]
-                one, two = best[:, start] + s, second[:, start] + s
-                better = one > best[:, end]
-                second[:, end] = np.where(better, np.maximum(best[:, end], two), np.maximum(second[:, end], np.maximum(one, two)))
-                back[:, end], piece[:, end] = np.where(better, start, back[:, end]), np.where(better, own, piece[:, end])
-                best[:, end] = np.where(better, one, best[:, end])
+                    on = every
+                    s, own = np.where(known, self.values[at], 0.0), np.where(known, self.ids[at], -1)
+                    for k in np.flatnonzero(~known):
+                        s[k] = self.spelled * len(self._spell(words[k][start]))
+                else:  # few stretches are pieces
+                    on = np.flatnonzero(known)
+                    if not len(on):
+                        continue
+                    s, own = self.values[at[on]], self.ids[at[on]]
+                one, two = best[start, on] + s, second[start, on] + s
+                old, old_second = best[end, on], second[end, on]
+                better = one > old
+                second[end, on] = np.where(better, np.maximum(old, two), np.maximum(old_second, one))
+                best[end, on] = np.where(better, one, old)
+                back[end, on] = np.where(better, start, back[end, on])
+                piece[end, on] = np.where(better, own, piece[end, on])
+        best, second, back, piece = best.T, second.T, back.T, piece.T
         gap = best[:, size] - second[:, size]
         rows, at, path, column = np.arange(n), np.full(n, size), np.zeros((n, size), "<u4"), size
         count, to_spell = np.zeros(n, np.int64), np.zeros(n, bool)
@@ -215,6 +222,12 @@ class Lattice:
         return text[1:] if text.startswith(" ") else text
 
 
+@lru_cache(maxsize=2)
+def lattice_of(model: str, scores: str) -> Lattice:
+    """The lattice of this Python process; tasks that run in it one after another share what it has seen."""
+    return Lattice(model, scores)
+
+
 def encode_n_best(docs: DataFrame, model: str, n: int = 4, scores: str = "zipf", id: str = "doc_id", text: str = "text",
                   with_ids: bool = True) -> DataFrame:
     """(id, rank, score, n_pieces, ids_crc32, decodes[, ids]): the n best segmentations of every text.
@@ -228,7 +241,7 @@ def encode_n_best(docs: DataFrame, model: str, n: int = 4, scores: str = "zipf",
     names = ["i", "rank", "score", "n_pieces", "ids_crc32", "decodes"] + ["ids"] * with_ids
 
     def make():
-        lattice = Lattice(model, scores)
+        lattice = lattice_of(model, scores)
 
         def work(batch: dict) -> dict:
             rows = []
@@ -250,7 +263,7 @@ def decode_ids(encoded: DataFrame, model: str, ids: str = "ids", out: str = "tex
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != out)
 
     def make():
-        lattice = Lattice(model)
+        lattice = lattice_of(model, "zipf")
 
         def work(batch: dict) -> dict:
             return batch | {out: [None if i is None else lattice.decode(i) for i in batch[ids]]}
