@@ -6,8 +6,11 @@ random. Within a group the longest come first, and each goes where the sum over
 squared number of open sequences becomes smallest: into the open sequence of some residual gap, or into
 a new one. Gaps below the class width count as closed. What lies in sequences left open is dealt into
 new groups and packed again, level by level, until one group is left; each level is written to the
-shared folder. So no task holds more than a group, and the number of levels grows with the logarithm of
-the input.
+shared folder. Pieces that find no partner (600 of 1024 tokens, say) never close a sequence: once a level
+closes less than an eighth of its tokens, the next one puts every piece where it fits tightest and lets
+all sequences stand but those at most half full, of which a group has one. So no task holds more than a
+group, every second level has at most seven eighths of the tokens, and the number of levels grows with
+the logarithm of the input.
 """
 
 from __future__ import annotations
@@ -118,8 +121,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
     return map_batches(docs.select(docs[id].alias("i"), docs[text].alias("t")), make, schema).withColumnRenamed("i", id)
 
 
-def place(sizes: np.ndarray, capacity: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin and offset of every size, in the order given, and the gaps left in the bins."""
+def place(sizes: np.ndarray, capacity: int, width: int, tightest: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin and offset of every size, in the order given, and the gaps left in the bins.
+
+    With tightest, a size goes into the smallest gap that takes it, and gap classes are not weighed:
+    at most one bin stays half empty or more.
+    """
     kind = np.arange(capacity + 1) // width
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     by_gap, by_kind = np.zeros(capacity + 1, np.int64), np.zeros(kind[-1] + 1, np.int64)
@@ -128,7 +135,9 @@ def place(sizes: np.ndarray, capacity: int, width: int) -> tuple[np.ndarray, np.
         fresh = kind[capacity - size]
         least, gap = (2 * by_kind[fresh] + 1 if fresh else 0), capacity
         fits = np.flatnonzero(by_gap[size:capacity]) + size
-        if len(fits):
+        if len(fits) and tightest:
+            gap = int(fits[0])
+        elif len(fits):
             a, b = kind[fits], kind[fits - size]
             change = np.where(a > 0, 1 - 2 * by_kind[a], 0) + np.where(b > 0, 1 + 2 * by_kind[b], 0) - 2 * ((a == b) & (a > 0))
             best = int(np.argmin(change))
@@ -150,6 +159,12 @@ def place(sizes: np.ndarray, capacity: int, width: int) -> tuple[np.ndarray, np.
     return bins, offsets, np.array(gaps, np.int64)
 
 
+def _amount(pieces: DataFrame) -> tuple[int, int]:
+    """How many pieces there are, and their tokens."""
+    total, tokens = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return total, int(tokens)
+
+
 def pack(pieces: DataFrame, capacity: int = 1024, width: int = 32, group: int = 4000, regroup: int = 200) -> DataFrame:
     """pieces (with a length of 1 to capacity) with sequence_id and offset; offsets are gapless from 0.
 
@@ -161,23 +176,26 @@ def pack(pieces: DataFrame, capacity: int = 1024, width: int = 32, group: int =
     full = pieces.where(F.col("length") >= capacity).select(
         "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity).withColumn("_row", F.monotonically_increasing_id())
-    total, level, done = rest.count(), 0, [full]
+    (total, tokens), level, base, settle, done = _amount(rest), 0, 0, False, [full]
     while total:
-        groups = -(-total // (regroup if level else group))
-        last, base = groups == 1, level << 58
+        groups = max(1, min(-(-total // (regroup if level and not settle else group)), tokens // (32 * capacity)))
+        last = groups == 1
         dealt = rest.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(level)), F.lit(groups)))
         schema = StructType(dealt.schema.fields + [StructField("sequence_id", LongType()), StructField("offset", LongType()), StructField("_open", BooleanType())])
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values(["length", "_row"], ascending=[False, True], kind="stable")
-            bins, offsets, gaps = place(rows["length"].to_numpy(), capacity, width)
+            sizes = rows["length"].to_numpy()
+            bins, offsets, gaps = min((place(sizes, capacity, width, way) for way in ([False, True] if last else [settle])),
+                                      key=lambda placed: len(placed[2]))
             return rows.assign(sequence_id=base + (rows["_group"].to_numpy() << 20) + bins, offset=offsets,
-                               _open=(gaps[bins] >= width) & (not last))
+                               _open=(gaps[bins] >= (-(-capacity // 2) if settle else width)) & (not last))
 
         packed = cut_lineage(dealt.groupBy("_group").applyInPandas(run, schema))
         done.append(packed.where("NOT _open").select(*names, "sequence_id", "offset"))
         rest = packed.where("_open").select(*names, "_row")
-        total, level = (0 if last else rest.count()), level + 1
+        before, (total, tokens) = tokens, (0, 0) if last else _amount(rest)
+        settle, base, level = not settle and 8 * tokens > 7 * before, base + (groups << 20), level + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
