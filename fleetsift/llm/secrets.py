@@ -27,9 +27,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "linked_access", "linked_endpoint", "linked_secret"]
 
-WEAK_ACCESS = re.compile(r"""(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,64})""", re.A | re.I)
-WEAK_ENDPOINT = re.compile(r"""(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ssh)://[^\s"'<>]{4,200}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,200}""", re.A | re.I)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_ACCESS = re.compile(r"""(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.A | re.I)
+WEAK_ENDPOINT = re.compile(r"""(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ssh)://[^\s"'<>]{4,}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}""", re.A | re.I)
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 
 #: What each role of a part makes reportable.
 COMPLEMENTS = [("access", "linked_secret"), ("endpoint", "linked_secret"), ("secret", "linked_access"), ("secret", "linked_endpoint")]
@@ -45,8 +45,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _opaque(s: str) -> bool:
-    """Letters of both cases and digits, no run of one class over ten: random rather than written."""
-    return bool(re.search("[a-z]", s) and re.search("[A-Z]", s) and re.search("[0-9]", s)) and not re.search("[a-z]{11}|[A-Z]{11}", s)
+    """Letters of both cases and digits, no run of one class over ten: random rather than written.
+
+    Beyond 128 characters chance makes such runs, so there they may take up to a tenth of the string.
+    """
+    if not (re.search("[a-z]", s) and re.search("[A-Z]", s) and re.search("[0-9]", s)):
+        return False
+    return 10 * sum(map(len, re.findall("[a-z]{11,}|[A-Z]{11,}", s))) <= (len(s) if len(s) > 128 else 0)
 
 
 def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
