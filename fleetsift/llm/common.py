@@ -29,6 +29,13 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def one_row_each(rows: DataFrame, id: str) -> DataFrame:
+    """One row of each id, the one whose other columns have the lowest hash; rows that meet are reduced before they move."""
+    others = [c for c in rows.columns if c != id]
+    return (rows.groupBy(id).agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("_row"))
+            .select(*[id if c == id else F.col(f"_row.{c}") for c in rows.columns]))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
     """df through a Python function of whole column lists, batch by batch.
 

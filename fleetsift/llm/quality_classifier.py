@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetsift.session import cut_lineage
 
-from .common import map_batches
+from .common import map_batches, one_row_each
 from .linear import sigmoid, slots
 from .toxicity import held_out
 
@@ -161,8 +161,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
                   label: str = "quality", categories: tuple[str, ...] = ("lang", "source")) -> Model:
     """Co-train on labelled rows that are not held out and on unlabelled rows.
 
-    Null ids and labels are left out; an id labelled more than once is good only if all rows say so.
-    With too few rows of a class the model gives every document the labelled share of good ones.
+    Null ids and labels are left out; an id labelled more than once is good only if all rows say so;
+    of the rows of one document a single one counts, picked by a hash. With too few rows of a class the model gives every document the labelled share of good ones.
     """
     s, categories = settings, list(categories)
     marked = labels.select(labels[id].alias("i"), labels[label].cast("int").alias("y")).dropna().groupBy("i").agg(F.min("y").alias("y"))
@@ -178,7 +178,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
         return work
 
     # s.sample + s.pool rows of an id and a label: the bound of the broadcast
-    rows = docs.select(*_columns(docs, id, text, categories)).join(F.broadcast(cut_lineage(chosen)), "i")
+    rows = one_row_each(docs.select(*_columns(docs, id, text, categories)).join(F.broadcast(cut_lineage(chosen)), "i"), "i")
     got = map_batches(rows, make, "i string, y int, xt binary, xp binary").collect()
     got.sort(key=lambda r: (zlib.crc32(r["i"].encode("utf-8", "surrogatepass")), r["i"], r["xt"]))
     if not got:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetsift.session import cut_lineage
 
-from .common import map_batches
+from .common import map_batches, one_row_each
 from .linear import fit_logistic, sigmoid, slots
 
 
@@ -55,8 +55,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
                    text: str = "text", label: str = "toxic") -> Model:
     """Fit on labelled rows that are not held out.
 
-    Null ids and labels are left out; an id labelled more than once is toxic if any row says so; a
-    repeated document counts once per row. Without a row of either class the model scores every text
+    Null ids and labels are left out; an id labelled more than once is toxic if any row says so; of
+    the rows of one document a single one counts, picked by a hash. Without a row of either class the model scores every text
     by the smoothed share of toxic rows.
     """
     s = settings
@@ -64,7 +64,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
               .where(~held_out(F.col("i"))).groupBy("i").agg(F.max("y").alias("y"))
               .orderBy(F.xxhash64("i"), "i").limit(s.sample))
     # s.sample rows of an id and a label: the bound of the broadcast
-    sample = cut_lineage(docs.select(docs[id].alias("i"), docs[text].alias("t")).join(F.broadcast(chosen), "i")).select("y", "t")
+    sample = docs.select(docs[id].alias("i"), docs[text].alias("t")).join(F.broadcast(chosen), "i")
+    sample = cut_lineage(one_row_each(sample, "i")).select("y", "t")
 
     def counting():
         def run(batch: dict) -> dict:
