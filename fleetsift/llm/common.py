@@ -36,17 +36,22 @@ def one_row_each(rows: DataFrame, id: str) -> DataFrame:
             .select(*[id if c == id else F.col(f"_row.{c}") for c in rows.columns]))
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    """The Arrow form of a schema string."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+    kinds = _parse_datatype_string(schema)
+    assert isinstance(kinds, StructType)
+    return to_arrow_schema(kinds)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
     """df through a Python function of whole column lists, batch by batch.
 
     make() runs once per task and returns the function; it gets {column: list} and returns the same
     shape for the new schema. A task holds one batch at a time.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
-    kinds = _parse_datatype_string(schema)
-    assert isinstance(kinds, StructType)
-    arrow = to_arrow_schema(kinds)
+    arrow = arrow_schema(schema)
 
     def run(batches):
         work = make()

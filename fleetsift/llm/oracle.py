@@ -77,4 +77,30 @@ LEFT JOIN listed ON listed.doc_id = d.doc_id
 """
 
 
-SQL = {"op1_url_filters": URL_FILTERS, "op3_ngram_jaccard_join": jaccard_components(4, 85), "op5_license_scans": license_scans()}
+def decontamination(width: int = 10, reach: int = 20) -> str:
+    split = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {split} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS k, item_id, {split} AS w FROM benchmark),
+held AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < {width} THEN [w] ELSE list_transform(range(1, len(w) - {width - 2}), lambda i: w[i:i + {width - 1}]) END) AS g
+         FROM b WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT len(g) AS n FROM held),
+grams AS (SELECT r, p, n, w[p:p + n - 1] AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lengths WHERE len(w) >= n)),
+found AS (SELECT r, p, n, item_id FROM grams JOIN held USING (g)),
+hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM found) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS list FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM found WHERE item_id IS NOT NULL) GROUP BY r),
+tokens AS (SELECT r, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+counts AS (SELECT t, count(*) AS c FROM tokens GROUP BY t),
+windows AS (SELECT g, list_distinct(g) AS words, row_number() OVER () AS i FROM (SELECT DISTINCT g FROM held)),
+terms AS (SELECT i, t, c FROM (SELECT i, unnest(words) AS t FROM windows) LEFT JOIN counts USING (t)),
+rarest AS (SELECT i, arg_min(t, struct_pack(c := c, t := t)) AS t FROM terms GROUP BY i HAVING bool_and(c IS NOT NULL)),
+near AS (SELECT r, count(DISTINCT p) AS n_near FROM rarest JOIN tokens USING (t) JOIN windows USING (i) JOIN d USING (r)
+         WHERE list_has_all(w[greatest(1, p - {reach}):p + {reach}], words) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN near USING (r)
+"""
+
+
+SQL = {"op1_url_filters": URL_FILTERS, "op3_ngram_jaccard_join": jaccard_components(4, 85), "op5_license_scans": license_scans(),
+       "op13_benchmark_decontamination": decontamination()}
