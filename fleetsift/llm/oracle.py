@@ -102,5 +102,26 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN near USING (r
 """
 
 
+def collocations(least: int = 30, cover: int = 80, top: int = 2000) -> str:
+    return f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\n\\x0B\\f\\r]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, m, w[p:p + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, g, count(*) AS c FROM grams GROUP BY ALL),
+sizes AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT * FROM f WHERE m > 1 AND c >= {least}),
+cuts AS (SELECT lang, m, g, c, unnest(range(1, m)) AS k FROM candidates),
+scored AS (SELECT x.lang, x.m, x.g, x.c, k, a.c AS l, b.c AS r, CAST((2000000::HUGEINT * x.c) // (a.c + b.c) AS BIGINT) AS score
+           FROM cuts x JOIN f a ON a.lang = x.lang AND a.g = x.g[1:k] JOIN f b ON b.lang = x.lang AND b.g = x.g[k + 1:x.m]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (SELECT lang, g[s:s + z - 1] AS g, max(c) AS around FROM (SELECT lang, g, c, z, unnest(range(1, m - z + 2)) AS s
+           FROM (SELECT lang, m, g, c, unnest(range(2, m)) AS z FROM candidates WHERE m > 2)) GROUP BY ALL),
+kept AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, c AS a, l, r, score FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.g = b.g
+         WHERE around IS NULL OR 100::HUGEINT * around < {cover}::HUGEINT * c)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN sizes USING (lang)
+QUALIFY rank <= {top}
+"""
+
+
 SQL = {"op1_url_filters": URL_FILTERS, "op3_ngram_jaccard_join": jaccard_components(4, 85), "op5_license_scans": license_scans(),
-       "op13_benchmark_decontamination": decontamination()}
+       "op11_phrase_collocations": collocations(), "op13_benchmark_decontamination": decontamination()}

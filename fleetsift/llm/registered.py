@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .collocations import mine_collocations
 from .conversations import damage, repair_conversations
 from .decontamination import decontaminate
 from .fingerprints import fingerprint_documents
@@ -93,6 +94,11 @@ def op10_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, table(spark, d, "labels")))
 
 
+def op11_phrase_collocations(spark: SparkSession, d: str) -> DataFrame:
+    """The 2000 phrases of each language whose words stay together most."""
+    return mine_collocations(table(spark, d, "documents"))
+
+
 def op12_conversation_structure_repair(spark: SparkSession, d: str) -> DataFrame:
     """Faults of every damaged conversation, the cheapest edits that mend it, and what they give."""
     return repair_conversations(damage(table(spark, d, "conversations")))[0].withColumnRenamed("conv", "conv_id")
@@ -104,5 +110,5 @@ def op13_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_document_fingerprints, op3_ngram_jaccard_join, op4_sentencepiece,
-                                   op5_license_scans, op6_quality_rules, op7_secret_scans, op8_toxicity, op9_best_fit_packing, op10_quality_classifier, op12_conversation_structure_repair,
+                                   op5_license_scans, op6_quality_rules, op7_secret_scans, op8_toxicity, op9_best_fit_packing, op10_quality_classifier, op11_phrase_collocations, op12_conversation_structure_repair,
                                    op13_benchmark_decontamination)}
