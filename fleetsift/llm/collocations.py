@@ -1,11 +1,11 @@
 """Phrase collocation mining: phrases of up to four words that stay together, scored and listed by language.
 
 A phrase occurs at most as often as its parts, so each length is counted only where the two phrases one word
-shorter are frequent. Words are counted as they are. Longer phrases are first counted by code in a HAT-trie per
-task: its subtrees leave it as sorted runs, runs are dealt by prefix (the first two words and a few bits of the
-rest, so that one hot prefix is many parts) and merged there. Codes that reach the threshold are kept as a
-Bloom filter of bounded size. Codes only sift: phrases that pass are counted again by their words, so no
-collision of codes or filter reaches a result.
+shorter are frequent. Phrases are first counted by code in a HAT-trie per task: its subtrees leave it as sorted
+runs, runs are dealt by prefix (the first two words and a few bits of the rest, so that one hot prefix is
+many parts) and merged there. Codes that reach the threshold are kept as a Bloom filter of bounded size.
+Codes only sift: phrases that pass are counted again by their words, so no collision of codes or filter
+reaches a result.
 """
 
 from __future__ import annotations
@@ -39,17 +39,17 @@ _FIRST, _SECOND = 12, 12
 class Mining:
     """longest: words of a phrase; least: occurrences of a candidate; cover: percent of a candidate's occurrences inside a
     longer one at which it is dropped; top: phrases listed for each language; scale: factor of the score;
-    filter_bits: bits of a filter at most, as a power of two; part_tokens: words of the corpus for each merge
-    part; stretch: bytes of text counted at a time; trie: entries a task holds."""
+    filter_bits: bits of a filter at most, as a power of two; part_bytes: bytes of text for each merge part;
+    stretch: bytes of text counted at a time; trie: entries a task holds."""
     longest: int = 4
     least: int = 30
     cover: int = 80
     top: int = 2000
     scale: int = 2_000_000
     filter_bits: int = 28
-    part_tokens: int = 4_000_000
-    stretch: int = 8_000_000
-    trie: int = 6_000_000
+    part_bytes: int = 16_000_000
+    stretch: int = 4_000_000
+    trie: int = 2_000_000
 
 
 def word_ids(words: pa.Array, lang: str) -> np.ndarray:
@@ -159,14 +159,6 @@ def _texts(batches, stretch: int) -> Iterator[Texts]:
                 yield Texts(data[edges[a]:edges[b]], edges[a:b + 1] - edges[a], lang)
 
 
-def _word_counts(docs: DataFrame, mining: Mining) -> DataFrame:
-    def run(batches):
-        for texts in _texts(batches, mining.stretch):
-            counts = np.bincount(texts.codes, minlength=len(texts.terms))
-            yield pa.RecordBatch.from_arrays([pa.array([texts.lang] * len(counts)), texts.terms.cast(pa.string()), pa.array(counts)], ["lang", "phrase", "a"])
-    return docs.mapInArrow(run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
-
-
 def _frequent_codes(docs: DataFrame, filters: list, length: int, parts: int, mining: Mining) -> DataFrame:
     """Codes of phrases of a length that come up often enough."""
     def dealt(runs) -> Iterator[pa.RecordBatch]:
@@ -185,8 +177,11 @@ def _frequent_codes(docs: DataFrame, filters: list, length: int, parts: int, min
     def count(batches):
         trie = HatTrie(limit=mining.trie)
         for texts in _texts(batches, mining.stretch):
-            _, codes = texts.sift([f.value for f in filters], length)[-1]
-            yield from dealt(trie.add(*tally(codes)))
+            if length == 1:
+                found = tally(word_ids(texts.terms, texts.lang), np.bincount(texts.codes, minlength=len(texts.terms)))
+            else:
+                found = tally(texts.sift([f.value for f in filters], length)[-1][1])
+            yield from dealt(trie.add(*found))
         yield from dealt(trie.drain())
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
@@ -206,33 +201,26 @@ def count_phrases(docs: DataFrame, mining: Mining = Mining(), text: str = "text"
     """
     context = docs.sparkSession.sparkContext
     read = docs.select(F.coalesce(docs[lang], F.lit("und")).alias("lang"), docs[text].alias("t")).where("t <> ''")
-    words = cut_lineage(_word_counts(read, mining))
-    sizes = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    total = words.agg(F.sum("a")).first()[0] or 0
-    frequent = words.where(F.col("a") >= mining.least)
-
-    def coded(batches):
-        for batch in batches:
-            for name in pc.unique(batch.column("lang")).to_pylist():
-                mine = batch.column("phrase").filter(pc.equal(batch.column("lang"), name))
-                yield pa.RecordBatch.from_arrays([pa.array(word_ids(mine, name).view(np.int64))], ["code"])
-
-    parts = max(1, math.ceil(total / mining.part_tokens))
-    filters = [context.broadcast(build_filter(frequent.select("lang", "phrase").mapInArrow(coded, "code long"), mining.filter_bits))]
-    for length in range(2, mining.longest + 1):
-        codes = _frequent_codes(read, list(filters), length, parts, mining)
-        filters.append(context.broadcast(build_filter(codes, mining.filter_bits)))
+    size = read.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts, filters = max(1, math.ceil(size / mining.part_bytes)), []
+    for length in range(1, mining.longest + 1):
+        filters.append(context.broadcast(build_filter(_frequent_codes(read, list(filters), length, parts, mining), mining.filter_bits)))
 
     def exact(batches):
+        known = [f.value for f in filters]
         for texts in _texts(batches, mining.stretch):
-            for n, (places, codes) in enumerate(texts.sift([f.value for f in filters], mining.longest), 2):
-                phrases, counts = texts.phrases(places[filters[n - 1].value.holds(codes)], n)
+            often = known[0].holds(word_ids(texts.terms, texts.lang))
+            found = [(pa.array([""]), np.array([len(texts.codes)])),
+                     (texts.terms.filter(pa.array(often)).cast(pa.string()), np.bincount(texts.codes, minlength=len(often))[often])]
+            for n, (places, codes) in enumerate(texts.sift(known, mining.longest), 2):
+                found.append(texts.phrases(places[known[n - 1].holds(codes)], n))
+            for n, (phrases, counts) in enumerate(found):
                 yield pa.RecordBatch.from_arrays([pa.array([texts.lang] * len(counts), pa.string()), phrases, pa.array([n] * len(counts), pa.int32()),
                                                   pa.array(counts, pa.int64())], ["lang", "phrase", "words", "a"])
 
-    longer = (read.mapInArrow(exact, "lang string, phrase string, words int, a long")
-              .groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= mining.least))
-    return cut_lineage(longer.unionByName(frequent.withColumn("words", F.lit(1)))), sizes
+    counted = cut_lineage(read.mapInArrow(exact, "lang string, phrase string, words int, a long").groupBy("lang", "phrase", "words")
+                          .agg(F.sum("a").alias("a")).where((F.col("a") >= mining.least) | (F.col("words") == 0)))
+    return counted.where("words > 0"), counted.where("words = 0").select("lang", F.col("a").alias("n"))
 
 
 def _some(words: Column, start: Column, n: Column) -> Column:

@@ -52,7 +52,7 @@ class Container:
 class HatTrie:
     """Counts of codes. burst: entries of a container before it becomes a node; limit: entries of the whole trie."""
 
-    def __init__(self, burst: int = 65_536, limit: int = 6_000_000):
+    def __init__(self, burst: int = 65_536, limit: int = 2_000_000):
         self.burst, self.limit, self.total = burst, limit, 0
         self.children: dict = {}
 

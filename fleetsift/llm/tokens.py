@@ -21,8 +21,10 @@ def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a column in one piece and the edges of its texts; null counts as empty."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1]
+    if texts.null_count:
+        texts = texts.fill_null("")
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    edges = np.frombuffer(texts.buffers()[1], width)[texts.offset: texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]
     if data is None or not len(edges) or edges[0] == edges[-1]:
         return np.empty(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
@@ -51,8 +53,9 @@ def cut_words(data: np.ndarray, edges: np.ndarray, is_word: np.ndarray) -> tuple
     before[edges[:-1]] = False
     starts = np.flatnonzero(inside & ~before[:-1])
     kept = low[inside]
-    places = np.cumsum(inside, dtype=np.int64)
+    places = np.cumsum(inside, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
     offsets = np.append(places[starts] - 1, len(kept)) if len(starts) else np.zeros(1, np.int64)
+    del places, before, low
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(kept))
     return words, starts, np.searchsorted(starts, edges)
 
