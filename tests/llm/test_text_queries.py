@@ -30,7 +30,7 @@ def rows_of(spark, sf, name):
     return entry.queries()[name](spark, sf).collect()
 
 
-@pytest.mark.parametrize("name", ["op1_url_filters", "op3_ngram_jaccard_join", "op5_license_scans"])
+@pytest.mark.parametrize("name", ["op1_url_filters", "op3_ngram_jaccard_join", "op5_license_scans", "op11_phrase_collocations", "op13_benchmark_decontamination"])
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
     for file in os.listdir(sf):
