@@ -111,6 +111,22 @@ FROM (
 """
 
 
+def restless_sql(dialect: str) -> str:
+    """The compressed log with incidents: every row stays, but some hosts' rows are dealt out in time unevenly.
+
+    host-0 sends all its rows in the first two fifths and is silent for good; host-1 sends 15 percent of its rows in
+    the first half and the rest in the second; host-2 sends 95 percent in the first three fifths.
+    """
+    div = "div" if dialect == "spark" else "//"
+    at = (f"CASE instance WHEN 'host-0' THEN o * 2 {div} 5 "
+          f"WHEN 'host-1' THEN CASE WHEN o < span * 15 {div} 100 THEN o * 50 {div} 15 ELSE span {div} 2 + (o - span * 15 {div} 100) * 50 {div} 85 END "
+          f"WHEN 'host-2' THEN CASE WHEN o < span * 95 {div} 100 THEN o * 60 {div} 95 ELSE span * 60 {div} 100 + (o - span * 95 {div} 100) * 8 END ELSE o END")
+    make = "timestamp_micros" if dialect == "spark" else "make_timestamp"
+    drop = "* EXCEPT (timestamp, o, span)" if dialect == "spark" else "* EXCLUDE (timestamp, o, span)"
+    return (f"SELECT {drop}, {make}(1704067200000000 + {at}) AS timestamp FROM (SELECT *, CAST(id AS BIGINT) * 100000 AS o, "
+            "(SELECT CAST(max(event_id) AS BIGINT) * 100000 FROM events) AS span FROM flat) AS timed")
+
+
 def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events, spread evenly: a small file is one split."""
     return spark.read.parquet(f"{sf_dir}/events.parquet").repartition(spark.sparkContext.defaultParallelism)
@@ -118,6 +134,9 @@ def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flat_log(spark: SparkSession, sf_dir: str, clock: str = "real") -> DataFrame:
     events = events_table(spark, sf_dir)
+    if clock == "restless":
+        return spark.sql(restless_sql("spark").replace("FROM events)", "FROM {events})").replace("FROM flat)", "FROM {flat})"),
+                         events=events, flat=flat_log(spark, sf_dir, "compressed"))
     return spark.sql(flat_sql("spark", clock).replace("FROM events)", "FROM {events})"), events=events)
 
 

@@ -8,10 +8,10 @@ from fleetsift import fixed_values as V
 from fleetsift.operators import templates as TP
 from fleetsift.session import scratch_path
 from fleetsift.sources import lines as LN
-from fleetsift.streaming import ingest as SI, sources as SS, stateful as ST, upkeep as SU
+from fleetsift.streaming import evaluation as SE, ingest as SI, sources as SS, stateful as ST, upkeep as SU
 
-from .derived import to_events, flat_log
-from .oracle import AS_OF as SQL_AS_OF, MATCH, SQL, TICKS, compressed, real
+from .derived import flat_log, restless_sql, to_events
+from .oracle import AS_OF as SQL_AS_OF, CLOG, DECLARED, LIVE, MATCH, SOCK, SQL, TICKS, compressed, real
 from .queries import AS_OF, _stream_bodies, _unit_lines, base_rules, fleet, us
 
 _STAGED: dict[tuple, str] = {}
@@ -117,8 +117,50 @@ def stream_findings(s, d):
     return s.read.parquet(f"{path}/v=3").select("kind", "subject", "instance", "state", "occurrences")
 
 
+#: Limits that the derived log's incidents reach, and the moment its clock starts.
+STARTED = "2024-01-01 00:00:00"
+ANOMALY = dict(raise_z=2.0, clear_z=1.0, min_count=10, min_minutes=3, min_ratio=1.2, raise_share=8.0, clear_share=5.0, min_total=20,
+               min_surge=3, window_s=300, warmup_s=180, cooldown_s=120)
+SHIFT = dict(min_rate=30.0, min_z=2.0, min_ratio=1.5, heavy=20.0, drop=0.5, silent_s=120.0, window_s=300, cooldown_s=300)
+
+
+def _restless(s, d) -> DataFrame:
+    _rocksdb(s)
+    return SS.timed(_log_stream(s, d, "restless"), as_of=AS_OF, delay="0 seconds")
+
+
+def _anomaly_turns(s, d) -> DataFrame:
+    return _drain(s, SE.anomaly_turns(_restless(s, d), STARTED, **ANOMALY), "anomaly-turns")
+
+
+def stream_anomaly_alerts(s, d):
+    """Alerts of anomalies judged every 15 seconds, with hosts that surge, fade and fall silent for good."""
+    return _anomaly_turns(s, d).where("sent").select("kind", "instance", "event", us("turn").alias("turn_us"), "n", F.round("measure", 6).alias("measure"))
+
+
+def stream_anomaly_changes(s, d):
+    """When alarms were raised, cleared, or aged out."""
+    return _anomaly_turns(s, d).where("change IS NOT NULL").select(
+        "kind", "instance", "event", us("turn").alias("turn_us"), "change", F.col("armed").cast("int").alias("armed"))
+
+
+def _shift_turns(s, d) -> DataFrame:
+    return _drain(s, SE.shift_turns(_restless(s, d), fleet(s), STARTED, **SHIFT), "shift-turns")
+
+
 def stream_shifts(s, d):
-    """Shifts judged after each staged file from the edges kept so far."""
+    """Shifts of every edge as they come and go, judged every 15 seconds."""
+    return _shift_turns(s, d).where("change IS NOT NULL").select(
+        "edge_id", "type", "severity", us("turn").alias("turn_us"), "change", "rate_1m", F.round(F.col("baseline_15m") * 100).cast("long").alias("baseline_x100"))
+
+
+def shift_alerts(s, d):
+    """Critical shifts that are sent, again while they last."""
+    return _shift_turns(s, d).where("sent").select("edge_id", "type", us("turn").alias("turn_us"), F.floor(F.col("quiet_s") * 10).cast("long").alias("quiet_x10"))
+
+
+def graph_upkeep(s, d):
+    """Undeclared edges after each staged file, from the edges kept as counts per interval."""
     stream = _log_stream(s, d)
     state, shifts = scratch_path(s, "edges"), scratch_path(s, "shifts")
     run = SU.shift_watcher(state, shifts, fleet(s), min_rate=10, min_z=0.0, min_ratio=1.0, heavy=1.0, drop=0.5)
@@ -128,7 +170,67 @@ def stream_shifts(s, d):
 
 
 STREAMS = {f.__name__: f for f in [stream_ingest, stream_dedup, stream_clamped, stream_anomalies, stream_unit_alerts,
-                                   stream_skeletons, stream_findings, stream_shifts]}
+                                   stream_skeletons, stream_findings, stream_shifts, shift_alerts, graph_upkeep,
+                                   stream_anomaly_alerts, stream_anomaly_changes]}
+
+START = 1704067200
+#: The turns the watermark passes before the input ends.
+LAST_TURN = "(SELECT epoch_us(max(timestamp)) // 1000000 FROM log)"
+MINUTES = lambda window: f"least(greatest((t - {START}) / 60.0, 1.0), {window / 60.0})"
+
+
+def restless(body: str, *ctes: str) -> str:
+    return "WITH RECURSIVE " + ", ".join([CLOG.replace("log AS", "flat AS", 1), f"log AS ({restless_sql('duckdb')})", *ctes]) + "\n" + body
+
+
+def _grid(keys: str) -> str:
+    """Every turn of every key from its first interval on, with the counts of the interval that ends there."""
+    return f"""span AS (SELECT {keys}, unnest(generate_series(min(t), {LAST_TURN}, 15)) AS t FROM cnt GROUP BY {keys}),
+grid AS (SELECT * FROM span LEFT JOIN cnt USING ({keys}, t))"""
+
+
+def _sent(keys: str, gap: int, strict: bool) -> str:
+    """Greedy: the first turn, then the next one at least (or more than) `gap` later."""
+    later = f"c.t > s.t + {gap}" if strict else f"c.t >= s.t + {gap}"
+    same = " AND ".join(f"c.{k.strip()} = s.{k.strip()}" for k in keys.split(","))
+    return f"""sent AS (SELECT {keys}, min(t) AS t FROM due GROUP BY {keys}
+  UNION ALL SELECT {", ".join("s." + k.strip() for k in keys.split(","))}, (SELECT min(c.t) FROM due c WHERE {same} AND {later}) FROM sent s WHERE s.t IS NOT NULL)"""
+
+
+_A, _K = ANOMALY, "kind, instance, event"
+ANOMALY_TURNS = f"""each AS (SELECT instance, event, epoch_us(timestamp) AS us FROM log),
+cnt AS (SELECT 'rate_spike' AS kind, instance, event, (us // 15000000 + 1) * 15 AS t, count(*) AS n, count(*) AS total FROM each GROUP BY ALL
+  UNION ALL SELECT 'unstructured_surge', instance, 'unstructured_surge', (us // 15000000 + 1) * 15 AS t, count(*) FILTER (WHERE event = 'unstructured'), count(*) FROM each GROUP BY ALL),
+{_grid(_K)},
+sums AS (SELECT {_K}, t, coalesce(sum(n) OVER m, 0)::BIGINT AS c, coalesce(sum(total) OVER m, 0)::BIGINT AS c_total, coalesce(sum(n) OVER w, 0) AS held, count(n) OVER w AS filled,
+    len(list_distinct(list((t - 15) // 60) FILTER (WHERE n IS NOT NULL) OVER w)) AS minutes FROM grid
+  WINDOW m AS (PARTITION BY {_K} ORDER BY t RANGE BETWEEN 45 PRECEDING AND CURRENT ROW), w AS (PARTITION BY {_K} ORDER BY t RANGE BETWEEN {_A["window_s"] - 15} PRECEDING AND CURRENT ROW)),
+rated AS (SELECT *, CASE WHEN kind = 'rate_spike' THEN (c - average) / greatest(sqrt(average), 1.0) WHEN c_total > 0 THEN c / c_total * 100 ELSE 0 END AS measure
+  FROM (SELECT *, held / {MINUTES(_A["window_s"])} AS average FROM sums)),
+high AS (SELECT *, filled > 0 AND CASE WHEN kind = 'rate_spike' THEN minutes >= {_A["min_minutes"]} AND c >= {_A["min_count"]} AND measure >= {_A["raise_z"]} AND c >= average * {_A["min_ratio"]}
+    ELSE c_total >= {_A["min_total"]} AND measure > {_A["raise_share"]} AND c >= {_A["min_surge"]} END AS high,
+    CASE WHEN kind = 'rate_spike' THEN minutes >= {_A["min_minutes"]} AND measure < {_A["clear_z"]} ELSE c_total >= {_A["min_total"]} AND measure < {_A["clear_share"]} END AS low,
+    t - {START} >= {_A["warmup_s"]} AS armed FROM rated),
+folded AS (SELECT *, coalesce(last_value(CASE WHEN high THEN 1 WHEN low OR filled = 0 THEN 0 END IGNORE NULLS) OVER (PARTITION BY {_K} ORDER BY t
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS active FROM high),
+turns AS (SELECT *, CASE WHEN active > was THEN 'raised' WHEN active < was THEN CASE WHEN filled = 0 THEN 'aged' ELSE 'cleared' END END AS change
+  FROM (SELECT *, lag(active, 1, 0) OVER (PARTITION BY {_K} ORDER BY t) AS was FROM folded))"""
+
+_S, _E = SHIFT, "source, target, protocol"
+SHIFT_TURNS = f"""cnt AS (SELECT {_E}, (epoch_us(timestamp) // 15000000 + 1) * 15 AS t, count(*) AS n, max(epoch_us(timestamp)) AS last FROM live GROUP BY ALL),
+{_grid(_E)},
+sums AS (SELECT {_E}, t, coalesce(sum(n) OVER (PARTITION BY {_E} ORDER BY t RANGE BETWEEN 45 PRECEDING AND CURRENT ROW), 0)::BIGINT AS rate,
+    round(coalesce(sum(n) OVER (PARTITION BY {_E} ORDER BY t RANGE BETWEEN {_S["window_s"] - 15} PRECEDING AND CURRENT ROW), 0) / {MINUTES(_S["window_s"])}, 2) AS base,
+    t - max(last) OVER (PARTITION BY {_E} ORDER BY t) / 1e6 AS quiet FROM grid),
+known AS (SELECT s.*, d.source IS NOT NULL AS declared, coalesce(expected_min_rate, 0) AS expected FROM sums s LEFT JOIN declared d USING ({_E})),
+judged AS (SELECT *, declared AND expected > 0 AND quiet > {_S["silent_s"]} AND rate = 0 AS silent,
+    rate >= {_S["min_rate"]} AND base > 0 AND (rate - base) / greatest(sqrt(base), 1.0) >= {_S["min_z"]} AND rate >= base * {_S["min_ratio"]} AS surge,
+    base >= {_S["heavy"]} AND rate < base * {_S["drop"]} AND quiet <= {_S["silent_s"]} AS starved FROM known),
+kinds AS (SELECT *, unnest([{{'type': 'SILENT_LINK', 'found': silent, 'severity': CASE WHEN expected >= 2 THEN 'critical' ELSE 'warning' END}},
+    {{'type': 'NOVEL_EDGE', 'found': NOT silent AND NOT declared, 'severity': 'warning'}}, {{'type': 'FLOW_SURGE', 'found': NOT silent AND surge, 'severity': 'warning'}},
+    {{'type': 'STARVATION', 'found': NOT silent AND NOT surge AND starved, 'severity': 'notice'}}], recursive := true) FROM judged),
+turns AS (SELECT *, source || '->' || target || ':' || protocol AS edge_id, CASE WHEN found AND NOT was THEN 'raised' WHEN was AND NOT found THEN 'cleared' END AS change
+  FROM (SELECT *, lag(found, 1, false) OVER (PARTITION BY {_E}, type ORDER BY t) AS was FROM kinds))"""
 
 STREAM_SQL = {
     "stream_ingest": real("SELECT rule AS event, strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS n FROM ruled GROUP BY ALL", MATCH),
@@ -138,7 +240,14 @@ STREAM_SQL = {
     "stream_anomalies": compressed("""SELECT kind, instance, event, epoch_us(tick) AS tick_us, n, active::INT AS active FROM states
         WHERE tick <= (SELECT max(timestamp) FROM log)""", TICKS),
     "stream_unit_alerts": SQL["unit_alerts"],
-    "stream_shifts": SQL["topology_shifts"].replace("SELECT edge_id, type, severity, rate_1m FROM shift", "SELECT edge_id, type, severity FROM shift WHERE type = 'NOVEL_EDGE'"),
+    "stream_anomaly_alerts": restless(f"""SELECT kind, instance, event, t * 1000000 AS turn_us, c AS n, round(measure, 6) AS measure
+        FROM turns JOIN sent USING (kind, instance, event, t)""", ANOMALY_TURNS, "due AS (SELECT * FROM turns WHERE high AND armed)", _sent(_K, _A["cooldown_s"], False)),
+    "stream_anomaly_changes": restless("SELECT kind, instance, event, t * 1000000 AS turn_us, change, armed::INT AS armed FROM turns WHERE change IS NOT NULL", ANOMALY_TURNS),
+    "stream_shifts": restless("""SELECT edge_id, type, CASE WHEN change = 'raised' THEN severity END AS severity, t * 1000000 AS turn_us, change, rate AS rate_1m,
+        round(base * 100)::BIGINT AS baseline_x100 FROM turns WHERE change IS NOT NULL""", SOCK, LIVE, DECLARED, SHIFT_TURNS),
+    "shift_alerts": restless("""SELECT edge_id, type, t * 1000000 AS turn_us, floor(quiet * 10)::BIGINT AS quiet_x10 FROM turns JOIN sent USING (edge_id, t) WHERE type = 'SILENT_LINK'""",
+        SOCK, LIVE, DECLARED, SHIFT_TURNS, "due AS (SELECT * FROM turns WHERE found AND severity = 'critical')", _sent("edge_id", _S["cooldown_s"], True)),
+    "graph_upkeep": SQL["topology_shifts"].replace("SELECT edge_id, type, severity, rate_1m FROM shift", "SELECT edge_id, type, severity FROM shift WHERE type = 'NOVEL_EDGE'"),
 }
 STREAM_SQL["stream_skeletons"] = ("SELECT skeleton, (n // 3)::BIGINT AS emitted, (n // 3 * 3)::BIGINT AS lines FROM ("
                                   + SQL["skeletons"] + ") WHERE n >= 3")
