@@ -11,8 +11,9 @@ from fleetsift.sources import lines as LN
 from fleetsift.streaming import evaluation as SE, ingest as SI, sources as SS, stateful as ST, upkeep as SU
 
 from .derived import flat_log, restless_sql, to_events
-from .oracle import AS_OF as SQL_AS_OF, CLOG, DECLARED, LIVE, MATCH, SOCK, SQL, TICKS, compressed, real
-from .queries import AS_OF, _stream_bodies, _unit_lines, base_rules, fleet, us
+from .oracle import (AS_OF as SQL_AS_OF, AUTH, CLOG, DECLARED, LIVE, MATCH, OF, SOCK, SQL, TICKS, UNEXPECTED, VIEW, compressed, people, real,
+                     reasons, words)
+from .queries import AS_OF, _stream_bodies, _unit_lines, _verdicts, base_rules, fleet, owner_table, rdns_table, us
 
 _STAGED: dict[tuple, str] = {}
 
@@ -106,15 +107,34 @@ def stream_skeletons(s, d):
         F.count("*").alias("emitted"), F.sum(F.size("samples")).alias("lines"))
 
 
+def _thirds(s, d):
+    """The compressed log, and its rows of the first third."""
+    rows = to_events(flat_log(s, d, "compressed"))
+    lo, hi = rows.agg(F.min(us("timestamp")), F.max(us("timestamp"))).first()
+    return rows, rows.filter(F.floor((us("timestamp") - lo) * 3 / F.lit(hi - lo + 1)) < 1)
+
+
 def stream_findings(s, d):
-    """Findings after sweeping at the end of each staged file."""
-    stream = _log_stream(s, d)
-    path = scratch_path(s, "findings")
-    run = SU.findings_sweeper(_staged(s, to_events(flat_log(s, d, "compressed")), "compressed", d), path, fleet(s),
-                              window_s=600, presence_window_s=300)
-    SS.finish(stream.writeStream.foreachBatch(run).option("checkpointLocation", scratch_path(s, "findings-state"))
-              .trigger(availableNow=True).start())
-    return s.read.parquet(f"{path}/v=3").select("kind", "subject", "instance", "state", "occurrences")
+    """Findings of three sweeps: one, then verdicts, then a stream with another checkpoint that goes on over all files.
+
+    Sweeps are further apart than their window is long, so the window reaches back to the last one.
+    """
+    rows, first = _thirds(s, d)
+    path, whole = scratch_path(s, "findings"), _staged(s, rows, "compressed", d)
+    verdicts = scratch_path(s, "verdicts")
+    own = dict(topology=fleet(s), owners=owner_table(s, d), rdns=rdns_table(s, d), window_s=100, presence_window_s=50)
+
+    def go(folder, **more):
+        SS.finish(SS.event_stream(s, folder, files_per_trigger=1).writeStream.foreachBatch(SU.findings_sweeper(whole, path, **own, **more))
+                  .option("checkpointLocation", scratch_path(s, "findings-state")).trigger(availableNow=True).start())
+
+    go(_staged(s, first, "first-third", d, 1))
+    judged = _verdicts(SU.findings_table(s, path).read()).withColumn("at", F.lit("2024-01-01 00:20:00").cast("timestamp"))
+    judged.write.parquet(verdicts)
+    go(whole, verdicts_path=verdicts)
+    return SU.findings_table(s, path).read().select(
+        "kind", "subject", "instance", "state", "verdict", "occurrences", us("first_seen").alias("first_us"), us("last_seen").alias("last_us"),
+        F.get_json_object("evidence", "$.reason").alias("reason"))
 
 
 #: Limits that the derived log's incidents reach, and the moment its clock starts.
@@ -232,7 +252,36 @@ kinds AS (SELECT *, unnest([{{'type': 'SILENT_LINK', 'found': silent, 'severity'
 turns AS (SELECT *, source || '->' || target || ':' || protocol AS edge_id, CASE WHEN found AND NOT was THEN 'raised' WHEN was AND NOT found THEN 'cleared' END AS change
   FROM (SELECT *, lag(found, 1, false) OVER (PARTITION BY {_E}, type ORDER BY t) AS was FROM kinds))"""
 
+
+
+def _sweep(name: str, clock: str, last: str | None) -> str:
+    """Detections of one sweep, which looks back 100 seconds (50 for logins), or to the sweep before it."""
+    back = lambda s: f"to_seconds({s if last is None else f'greatest({s}, ceil(epoch({clock}) - epoch({last})))'}::BIGINT)"
+    web = tuple(c.replace("raw ILIKE '%HTTP/1.1%')", f"raw ILIKE '%HTTP/1.1%' AND timestamp >= {clock} - {back(100)})") for c in VIEW)
+    logins = lambda name, sign: people(name, f"event = 'auth_ssh_accepted' AND timestamp {sign} {clock} - {back(50)}")
+    parts = ", ".join([f"log AS (SELECT * FROM flat WHERE timestamp <= {clock})", *web, reasons(), AUTH, logins("recent", ">="), logins("past", "<"), UNEXPECTED[3]])
+    return f"""{name} AS (WITH RECURSIVE {parts}
+  SELECT 'threat_actor' AS kind, subject, instance, severity_hint, CASE WHEN reason LIKE 'attempted%' OR reason LIKE 'repeated%' THEN reason
+    WHEN inconsistency >= 40 THEN 'claimed to be something it is not (inconsistency ' || inconsistency || ')' ELSE reason END AS reason
+    FROM raised LEFT JOIN profile ON ip = subject WHERE reason IS NOT NULL OR inconsistency >= 40
+  UNION ALL SELECT 'unexpected_login', usr || '@' || src_ip, host, CASE WHEN kind = 'new-host-user' THEN 'high' ELSE 'medium' END,
+    kind || ': ' || usr || ' on ' || host || ' from ' || src_ip FROM novel)"""
+
+
+_CLOCK = lambda k: f"(SELECT c{k} FROM clocks)"
+FINDINGS = "WITH RECURSIVE " + ", ".join([
+    CLOG.replace("log AS", "flat AS MATERIALIZED", 1),
+    """parts AS (SELECT timestamp, floor((epoch_us(timestamp) - lo) * 3 / (hi - lo + 1)) AS part FROM flat, (SELECT min(epoch_us(timestamp)) AS lo, max(epoch_us(timestamp)) AS hi FROM flat)),
+clocks AS MATERIALIZED (SELECT max(timestamp) FILTER (WHERE part = 0) AS c1, max(timestamp) FILTER (WHERE part = 1) AS c2, max(timestamp) AS c3 FROM parts)""",
+    _sweep("s1", _CLOCK(1), None), _sweep("s2", _CLOCK(2), _CLOCK(1)), _sweep("s3", _CLOCK(3), _CLOCK(2)),
+    f"""hit AS (SELECT *, 1 AS k, {_CLOCK(1)} AS c FROM s1 UNION ALL SELECT *, 2, {_CLOCK(2)} FROM s2 UNION ALL SELECT *, 3, {_CLOCK(3)} FROM s3),
+folded AS (SELECT kind, subject, instance, count(*) AS occurrences, min(k) AS k1, max(k) AS k3, min(c) AS first, max(c) AS last, arg_max(reason, k) AS reason FROM hit GROUP BY ALL),
+judged AS (SELECT *, CASE WHEN k1 = 1 AND nn % 5 <> 4 AND v IN {OF(V.VERDICTS)} THEN v END AS verdict FROM (
+  SELECT *, CAST(regexp_extract(subject, '[0-9]+$', 0) AS INT) AS nn, {words(V.VERDICTS + ['maybe'])}[CAST(regexp_extract(subject, '[0-9]+$', 0) AS INT) % 6 + 1] AS v FROM folded))"""])
+
 STREAM_SQL = {
+    "stream_findings": FINDINGS + f""" SELECT kind, subject, instance, CASE WHEN verdict IN {OF(V.DISMISSING_VERDICTS)} THEN 'dismissed'
+        WHEN verdict IS NOT NULL AND k3 = 1 THEN 'triaged' ELSE 'new' END AS state, verdict, occurrences, epoch_us(first) AS first_us, epoch_us(last) AS last_us, reason FROM judged""",
     "stream_ingest": real("SELECT rule AS event, strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS n FROM ruled GROUP BY ALL", MATCH),
     "stream_dedup": "SELECT 'line ' || user_id AS line, count(DISTINCT epoch_us(ts)) AS n, count(DISTINCT epoch_us(ts)) AS instants FROM events GROUP BY ALL",
     "stream_clamped": real(f"""SELECT event, strftime(CASE WHEN id % 40 = 1 THEN {SQL_AS_OF} ELSE timestamp END, '%Y-%m-%d') AS day,

@@ -1,19 +1,25 @@
 """Micro-batches that bring a table up to date: findings, edges and their shifts.
 
-Each batch writes version <batch id + 1> from the version before it, so a batch
-that is run again after a failure writes the same files again.
+Findings are a table in versions (versions.py). Edges write version <batch id + 1> from the
+version before it, so a batch that is run again after a failure writes the same files again.
 """
 
 from __future__ import annotations
 
+import math
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..functions.times import as_timestamp, seconds
 from ..operators import findings as N, graph as G
 from ..operators.flows import observe_flows
+from ..operators.findings import split_verdicts
 from ..plans.threat_view import sweep
+from ..schema import FINDING
 from ..sources.topology import Topology
+from .versions import VersionedTable
 
 BUCKET_SECONDS = V.EVALUATION_SECONDS
 
@@ -22,24 +28,46 @@ def _version(path: str, n: int) -> str:
     return f"{path.rstrip('/')}/v={n}"
 
 
-def findings_sweeper(log_path: str, findings_path: str, topology: Topology | None = None,
-                     owners: DataFrame | None = None, rdns: DataFrame | None = None, **windows):
-    """A foreachBatch function: after each batch of stored rows, one sweep over the log.
+def _run_id(spark) -> str:
+    """The id of the running stream, which its checkpoint keeps over restarts."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+
+
+def findings_table(spark, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, FINDING)
+
+
+def findings_sweeper(log_path: str, findings_path: str, topology: Topology | None = None, owners: DataFrame | None = None,
+                     rdns: DataFrame | None = None, verdicts_path: str | None = None, run: str | None = None,
+                     window_s: int = 3600, presence_window_s: int = 3600):
+    """A foreachBatch function: after each batch of stored rows, verdicts and then one sweep over the log.
 
-    The sweep's clock is the newest row of the batch.
+    The clock is the newest row so far. A sweep looks back over its window, and further if the sweep before it is longer
+    ago, so that no row between two sweeps is left out; a batch without newer rows was swept before and makes no
+    version. Verdicts (fingerprint, verdict, rationale, reviewer, severity, recommended_action, at) under verdicts_path
+    are applied once, the last of each finding, if they came after the last one that was applied. What a version
+    stands for is in the table itself, so a stream started anew with another checkpoint goes on from it.
     """
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def sweep_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        now = batch.agg(F.max("timestamp").cast("string")).first()[0]
-        before = (N.empty_findings(spark) if batch_id == 0
-                  else spark.read.parquet(_version(findings_path, batch_id)))
-        if now is None:
-            before.write.mode("overwrite").parquet(_version(findings_path, batch_id + 1))
+        table, me = findings_table(spark, findings_path), run or _run_id(spark)
+        newest = batch.agg(F.max("timestamp")).first()[0]
+        last = table.latest()
+        if newest is None or (last["clock"] is not None and newest <= last["clock"]) or table.made_by(me, batch_id):
             return
-        log = spark.read.parquet(log_path).filter(F.col("timestamp") <= as_timestamp(now))
-        (sweep(log, before, now, topology, owners, rdns, **windows)
-         .write.mode("overwrite").parquet(_version(findings_path, batch_id + 1)))
-    return run
+        start = lambda window: min(x for x in (newest - timedelta(seconds=window), last["clock"]) if x is not None)
+        now, found, until = newest.isoformat(" "), table.read(last["n"]), last["judged_until"]
+        if verdicts_path is not None:
+            given = spark.read.parquet(verdicts_path)
+            fresh = given.where(F.col("at") > F.lit(until)) if until is not None else given
+            until = fresh.agg(F.max("at")).first()[0] or until
+            judged = split_verdicts(fresh)[0].groupBy("fingerprint").agg(F.max_by(F.struct(*[c for c in given.columns if c != "fingerprint"]), "at").alias("v"))
+            found = N.apply_verdicts(found, judged.select("fingerprint", "v.*"), now)
+        log = spark.read.parquet(log_path).filter(F.col("timestamp") <= F.lit(newest))
+        back = lambda window: math.ceil((newest - start(window)).total_seconds())
+        swept = sweep(log, found, now, topology, owners, rdns, window_s=back(window_s), presence_window_s=back(presence_window_s))
+        table.commit(swept, last, me, batch_id, newest, start(window_s), until)
+    return sweep_batch
 
 
 def edge_buckets(flows: DataFrame) -> DataFrame:
