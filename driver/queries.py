@@ -701,7 +701,7 @@ def normalized_fields(s, d):
     return out.select("event_id", F.explode("kv").alias("key", "value"))
 
 
-def _ecs_docs(s, d):
+def _ecs_docs(s, d, where: str = "true"):
     """ECS documents out of the events: nested for even ids, dotted for odd ones, some unusable."""
     n, k = F.col("user_id").cast("string"), F.regexp_extract("props", "[0-9]+", 0)
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
@@ -721,7 +721,7 @@ def _ecs_docs(s, d):
     useless = F.concat(F.lit('{"only":'), k, F.lit("}"))
     body = (F.when(F.col("event_id") % 10 == 7, bad).when(F.col("event_id") % 10 == 9, useless)
             .when(F.col("event_id") % 2 == 0, nested).otherwise(dotted))
-    return _events(s, d).select(body.alias("value"))
+    return _events(s, d).filter(where).select(body.alias("value"))
 
 
 def ecs_rows(s, d):

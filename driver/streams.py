@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from fleetsift import fixed_values as V
-from fleetsift.operators import templates as TP
+from fleetsift.operators import search as SR, templates as TP, threats as TH
 from fleetsift.session import scratch_path
-from fleetsift.sources import lines as LN
-from fleetsift.streaming import evaluation as SE, ingest as SI, sources as SS, stateful as ST, upkeep as SU
+from fleetsift.sources import feed as FD, lines as LN
+from fleetsift.streaming import evaluation as SE, ingest as SI, mixed as MX, sources as SS, stateful as ST, upkeep as SU
 
 from .derived import flat_log, restless_sql, to_events
-from .oracle import (AS_OF as SQL_AS_OF, AUTH, CLOG, DECLARED, LIVE, MATCH, OF, SOCK, SQL, TICKS, UNEXPECTED, VIEW, compressed, people, real,
-                     reasons, words)
-from .queries import AS_OF, _stream_bodies, _unit_lines, _verdicts, base_rules, fleet, owner_table, rdns_table, us
+from .oracle import (AS_OF as SQL_AS_OF, AUTH, CLOG, DECLARED, LIVE, MATCH, OF, SOCK, SQL, TICKS, UNEXPECTED, VIEW, actors, compressed, hits, people,
+                     real, reasons, words)
+from .queries import AS_OF, _ecs_docs, _stream_bodies, _unit_lines, _verdicts, base_rules, fleet, owner_table, rdns_table, us
 
 _STAGED: dict[tuple, str] = {}
 
@@ -189,9 +189,88 @@ def graph_upkeep(s, d):
     return s.read.parquet(f"{shifts}/v=3").filter("type = 'NOVEL_EDGE'").select("edge_id", "type", "severity")
 
 
+_FEEDS: dict[tuple, str] = {}
+FEED_LABELS = {"text": {"source": "files"}, "json": None, "streams": None, "ecs": None}
+
+
+def _feeds(s, d) -> str:
+    """The log as files of bodies, a quarter of it each as lines, JSON bodies, log-stream payloads (delivered twice) and
+    ECS documents, with some of the collector's own lines and some bodies that are no use."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _FEEDS:
+        path, rows = scratch_path(s, "feeds"), flat_log(s, d, "real")
+        rows = rows.withColumn("g", F.floor(F.col("id") / 4) % 4).withColumn("odd", F.col("id") % 50)
+        labels = F.struct("instance", "source")
+        ns = F.concat(us("timestamp").cast("string"), F.lit("000"))
+        entry = F.array(F.array(ns, F.col("raw")), F.array(F.lit("1")))
+        bodies = {
+            "text": F.when(F.col("odd") < 4, F.concat(F.lit("  [Graph] "), "raw")).otherwise(F.col("raw")),
+            "json": F.when(F.col("odd").between(4, 7), F.lit("{not json")).otherwise(F.to_json(F.struct(labels.alias("labels"), F.array("raw").alias("lines")))),
+            "streams": F.when(F.col("odd").between(8, 11), F.lit('{"other": 1}')).otherwise(
+                F.to_json(F.struct(F.array(F.struct(labels.alias("stream"), entry.alias("values"))).alias("streams"))))}
+        for k, (name, body) in enumerate(bodies.items()):
+            for _ in range(2 if name == "streams" else 1):
+                rows.where(F.col("g") == k).select(body.alias("value")).repartition(2).write.mode("append").text(f"{path}/{name}")
+        _ecs_docs(s, d, "floor(event_id / 4) % 4 = 3").repartition(2).write.text(f"{path}/ecs")
+        _FEEDS[key] = path
+    return _FEEDS[key]
+
+
+_MIXED: dict[tuple, str] = {}
+
+
+def _mixed(s, d) -> str:
+    """All feeds read as streams into one table, two files at a time."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _MIXED:
+        path, rules = scratch_path(s, "mixed"), TP.read_rules(base_rules(s))
+        for kind in FD.KINDS:
+            feed = FD.read_feed(FD.read_bodies(s, f"{_feeds(s, d)}/{kind}", True, files_per_trigger=2), kind, FEED_LABELS[kind])
+            SS.finish(feed.writeStream.foreachBatch(MX.mixed_writer(rules, path, kind, AS_OF, kind=kind))
+                      .option("checkpointLocation", scratch_path(s, f"mixed-{kind}")).trigger(availableNow=True).start())
+        _MIXED[key] = path
+    return _MIXED[key]
+
+
+def ingested_all_sources(s, d):
+    """Stored rows of text, JSON, log-stream and ECS files from streams, and how many of them a batch does not have alike."""
+    path, rules = scratch_path(s, "mixed-batch"), TP.read_rules(base_rules(s))
+    for kind in FD.KINDS:
+        MX.write_outcomes(FD.read_feed(FD.read_bodies(s, f"{_feeds(s, d)}/{kind}"), kind, FEED_LABELS[kind]), rules, path, kind, AS_OF, kind)
+    stream, batch = MX.stored_log(s, _mixed(s, d)), MX.stored_log(s, path)
+    own = ["id", "timestamp", "event", "raw"]
+    both = stream.join(batch.select(*own, F.lit(1).alias("same")), own, "left")
+    return both.groupBy("event", "instance", F.col("event_date").cast("string").alias("day")).agg(
+        F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.col("same").isNull()).alias("differ"))
+
+
+def mixed_rejects(s, d):
+    """What was refused, by reason."""
+    return MX.rejects(s, _mixed(s, d)).groupBy("kind", "reason").agg(F.count("*").alias("n"))
+
+
+def mixed_accounting(s, d):
+    """Counts observed while the streams ran."""
+    return MX.accounts(s, _mixed(s, d)).select("total", "matched", "unstructured", "structured", "filtered", "rejected", "ts_clamped",
+                                               F.round("hit_rate", 4).alias("hit_rate"))
+
+
+def mixed_search(s, d):
+    """A search for a value over rows of all feeds."""
+    rows = MX.stored_log(s, _mixed(s, d))
+    return SR.search_logs(rows, 100000, value="198.51.100.8").select("event", "instance", us("timestamp").alias("at_us"), "raw")
+
+
+def mixed_actors(s, d):
+    """Actors behind hostile requests in rows of all feeds."""
+    actors = TH.threat_actors(TH.access_hits(MX.stored_log(s, _mixed(s, d))))
+    return actors.select("ip", "hits", "hostile_hits", "threat_tier", "score")
+
+
 STREAMS = {f.__name__: f for f in [stream_ingest, stream_dedup, stream_clamped, stream_anomalies, stream_unit_alerts,
                                    stream_skeletons, stream_findings, stream_shifts, shift_alerts, graph_upkeep,
-                                   stream_anomaly_alerts, stream_anomaly_changes]}
+                                   stream_anomaly_alerts, stream_anomaly_changes, ingested_all_sources, mixed_rejects, mixed_accounting,
+                                   mixed_search, mixed_actors]}
 
 START = 1704067200
 #: The turns the watermark passes before the input ends.
@@ -279,7 +358,34 @@ folded AS (SELECT kind, subject, instance, count(*) AS occurrences, min(k) AS k1
 judged AS (SELECT *, CASE WHEN k1 = 1 AND nn % 5 <> 4 AND v IN {OF(V.VERDICTS)} THEN v END AS verdict FROM (
   SELECT *, CAST(regexp_extract(subject, '[0-9]+$', 0) AS INT) AS nn, {words(V.VERDICTS + ['maybe'])}[CAST(regexp_extract(subject, '[0-9]+$', 0) AS INT) % 6 + 1] AS v FROM folded))"""])
 
+#: The feeds' rows as stored: what the rules make of lines, and what ECS documents say.
+_EMPTY = ", ".join(f"NULL::VARCHAR AS {c}" for c in ("f_peer_ip", "f_ip", "f_path", "f_url"))
+MIXED = f"""part AS (SELECT *, (id // 4) % 4 AS g, id % 50 AS odd FROM ruled),
+e AS (SELECT *, regexp_extract(props, '[0-9]+', 0) AS k, user_id::VARCHAR AS n FROM events WHERE (event_id // 4) % 4 = 3),
+lines AS (SELECT 'text' AS kind, rule AS event, NULL AS instance, {SQL_AS_OF} AS timestamp, raw FROM part WHERE g = 0 AND odd >= 4
+  UNION ALL SELECT 'json', rule, instance, {SQL_AS_OF}, raw FROM part WHERE g = 1 AND odd NOT BETWEEN 4 AND 7
+  UNION ALL SELECT 'streams', rule, instance, timestamp, raw FROM part WHERE g = 2 AND odd NOT BETWEEN 8 AND 11),
+documents_in AS (SELECT 'ecs' AS kind, CASE WHEN event_id % 2 = 0 THEN 'web.access' ELSE 'unstructured' END AS event, CASE WHEN event_id % 2 = 0 THEN 'host-' ELSE 'h' END || n AS instance,
+    CASE WHEN event_id % 5 = 0 AND event_id % 2 = 1 THEN {SQL_AS_OF} ELSE ts END AS timestamp,
+    CASE WHEN event_id % 2 = 0 THEN '198.51.100.' || n || ' - - [-] "GET /p/' || k || ' HTTP/1.1" 404 0 "-" "-"' ELSE 'line ' || k END AS raw, event_id FROM e WHERE event_id % 10 NOT IN (7, 9)),
+mixed AS (SELECT *, {_EMPTY} FROM (SELECT * FROM lines UNION ALL SELECT kind, event, instance, timestamp, raw FROM documents_in))"""
+MIXED_REJECTS = """refused AS (SELECT 'json' AS kind, 'not JSON' AS reason, count(*) AS n FROM part WHERE g = 1 AND odd BETWEEN 4 AND 7
+  UNION ALL SELECT 'streams', 'no stream', 2 * count(*) FROM part WHERE g = 2 AND odd BETWEEN 8 AND 11
+  UNION ALL SELECT 'streams', 'short entry', 2 * count(*) FROM part WHERE g = 2 AND odd NOT BETWEEN 8 AND 11
+  UNION ALL SELECT 'ecs', 'no object', count(*) FROM e WHERE event_id % 10 = 7 UNION ALL SELECT 'ecs', 'nothing to store', count(*) FROM e WHERE event_id % 10 = 9)"""
+
 STREAM_SQL = {
+    "ingested_all_sources": real("""SELECT event, instance, strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS n, count(*) AS ids, 0::BIGINT AS differ FROM mixed GROUP BY ALL""", MATCH, MIXED),
+    "mixed_rejects": real("SELECT kind, reason, n FROM refused WHERE n > 0", MATCH, MIXED, MIXED_REJECTS),
+    "mixed_accounting": real("""SELECT m + u + s AS total, m AS matched, u AS unstructured, s AS structured, f AS filtered, r AS rejected, c AS ts_clamped, round(m / (m + u + s) * 100, 4) AS hit_rate FROM
+        (SELECT sum(CASE WHEN event <> 'unstructured' THEN times ELSE 0 END)::BIGINT AS m, sum(CASE WHEN event = 'unstructured' THEN times ELSE 0 END)::BIGINT AS u
+         FROM (SELECT event, CASE WHEN kind = 'streams' THEN 2 ELSE 1 END AS times FROM lines)), (SELECT count(*) AS s, count(*) FILTER (WHERE event_id % 5 = 0 AND event_id % 2 = 1) AS c FROM documents_in),
+        (SELECT count(*) AS f FROM part WHERE g = 0 AND odd < 4), (SELECT sum(n)::BIGINT AS r FROM refused)""", MATCH, MIXED, MIXED_REJECTS),
+    "mixed_search": real("""SELECT event, instance, epoch_us(timestamp) AS at_us, raw FROM mixed WHERE (event = 'socket_line' AND contains(raw, 'peer=198.51.100.8 '))
+        OR (event = 'key_accepted' AND contains(raw, 'from 198.51.100.8 ')) OR (event = 'any_info' AND contains(raw, ' 198.51.100.8:'))
+        OR (event = 'web.access' AND starts_with(raw, '198.51.100.8 '))""", MATCH, MIXED),
+    "mixed_actors": real("SELECT ip, hits, hostile_hits, threat_tier, score FROM actors", MATCH, MIXED,
+                         "seen_rows AS (SELECT row_number() OVER () AS id, * REPLACE (coalesce(instance, 'unknown') AS instance) FROM mixed)", hits("seen_rows"), actors("hits")),
     "stream_findings": FINDINGS + f""" SELECT kind, subject, instance, CASE WHEN verdict IN {OF(V.DISMISSING_VERDICTS)} THEN 'dismissed'
         WHEN verdict IS NOT NULL AND k3 = 1 THEN 'triaged' ELSE 'new' END AS state, verdict, occurrences, epoch_us(first) AS first_us, epoch_us(last) AS last_us, reason FROM judged""",
     "stream_ingest": real("SELECT rule AS event, strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS n FROM ruled GROUP BY ALL", MATCH),

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 from re import _parser
 
 import pandas as pd
@@ -18,15 +20,15 @@ from ..schema import RULE
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule with the literal text that every line it matches holds ('' where it has none)."""
+    """A rule with the pieces of literal text that every line it matches holds."""
     event: str
     pattern: str
-    literal: str = ""
+    literals: tuple[str, ...] = ()
 
     @classmethod
     def of(cls, event: str, pattern: str) -> "Rule | None":
         """None for a pattern that does not compile."""
-        return None if refusal(pattern) else cls(event, pattern, _literal(_parser.parse(pattern)))
+        return None if refusal(pattern) else cls(event, pattern, tuple(dict.fromkeys(_literals(_parser.parse(pattern)))))
 
 
 def refusal(pattern: str) -> str | None:
@@ -38,22 +40,22 @@ def refusal(pattern: str) -> str | None:
     return None
 
 
-def _literal(tree) -> str:
-    """The longest run of plain characters that a parsed pattern cannot do without."""
+def _literals(tree) -> list[str]:
+    """The runs of plain characters that a parsed pattern cannot do without."""
     if getattr(tree, "state", None) is not None and tree.state.flags & re.IGNORECASE:
-        return ""
-    best = run = ""
+        return []
+    found, run = [], ""
     for op, value in tree:
         if op is _parser.LITERAL:
             run += chr(value)
             continue
-        inner = ""
+        found.append(run)
+        run = ""
         if op is _parser.SUBPATTERN and not value[1] & re.IGNORECASE:
-            inner = _literal(value[3])
+            found += _literals(value[3])
         elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] > 0:
-            inner = _literal(value[2])
-        best, run = max(best, run, inner, key=len), ""
-    return max(best, run, key=len)
+            found += _literals(value[2])
+    return [text for text in (*found, run) if text]
 
 
 def read_rules(rules: DataFrame) -> list[Rule]:
@@ -76,22 +78,49 @@ def covers(line: Column, java_pattern) -> Column:
     return (text > 0) & (found >= text * V.MIN_COVERAGE)
 
 
-@lru_cache(maxsize=8)
-def _compiled(rules: tuple) -> list:
-    return [(r.literal, re.compile(r.pattern).search, r.event) for r in rules]
+class RuleIndex:
+    """Rules filed under one of their literal pieces each: the one that fewest rules share, then the longest.
+
+    One pass of an Aho-Corasick automaton over a line finds all pieces it holds; the rules filed under those whose
+    other pieces were found too are tried in order. A line so meets only rules that nearly match it, however many
+    there are. Rules without a piece are tried on every line.
+    """
 
+    def __init__(self, rules: tuple):
+        import ahocorasick
+        shared = Counter(piece for rule in rules for piece in rule.literals)
+        pieces = {piece: k for k, piece in enumerate(shared)}
+        self.rules = [(rule.event, re.compile(rule.pattern).search, frozenset(pieces[p] for p in rule.literals)) for rule in rules]
+        self.always, self.filed = [], {}
+        for k, rule in enumerate(rules):
+            key = min(rule.literals, key=lambda p: (shared[p], -len(p), p), default=None)
+            (self.always if key is None else self.filed.setdefault(pieces[key], [])).append(k)
+        self.automaton = ahocorasick.Automaton()
+        for piece, k in pieces.items():
+            self.automaton.add_word(piece, k)
+        if pieces:
+            self.automaton.make_automaton()
+
+    def match(self, line: str | None) -> tuple:
+        """Event, field names and values by the first rule that covers the line."""
+        need = len(line.strip()) * V.MIN_COVERAGE if line else 0
+        if need:
+            held = {k for _, k in self.automaton.iter(line)} if len(self.automaton) else set()
+            tried = sorted(chain(self.always, *(self.filed[k] for k in held if k in self.filed)))
+            for k in tried:
+                event, search, pieces = self.rules[k]
+                if pieces <= held:
+                    found = search(line)
+                    if found and found.end() - found.start() >= need:
+                        fields = found.groupdict()
+                        return event, list(fields), list(fields.values())
+        return "unstructured", [], []
 
-def _first_match(line: str | None, compiled: list) -> tuple:
-    """Event, field names and values by the first rule that covers the line."""
-    need = len(line.strip()) * V.MIN_COVERAGE if line else 0
-    if need:
-        for literal, search, event in compiled:
-            if literal in line:
-                found = search(line)
-                if found and found.end() - found.start() >= need:
-                    fields = found.groupdict()
-                    return event, list(fields), list(fields.values())
-    return "unstructured", [], []
+
+@lru_cache(maxsize=8)
+def _indexed(rules: tuple) -> RuleIndex:
+    """The index of a rule set, built once in each Python process."""
+    return RuleIndex(rules)
 
 
 def match_templates(lines: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -99,15 +128,15 @@ def match_templates(lines: DataFrame, rules: list[Rule]) -> DataFrame:
 
     Lines pass through Python in Arrow batches: the patterns are Python's, so word characters are
     Unicode, references back work, and a group that took no part is null. The plan is one step however
-    many rules there are; a rule's expression runs only for lines that hold its literal text.
+    many rules there are; a rule's expression runs only for lines that hold its literal pieces.
     """
     known = tuple(rules)
 
     @F.pandas_udf("event string, names array<string>, found array<string>")
     def first_match(raw: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        compiled = _compiled(known)
+        match = _indexed(known).match
         for part in raw:
-            yield pd.DataFrame([_first_match(line, compiled) for line in part], columns=["event", "names", "found"])
+            yield pd.DataFrame([match(line) for line in part], columns=["event", "names", "found"])
 
     fields = F.map_from_arrays("_m.names", "_m.found")
     return (lines.withColumn("_m", first_match("raw")).withColumn("event", F.col("_m.event"))
