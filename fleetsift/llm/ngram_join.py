@@ -18,8 +18,8 @@ Equal sets are one class from the start, and a task sends a class once. Sets wit
 candidates: all pairs in groups of a few sets; in larger groups each set with the group's first. Sketches
 show most of those that are no links: sums over buckets, of which no more can differ than elements do.
 Links are verified on whole sets, the strongest candidate of every class first; candidates within a component
-need no more looking at. Where a larger group still spans several components, the pairs between its
-components are verified as well, so no link that joins two components is missed.
+need no more looking at. Where larger groups still span several components, their sets are compared once more
+by their rarest shingles (a prefix filter), so no link that joins two components is missed.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from .components import components
 from .shingles import digest, mix, shingle_set
 
 _U = np.uint64
+#: Counters of the sketch that orders shingles, and how many are added up at a time.
+_SKETCH, _SLICE = 1 << 20, 1 << 16
 _LOW = _U(0xFFFFFFFF)
 
 
@@ -366,6 +368,65 @@ def _sifted(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     return pairs
 
 
+def _between(docs: DataFrame, members: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """Candidates (cls_a, cls_b, w) between components of members (cls, component), by their rarest shingles.
+
+    Take the shingles of each set from the rarest among members to the most frequent: two sets of the likeness
+    asked for have one in common among the first n - ceil(n * percent / 100) + 1 of each, whatever the order is, as
+    long as it is the same for all. The order comes from a sketch of counts, of bounded size; a shingle that is counted
+    once has no partner and is not sent. A pair is kept where what lies behind the common shingle can still suffice.
+    """
+    spark = docs.sparkSession
+    texts = cut_lineage(docs.join(members.join(classes.select("cls", "rep", "n"), "cls"), F.col("i") == F.col("rep"))
+                        .select("cls", "component", "n", "t").dropDuplicates(["cls", "t"]))
+    slices = _SKETCH // _SLICE
+
+    def count(batches):
+        sums = np.zeros(_SKETCH, np.int64)
+        for batch in batches:
+            for t, cls in zip(batch.column("t"), batch.column("cls")):
+                found = shingle_set(t.as_py(), s.words)
+                if digest(found) == cls.as_py():
+                    np.add.at(sums, (found & _U(_SKETCH - 1)).astype(np.int64), 1)
+        kept = [k for k in range(slices) if sums[k * _SLICE:(k + 1) * _SLICE].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array([sums[k * _SLICE:(k + 1) * _SLICE].tobytes() for k in kept], pa.binary())], ["slice", "sums"])
+
+    def add(group):
+        total = sum(np.frombuffer(x, np.int64) for x in group["sums"])
+        return group[["slice"]].iloc[:1].assign(sums=np.minimum(total, 2 ** 31 - 1).astype(np.int32).tobytes())
+
+    sums = np.zeros(_SKETCH, np.int32)
+    for row in texts.mapInArrow(count, "slice int, sums binary").groupBy("slice").applyInPandas(add, "slice int, sums binary").collect():
+        sums[row["slice"] * _SLICE:(row["slice"] + 1) * _SLICE] = np.frombuffer(row["sums"], np.int32)
+    known = spark.sparkContext.broadcast(sums)  # 4 MB, whatever the input
+
+    def rarest(batches):
+        for batch in batches:
+            held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for row, (t, cls) in enumerate(zip(batch.column("t"), batch.column("cls"))):
+                found = shingle_set(t.as_py(), s.words)
+                if digest(found) != cls.as_py():
+                    continue
+                times = known.value[(found & _U(_SKETCH - 1)).astype(np.int64)]
+                first = np.lexsort((found, times))[:len(found) - -(-len(found) * s.percent // 100) + 1]
+                shared = np.flatnonzero(times[first] > 1)
+                held[0].append(found[first[shared]].view(np.int64))
+                held[1].append(shared)
+                held[2].append(np.full(len(shared), row))
+            shingle, place, row = (np.concatenate(h) for h in held)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(place), *(batch.column(c).take(pa.array(row)) for c in ("cls", "component", "n"))],
+                                             ["shingle", "place", "cls", "component", "n"])
+
+    kind = texts.schema["n"].dataType.simpleString()
+    rows = cut_lineage(texts.mapInArrow(rarest, f"shingle long, place long, cls long, component long, n {kind}"))
+    a, b = rows.alias("a"), rows.alias("b")
+    need = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(s.percent / (100 + s.percent)) - 1e-6)
+    enough = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= need
+    alike = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * s.percent
+    pairs = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.component") < F.col("b.component")) & alike & enough)
+    return (pairs.groupBy(F.least("a.cls", "b.cls").alias("cls_a"), F.greatest("a.cls", "b.cls").alias("cls_b")).agg(F.count("*").alias("w")))
+
+
 def _texts(docs: DataFrame, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """docs' rows of the ids in pairs, written once; known rows are not read again."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
@@ -468,10 +529,7 @@ def similarity_components(docs: DataFrame, settings: Settings = Settings(), id:
     spanning = placed.groupBy("sig").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("sig")
     across = cut_lineage(placed.join(spanning, "sig"))
     if across.limit(1).count():
-        other = across.select("sig", F.col("cls").alias("other"), F.col("component").alias("its"))
-        more = (across.join(other, "sig").where("component < its")
-                .groupBy(F.least("cls", "other").alias("cls_a"), F.greatest("cls", "other").alias("cls_b")).agg(F.count("*").alias("w"))
-                .join(candidates.select("cls_a", "cls_b"), ["cls_a", "cls_b"], "left_anti"))
+        more = _between(docs, across.select("cls", "component").distinct(), classes, s).join(candidates.select("cls_a", "cls_b"), ["cls_a", "cls_b"], "left_anti")
         more = _sifted(more, classes, s)
         links, labels = _settled(_texts(docs, more, texts), more, links, s, 3)
     labels = labels.withColumnRenamed("node", "cls")
