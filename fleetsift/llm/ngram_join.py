@@ -38,6 +38,8 @@ from .shingles import digest, mix, shingle_set
 _U = np.uint64
 #: Counters of the sketch that orders shingles, and how many are added up at a time.
 _SKETCH, _SLICE = 1 << 20, 1 << 16
+#: Shingles that a pair must have in common among its rarest ones.
+_COMMON = 24
 _LOW = _U(0xFFFFFFFF)
 
 
@@ -372,14 +374,14 @@ def _between(docs: DataFrame, members: DataFrame, classes: DataFrame, s: Setting
     """Candidates (cls_a, cls_b, w) between components of members (cls, component), by their rarest shingles.
 
     Take the shingles of each set from the rarest among members to the most frequent: two sets of the likeness
-    asked for have one in common among the first n - ceil(n * percent / 100) + 1 of each, whatever the order is, as
-    long as it is the same for all. The order comes from a sketch of counts, of bounded size; a shingle that is counted
-    once has no partner and is not sent. A pair is kept where what lies behind the common shingle can still suffice.
+    asked for, with k or more in common, have k of them among the first n - ceil(n * percent / 100) + k of each,
+    whatever the order is, as long as it is the same for all. The order comes from a sketch of counts, of bounded size;
+    a shingle that is counted once has no partner and is not sent. A common shingle counts where what lies behind it
+    can still suffice.
     """
     spark = docs.sparkSession
     texts = cut_lineage(docs.join(members.join(classes.select("cls", "rep", "n"), "cls"), F.col("i") == F.col("rep"))
                         .select("cls", "component", "n", "t").dropDuplicates(["cls", "t"]))
-    slices = _SKETCH // _SLICE
 
     def count(batches):
         sums = np.zeros(_SKETCH, np.int64)
@@ -388,15 +390,21 @@ def _between(docs: DataFrame, members: DataFrame, classes: DataFrame, s: Setting
                 found = shingle_set(t.as_py(), s.words)
                 if digest(found) == cls.as_py():
                     np.add.at(sums, (found & _U(_SKETCH - 1)).astype(np.int64), 1)
-        kept = [k for k in range(slices) if sums[k * _SLICE:(k + 1) * _SLICE].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array([sums[k * _SLICE:(k + 1) * _SLICE].tobytes() for k in kept], pa.binary())], ["slice", "sums"])
+        cells = np.flatnonzero(sums)
+        edges = np.searchsorted(cells, np.arange(0, _SKETCH + 1, _SLICE))
+        parts = [(k, cells[a:b], sums[cells[a:b]]) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in parts], pa.int32()), pa.array([c.astype(np.int32).tobytes() for _, c, _ in parts], pa.binary()),
+                                          pa.array([n.astype(np.int32).tobytes() for _, _, n in parts], pa.binary())], ["slice", "cells", "sums"])
 
     def add(group):
-        total = sum(np.frombuffer(x, np.int64) for x in group["sums"])
-        return group[["slice"]].iloc[:1].assign(sums=np.minimum(total, 2 ** 31 - 1).astype(np.int32).tobytes())
+        total = np.zeros(_SKETCH, np.int64)
+        for cells, counts in zip(group["cells"], group["sums"]):
+            total[np.frombuffer(cells, np.int32)] += np.frombuffer(counts, np.int32)
+        k = int(group["slice"].iloc[0])
+        return group[["slice"]].iloc[:1].assign(sums=np.minimum(total[k * _SLICE:(k + 1) * _SLICE], 2 ** 31 - 1).astype(np.int32).tobytes())
 
     sums = np.zeros(_SKETCH, np.int32)
-    for row in texts.mapInArrow(count, "slice int, sums binary").groupBy("slice").applyInPandas(add, "slice int, sums binary").collect():
+    for row in texts.mapInArrow(count, "slice int, cells binary, sums binary").groupBy("slice").applyInPandas(add, "slice int, sums binary").collect():
         sums[row["slice"] * _SLICE:(row["slice"] + 1) * _SLICE] = np.frombuffer(row["sums"], np.int32)
     known = spark.sparkContext.broadcast(sums)  # 4 MB, whatever the input
 
@@ -408,7 +416,7 @@ def _between(docs: DataFrame, members: DataFrame, classes: DataFrame, s: Setting
                 if digest(found) != cls.as_py():
                     continue
                 times = known.value[(found & _U(_SKETCH - 1)).astype(np.int64)]
-                first = np.lexsort((found, times))[:len(found) - -(-len(found) * s.percent // 100) + 1]
+                first = np.lexsort((found, times))[:len(found) - -(-len(found) * s.percent // 100) + _COMMON]
                 shared = np.flatnonzero(times[first] > 1)
                 held[0].append(found[first[shared]].view(np.int64))
                 held[1].append(shared)
@@ -421,10 +429,11 @@ def _between(docs: DataFrame, members: DataFrame, classes: DataFrame, s: Setting
     rows = cut_lineage(texts.mapInArrow(rarest, f"shingle long, place long, cls long, component long, n {kind}"))
     a, b = rows.alias("a"), rows.alias("b")
     need = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(s.percent / (100 + s.percent)) - 1e-6)
-    enough = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= need
+    enough = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + (_COMMON - 1) >= need
     alike = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * s.percent
     pairs = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.component") < F.col("b.component")) & alike & enough)
-    return (pairs.groupBy(F.least("a.cls", "b.cls").alias("cls_a"), F.greatest("a.cls", "b.cls").alias("cls_b")).agg(F.count("*").alias("w")))
+    counted = pairs.groupBy(F.least("a.cls", "b.cls").alias("cls_a"), F.greatest("a.cls", "b.cls").alias("cls_b")).agg(F.count("*").alias("w"), F.max(need).alias("need"))
+    return counted.where(F.col("w") >= F.least("need", F.lit(_COMMON))).drop("need")
 
 
 def _texts(docs: DataFrame, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
