@@ -39,7 +39,7 @@ _U = np.uint64
 #: Counters of the sketch that orders shingles, and how many are added up at a time.
 _SKETCH, _SLICE = 1 << 20, 1 << 16
 #: Shingles that a pair must have in common among its rarest ones.
-_COMMON = 24
+_COMMON = 1
 _LOW = _U(0xFFFFFFFF)
 
 
