@@ -623,3 +623,10 @@ SQL["fleet_metrics"] = compressed("""SELECT 'ingest_total' AS metric, 1::BIGINT
   UNION ALL SELECT 'graph_shifts_active', 1, count(*) FROM shift UNION ALL SELECT 'graph_edge_rate_1m', count(*), sum(rate_1m)::BIGINT FROM edge
   UNION ALL SELECT 'graph_edge_bytes_per_sec', count(*), round(sum(bytes_per_sec))::BIGINT FROM edge""",
     LOG.replace("log AS (", "rlog AS (", 1), MATCH.replace("FROM log)", "FROM rlog)"), STORED, WINDOWED, *edge_tables(), USUAL, DECLARED_TYPE, NODES)
+
+# ---- orders and single rows ----------------------------------------------------------------------------
+SQL["actors_ordered"] = real("SELECT ip, score, hostile_hits FROM actors ORDER BY score DESC, hostile_hits DESC, newest DESC, ip LIMIT 9", hits(), actors())
+SQL["unexpected_ordered"] = real("""SELECT kind, host, usr AS "user", src_ip FROM novel ORDER BY kind <> 'new-host-user', last_seen DESC, host, usr, src_ip LIMIT 12""", *UNEXPECTED)
+SQL["counts_by_window"] = real(f"""SELECT spec, count(*) AS matched FROM log JOIN (VALUES ('7d', 604800), ('36h', 129600), ('90000', 90000), ('later', NULL)) w(spec, s)
+    ON raw ILIKE '%HTTP/1.1%' AND (s IS NULL OR timestamp >= {AS_OF} - to_seconds(s)) GROUP BY spec""")
+SQL["one_finding"] = real("SELECT fingerprint, subject, instance, reason, score FROM found ORDER BY fingerprint LIMIT 1", *HALF[:5])

@@ -890,6 +890,33 @@ def topology_aliases(s, d):
     return seen.unionByName(named).groupBy("ip", "node").agg(F.count("*").alias("n"))
 
 
+# ---- orders and single rows ----------------------------------------------------------------
+
+def actors_ordered(s, d):
+    """The first nine actors of a listing."""
+    return T.order_actors(T.threat_actors(T.access_hits(log(s, d)))).limit(9).select("ip", "score", "hostile_hits")
+
+
+def unexpected_ordered(s, d):
+    """The first twelve unexpected logins of a listing."""
+    return P.order_unexpected(P.unexpected_logins(log(s, d), AS_OF, 6 * 86400)).limit(12).select("kind", "host", "user", "src_ip")
+
+
+def counts_by_window(s, d):
+    """Rows in windows written as people write them; one that says nothing is no window."""
+    parts = [S.count_logs(log(s, d), q="HTTP/1.1", since_s=times.search_window(w), as_of=AS_OF).select(F.lit(w).alias("spec"), "matched")
+             for w in ("7d", "36h", "90000", "later")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+def one_finding(s, d):
+    """A finding by its key, evidence included."""
+    found, _ = _half_findings(s, d)
+    key = found.agg(F.min("fingerprint")).first()[0]
+    return N.get_finding(found, key).select("fingerprint", "subject", "instance", F.get_json_object("evidence", "$.reason").alias("reason"),
+                                            F.get_json_object("evidence", "$.score").cast("long").alias("score"))
+
+
 BATCH = {f.__name__: f for f in [
     search_value, search_text, search_field, search_port_process, search_window, search_by_shape, count_text,
     search_truncation, recent_logins, network_rows, network_dns, instances, technique_counts, threat_actors,
@@ -905,5 +932,4 @@ BATCH = {f.__name__: f for f in [
     value_shapes, normalized_fields, ecs_rows, ecs_accounting, ecs_value_search, flattened_documents, text_lines,
     json_lines, stream_entries, stream_regrouped, stream_labels, socket_snapshot, logfmt_fields, timestamps,
     structured_requests, address_parts, finding_keys, ingest_accounting, stored_days, retention, retention_days,
-    topology_aliases,
-]}
+    topology_aliases, actors_ordered, unexpected_ordered, counts_by_window, one_finding]}

@@ -22,7 +22,7 @@ def plain(v):
 
 SAMPLE = ["search_value", "threat_actors", "campaigns", "behaviour_profiles", "findings_upserted", "presence", "anomaly_states",
           "edges", "subgraph_search", "time_lapse", "matched_lines", "clusters", "ecs_rows", "normalized_fields",
-          "stream_anomalies", "stream_unit_alerts", "stream_dedup"]
+          "stream_anomalies", "stream_unit_alerts", "stream_dedup", "stream_shifts", "mixed_actors", "actors_ordered", "counts_by_window"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
