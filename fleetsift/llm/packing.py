@@ -2,15 +2,15 @@
 
 A document longer than the capacity is cut into full pieces, its first piece taking the rest; full
 pieces are sequences as they stand. The other pieces are packed in groups of bounded size, dealt at
-random. Within a group the longest come first, and each goes where the sum over gap classes of the
-squared number of open sequences becomes smallest: into the open sequence of some residual gap, or into
-a new one. Gaps below the class width count as closed. What lies in sequences left open is dealt into
-new groups and packed again, level by level, until one group is left; each level is written to the
-shared folder. Pieces that find no partner (600 of 1024 tokens, say) never close a sequence: once a level
-closes less than an eighth of its tokens, the next one puts every piece where it fits tightest and lets
-all sequences stand but those at most half full, of which a group has one. So no task holds more than a
-group, every second level has at most seven eighths of the tokens, and the number of levels grows with
-the logarithm of the input.
+random. Within a group the longest come first, and each goes into the open sequence that makes the sum over
+gap classes of the squared number of open sequences smallest, the smallest gap among equals; a sequence is
+opened only for a piece that no open one takes, so at most one of a group stays half empty or more. What lies
+in sequences with a gap of `spare` or more is dealt into new groups and packed again, level by level, until one
+group is left; each level is written to the shared folder. Pieces that find no partner (600 of 1024 tokens,
+say) never fill a sequence: once a level closes less than an eighth of its tokens, the next one lets all
+sequences stand but those at most half full, of which a group has one. So no task holds more than a group,
+every second level has at most seven eighths of the tokens, and the number of levels grows with the logarithm
+of the input.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
@@ -121,35 +122,27 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
     return map_batches(docs.select(docs[id].alias("i"), docs[text].alias("t")), make, schema).withColumnRenamed("i", id)
 
 
-def place(sizes: np.ndarray, capacity: int, width: int, tightest: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def place(sizes: np.ndarray, capacity: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of every size, in the order given, and the gaps left in the bins.
 
-    With tightest, a size goes into the smallest gap that takes it, and gap classes are not weighed:
-    at most one bin stays half empty or more.
+    Classes hold `width` gaps each; gaps of the first class count as closed in the sum, but still take what fits.
     """
     kind = np.arange(capacity + 1) // width
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     by_gap, by_kind = np.zeros(capacity + 1, np.int64), np.zeros(kind[-1] + 1, np.int64)
     bins, offsets, gaps = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), []
     for k, size in enumerate(sizes):
-        fresh = kind[capacity - size]
-        least, gap = (2 * by_kind[fresh] + 1 if fresh else 0), capacity
         fits = np.flatnonzero(by_gap[size:capacity]) + size
-        if len(fits) and tightest:
-            gap = int(fits[0])
-        elif len(fits):
+        if len(fits):
             a, b = kind[fits], kind[fits - size]
             change = np.where(a > 0, 1 - 2 * by_kind[a], 0) + np.where(b > 0, 1 + 2 * by_kind[b], 0) - 2 * ((a == b) & (a > 0))
-            best = int(np.argmin(change))
-            if change[best] <= least:
-                gap = int(fits[best])
-        if gap == capacity:
-            at = len(gaps)
-            gaps.append(capacity)
-        else:
+            gap = int(fits[np.argmin(change)])
             at = open_bins[gap].pop()
             by_gap[gap] -= 1
             by_kind[kind[gap]] -= kind[gap] > 0
+        else:
+            gap, at = capacity, len(gaps)
+            gaps.append(capacity)
         left = gap - int(size)
         bins[k], offsets[k], gaps[at] = at, capacity - gap, left
         if left:
@@ -165,14 +158,17 @@ def _amount(pieces: DataFrame) -> tuple[int, int]:
     return total, int(tokens)
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, width: int = 32, group: int = 4000, regroup: int = 200) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, width: int = 4, spare: int = 32, group: int = 4000,
+         regroup: int = 200) -> DataFrame:
     """pieces (with a length of 1 to capacity) with sequence_id and offset; offsets are gapless from 0.
 
     Columns of these names are replaced, others are carried along. Repeated rows are pieces of their
     own. An empty table gives an empty table.
     """
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    pieces = cut_lineage(pieces.select(*names))
+    order = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    carried = [c for c in order if c != "length"]
+    names = ["length"] + [f"c{k}" for k in range(len(carried))]
+    pieces = cut_lineage(pieces.select("length", *[pieces[c].alias(f"c{k}") for k, c in enumerate(carried)]))
     full = pieces.where(F.col("length") >= capacity).select(
         "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity).withColumn("_row", F.monotonically_increasing_id())
@@ -183,15 +179,14 @@ def pack(pieces: DataFrame, capacity: int = 1024, width: int = 32, group: int =
         dealt = rest.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(level)), F.lit(groups)))
         schema = StructType(dealt.schema.fields + [StructField("sequence_id", LongType()), StructField("offset", LongType()), StructField("_open", BooleanType())])
 
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["length", "_row"], ascending=[False, True], kind="stable")
-            sizes = rows["length"].to_numpy()
-            bins, offsets, gaps = min((place(sizes, capacity, width, way) for way in ([False, True] if last else [settle])),
-                                      key=lambda placed: len(placed[2]))
-            return rows.assign(sequence_id=base + (rows["_group"].to_numpy() << 20) + bins, offset=offsets,
-                               _open=(gaps[bins] >= (-(-capacity // 2) if settle else width)) & (not last))
+        def run(rows: pa.Table) -> pa.Table:
+            rows = rows.take(pc.sort_indices(rows, [("length", "descending"), ("_row", "ascending")]))
+            bins, offsets, gaps = place(rows["length"].to_numpy(), capacity, width)
+            found = base + (rows["_group"].to_numpy().astype(np.int64) << 20) + bins
+            left_open = (gaps[bins] >= (-(-capacity // 2) if settle else spare)) & (not last)
+            return pa.Table.from_arrays([*rows.columns, pa.array(found), pa.array(offsets), pa.array(left_open)], names=schema.names)
 
-        packed = cut_lineage(dealt.groupBy("_group").applyInPandas(run, schema))
+        packed = cut_lineage(dealt.groupBy("_group").applyInArrow(run, schema))
         done.append(packed.where("NOT _open").select(*names, "sequence_id", "offset"))
         rest = packed.where("_open").select(*names, "_row")
         before, (total, tokens) = tokens, (0, 0) if last else _amount(rest)
@@ -199,7 +194,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, width: int = 32, group: int =
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out
+    place_of = {c: f"c{k}" for k, c in enumerate(carried)}
+    return out.select(*[F.col(place_of.get(c, c)).alias(c) for c in order], "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
