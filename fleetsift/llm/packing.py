@@ -41,14 +41,15 @@ class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Merges never cross a pre-token, so the ids of a pre-token are looked up, and the tokenizer runs for
-    those not seen before; the store is emptied when full. Texts with special tokens or with code points
+    those not seen before. A store that is full becomes the elder one, from which pre-tokens still in use are
+    taken over; so common ones stay, and at most twice `keep` are held. Texts with special tokens or with code points
     the split is not spelled out for go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.tokenizer, self.keep, self.known, self.elder = Tokenizer.from_file(path), keep, {}, {}
         added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
 
@@ -74,9 +75,11 @@ class Encoder:
         plain = [not (_BEYOND.search(t) or self.special.search(t)) for t in texts]
         split = [PRE_TOKEN.findall(t) if ok else None for t, ok in zip(texts, plain)]
         if len(self.known) > self.keep:
-            self.known = {}
-        self._learn(list({p for parts in split if parts for p in parts if p not in self.known}))
-        known = self.known
+            self.known, self.elder = {}, self.known
+        known, elder = self.known, self.elder
+        missing = {p for parts in split if parts for p in parts if p not in known}
+        known.update((p, elder[p]) for p in missing if p in elder)
+        self._learn([p for p in missing if p not in known])
         return [b"".join([known[p] for p in parts]) if ok else self._bytes([t])[0]
                 for t, parts, ok in zip(texts, split, plain)]
 
