@@ -124,6 +124,11 @@ SQL["search_value"] = real(f"SELECT {ROWS} FROM log WHERE {ANY_FIELD('198.51.100
 SQL["search_text"] = real(f"SELECT {ROWS} FROM log WHERE raw ILIKE '%WP-login%' {NEWEST} 40")
 SQL["search_field"] = real(f"SELECT {ROWS} FROM log WHERE f_user = 'u3' {NEWEST} 30")
 SQL["search_port_process"] = real(f"SELECT {ROWS} FROM log WHERE '443' IN (f_local_port, f_peer_port) AND f_process = 'nginx' {NEWEST} 200000")
+SQL["search_value_indexed"], SQL["search_field_indexed"] = SQL["search_value"], SQL["search_field"]
+SQL["search_port_indexed"] = SQL["search_port_process"]
+SQL["count_values_indexed"] = real(" UNION ALL ".join(
+    f"SELECT '{v}' AS term, count(*) AS matched FROM log WHERE {ANY_FIELD(v)} AND timestamp >= {AS_OF} - INTERVAL 7 DAY"
+    for v in ("198.51.100.8", "198.51.100.21", "203.0.113.1")))
 SQL["search_window"] = real(f"""SELECT {ROWS} FROM log WHERE event = 'nginx_access' AND instance = 'host-2' AND source = 'nginx'
   AND timestamp BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 12:00:00' {NEWEST} 1000""")
 SQL["search_by_shape"] = real(f"""SELECT '198.51.100.8' AS term, count(*) AS matched FROM log WHERE {ANY_FIELD('198.51.100.8')}

@@ -15,7 +15,7 @@ from fleetsift.plans import ingest, metrics
 from fleetsift.plans.threat_view import sweep as findings_sweep, threat_view
 from fleetsift.schema import CAMPAIGN_ACTOR
 from fleetsift.session import cut_lineage, scratch_path
-from fleetsift.sources import ecs, events as EV, lines as LN, topology as TY
+from fleetsift.sources import ecs, events as EV, lines as LN, topology as TY, value_index as VI
 
 from .derived import PATHS, events_table, log
 
@@ -44,6 +44,43 @@ def search_value(s, d):
     return _rows(S.search_logs(log(s, d), 50, value="198.51.100.8", since_s=20 * 86400, as_of=AS_OF))
 
 
+_INDEXES: dict[tuple, VI.ValueIndex] = {}
+
+
+def value_index(s, d) -> VI.ValueIndex:
+    """The log in two appends and its index, brought up to date after each."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        table, half = scratch_path(s, "indexed-log"), F.lit("2024-01-15 00:00:00").cast("timestamp")
+        EV.write_events(log(s, d).where(F.col("timestamp") < half).drop("instance", "source", "event_date"), table)
+        index = VI.ValueIndex(s, table, scratch_path(s, "value-index"))
+        index.refresh()
+        EV.write_events(log(s, d).where(F.col("timestamp") >= half).drop("instance", "source", "event_date"), table)
+        index.refresh()
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
+def search_value_indexed(s, d):
+    return _rows(value_index(s, d).search(50, value="198.51.100.8", since_s=20 * 86400, as_of=AS_OF))
+
+
+def search_field_indexed(s, d):
+    return _rows(value_index(s, d).search(30, kv="user:u3"))
+
+
+def search_port_indexed(s, d):
+    return _rows(value_index(s, d).search(200000, port=443, process="nginx"))
+
+
+def count_values_indexed(s, d):
+    """How many rows of a week hold each of some addresses."""
+    index = value_index(s, d)
+    parts = [index.count(value=v, since_s=7 * 86400, as_of=AS_OF).select(F.lit(v).alias("term"), "matched")
+             for v in ("198.51.100.8", "198.51.100.21", "203.0.113.1")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def search_text(s, d):
     return _rows(S.search_logs(log(s, d), 40, q="WP-login"))
 
@@ -918,7 +955,7 @@ def one_finding(s, d):
 
 
 BATCH = {f.__name__: f for f in [
-    search_value, search_text, search_field, search_port_process, search_window, search_by_shape, count_text,
+    search_value, search_value_indexed, search_field_indexed, search_port_indexed, count_values_indexed, search_text, search_field, search_port_process, search_window, search_by_shape, count_text,
     search_truncation, recent_logins, network_rows, network_dns, instances, technique_counts, threat_actors,
     actor_paths_capped, actor_hostile_paths, campaigns, technique_totals, internal_addresses_left_out, owners, owner_by_prefix,
     behaviour_profiles, request_gaps, longest_404_runs, client_claims, threat_view_actors, threat_view_tags,

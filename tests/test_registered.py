@@ -20,7 +20,7 @@ def plain(v):
     return int(v) if v is not None and not isinstance(v, (str, bool)) and v == int(v) else v
 
 
-SAMPLE = ["search_value", "threat_actors", "campaigns", "behaviour_profiles", "findings_upserted", "presence", "anomaly_states",
+SAMPLE = ["search_value", "search_value_indexed", "search_field_indexed", "search_port_indexed", "count_values_indexed", "threat_actors", "campaigns", "behaviour_profiles", "findings_upserted", "presence", "anomaly_states",
           "edges", "subgraph_search", "time_lapse", "matched_lines", "clusters", "ecs_rows", "normalized_fields",
           "stream_anomalies", "stream_unit_alerts", "stream_dedup", "stream_shifts", "mixed_actors", "actors_ordered", "counts_by_window"]
 
