@@ -61,7 +61,7 @@ class ValueIndex:
     """Look-ups in a stored table (a folder of write_events) by the values of its fields."""
 
     def __init__(self, spark: SparkSession, table: str, path: str):
-        self.spark, self.table, self.path = spark, table, path.rstrip("/")
+        self.spark, self.table, self.path, self._known = spark, table, path.rstrip("/"), set()
         spark.createDataFrame([], ENTRY).write.mode("ignore").parquet(f"{self.path}/entries")
         spark.createDataFrame([], "file string").write.mode("ignore").parquet(f"{self.path}/commits")
 
@@ -83,8 +83,12 @@ class ValueIndex:
         return self.spark.read.schema(like.schema).option("basePath", self.table).parquet(*files)
 
     def behind(self, log: DataFrame | None = None) -> list[str]:
-        """Files of the table that no refresh has seen."""
-        return [r[0] for r in self._files(log if log is not None else self.log()).join(self.indexed(), "file", "left_anti").collect()]
+        """Files of the table that no refresh has seen. A file once indexed stays so, hence names are read again only
+        when the listing has one that is not known."""
+        live = {_same_form(f) for f in (log if log is not None else self.log()).inputFiles()}
+        if live - self._known:
+            self._known = {r[0] for r in self.indexed().collect()} & live
+        return sorted(live - self._known)
 
     def refresh(self) -> int:
         """Index the files that came since the last refresh; returns how many.
