@@ -8,9 +8,9 @@ from fleetsift import fixed_values as V
 from fleetsift.operators import search as SR, templates as TP, threats as TH
 from fleetsift.session import scratch_path
 from fleetsift.sources import feed as FD, lines as LN
-from fleetsift.streaming import evaluation as SE, ingest as SI, mixed as MX, sources as SS, stateful as ST, upkeep as SU
+from fleetsift.streaming import evaluation as SE, ingest as SI, mixed as MX, pages as PG, sources as SS, stateful as ST, upkeep as SU
 
-from .derived import flat_log, restless_sql, to_events
+from .derived import events_table as _events, flat_log, restless_sql, to_events
 from .oracle import (AS_OF as SQL_AS_OF, AUTH, CLOG, DECLARED, LIVE, MATCH, OF, SOCK, SQL, TICKS, UNEXPECTED, VIEW, actors, compressed, hits, people,
                      real, reasons, words)
 from .queries import AS_OF, _ecs_docs, _stream_bodies, _unit_lines, _verdicts, base_rules, fleet, owner_table, rdns_table, us
@@ -67,6 +67,28 @@ def stream_dedup(s, d):
     return out.groupBy("line").agg(F.count("*").alias("n"), F.count_distinct("ts_ns").alias("instants"))
 
 
+def stream_pages(s, d):
+    """Entries of recorded pages over a stop in mid-page: some of those before the cursor are recorded after the stop."""
+    _rocksdb(s)
+    entries = _events(s, d).select(
+        F.create_map(F.lit("job"), F.concat(F.lit("j"), (F.col("user_id") % 3).cast("string"))).alias("labels"),
+        (us(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000).alias("ts_ns"), F.concat(F.lit("line "), F.col("user_id").cast("string")).alias("line"))
+    path, out, state = (scratch_path(s, n) for n in ("pages", "page-entries", "page-state"))
+    half = F.lit("2024-01-15 06:00:00").cast("timestamp")
+    half_ns = us(half) * 1000
+    hour = 3600 * PG.SECOND
+    newest = entries.where(F.col("ts_ns") <= half_ns).agg(F.max("ts_ns")).first()[0]
+    cursor = newest - 7 * hour
+    late = (F.col("ts_ns") > cursor - 2 * hour) & (F.col("ts_ns") < cursor) & (F.col("ts_ns") % 2 == 0)
+    parts = [(entries.where((F.col("ts_ns") <= half_ns) & ~late), 7 * 3600), (entries.where((F.col("ts_ns") > half_ns) | late), 0)]
+    for recorded, settle_s in parts:
+        PG.write_pages(recorded, path)
+        read = PG.page_stream(s, path, AS_OF, overlap_s=3 * 3600, settle_s=settle_s).select("labels", "ts_ns", "line")
+        SS.finish(read.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start())
+    return s.read.schema(read.schema).parquet(out).groupBy(F.col("labels")["job"].alias("job"), "line").agg(
+        F.count("*").alias("n"), F.min("ts_ns").alias("first_ns"), F.sum(F.col("ts_ns") % 1000003).alias("check_ns"))
+
+
 def stream_clamped(s, d):
     """A clock in 2031 on some rows: they are kept, and do not hold up the others."""
     rows = _log_stream(s, d, "real")
@@ -267,7 +289,7 @@ def mixed_actors(s, d):
     return actors.select("ip", "hits", "hostile_hits", "threat_tier", "score")
 
 
-STREAMS = {f.__name__: f for f in [stream_ingest, stream_dedup, stream_clamped, stream_anomalies, stream_unit_alerts,
+STREAMS = {f.__name__: f for f in [stream_ingest, stream_dedup, stream_pages, stream_clamped, stream_anomalies, stream_unit_alerts,
                                    stream_skeletons, stream_findings, stream_shifts, shift_alerts, graph_upkeep,
                                    stream_anomaly_alerts, stream_anomaly_changes, ingested_all_sources, mixed_rejects, mixed_accounting,
                                    mixed_search, mixed_actors]}
@@ -389,6 +411,8 @@ STREAM_SQL = {
     "stream_findings": FINDINGS + f""" SELECT kind, subject, instance, CASE WHEN verdict IN {OF(V.DISMISSING_VERDICTS)} THEN 'dismissed'
         WHEN verdict IS NOT NULL AND k3 = 1 THEN 'triaged' ELSE 'new' END AS state, verdict, occurrences, epoch_us(first) AS first_us, epoch_us(last) AS last_us, reason FROM judged""",
     "stream_ingest": real("SELECT rule AS event, strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS n FROM ruled GROUP BY ALL", MATCH),
+    "stream_pages": """SELECT job, line, count(*) AS n, min(ts_ns) AS first_ns, sum(ts_ns % 1000003)::BIGINT AS check_ns FROM (
+        SELECT DISTINCT 'j' || (user_id % 3) AS job, 'line ' || user_id AS line, epoch_us(ts) * 1000 + event_id % 1000 AS ts_ns FROM events) GROUP BY ALL""",
     "stream_dedup": "SELECT 'line ' || user_id AS line, count(DISTINCT epoch_us(ts)) AS n, count(DISTINCT epoch_us(ts)) AS instants FROM events GROUP BY ALL",
     "stream_clamped": real(f"""SELECT event, strftime(CASE WHEN id % 40 = 1 THEN {SQL_AS_OF} ELSE timestamp END, '%Y-%m-%d') AS day,
         (id % 40 = 1)::INT AS suspect, count(*) AS n FROM log GROUP BY ALL"""),
