@@ -566,6 +566,9 @@ SQL["json_lines"] = "WITH " + EV + """ SELECT raw, protocol, instance, count(*)
 SQL["stream_entries"] = "SELECT 'j' || (user_id % 3) AS job, epoch_us(ts) * 1000 AS ts_ns, 'line ' || user_id AS line, epoch_us(ts) AS at_us FROM events"
 SQL["stream_regrouped"] = """SELECT '{"job":"j' || (user_id % 3) || '","unit":"u","via":"tail"}' AS key, epoch_us(date_trunc('hour', ts)) AS block_us, count(*) AS n,
     min(epoch_us(ts)) * 1000 AS first_ns, arg_min('line ' || user_id, (ts, 'line ' || user_id)) AS first_line FROM events GROUP BY key, block_us"""
+SQL["stream_chunks"] = """SELECT key, chunk, count(*) AS n, min(ns) AS first_ns, max(ns) AS last_ns FROM (
+    SELECT *, (row_number() OVER (PARTITION BY key ORDER BY ns, line) - 1) // 100 AS chunk FROM (
+      SELECT '{"job":"j' || (user_id % 3) || '","unit":"u"}' AS key, epoch_us(ts) * 1000 AS ns, 'line ' || user_id AS line FROM events)) GROUP BY ALL"""
 SQL["stream_labels"] = "SELECT 'b' || (user_id % 4) AS job, 'i' || user_id AS instance, 2::BIGINT AS size, count(*) AS n FROM events GROUP BY ALL"
 SQL["socket_snapshot"] = "WITH " + EV + """ SELECT 'tcp' AS proto, 'established' AS state, '10.0.0.1' AS local, peer, peer_port, process, pid, count(*) AS n, min(lp) AS min_local_port FROM (
     SELECT CASE WHEN user_id % 10 = 2 THEN '2001:db8::' || n ELSE '198.51.100.' || n END AS peer, CASE WHEN user_id % 10 = 2 THEN '443' ELSE k END AS peer_port,

@@ -829,6 +829,12 @@ def stream_regrouped(s, d):
                          F.col("entries")[0]["ts_ns"].alias("first_ns"), F.col("entries")[0]["line"].alias("first_line"))
 
 
+def stream_chunks(s, d):
+    groups = LN.chunk_streams(LN.log_stream_entries(_stream_bodies(s, d)), 100)
+    return groups.select("key", "chunk", F.size("entries").cast("long").alias("n"), F.col("entries")[0]["ts_ns"].alias("first_ns"),
+                         F.element_at("entries", -1)["ts_ns"].alias("last_ns"))
+
+
 def stream_labels(s, d):
     n = F.col("user_id").cast("string")
     text = F.concat(F.lit('{job="a", instance="i'), n, F.lit('",job="b'), (F.col("user_id") % 4).cast("string"), F.lit('"}'))
@@ -967,6 +973,6 @@ BATCH = {f.__name__: f for f in [
     folded_addresses, merged_history, graph_summary, graph_filtered, fleet_metrics, matched_lines, matched_lines_many_rules, template_usage,
     added_rules, loaded_rules, merged_rules, skeletons, clusters, document_skeletons, synthesized_rules,
     value_shapes, normalized_fields, ecs_rows, ecs_accounting, ecs_value_search, flattened_documents, text_lines,
-    json_lines, stream_entries, stream_regrouped, stream_labels, socket_snapshot, logfmt_fields, timestamps,
+    json_lines, stream_entries, stream_regrouped, stream_chunks, stream_labels, socket_snapshot, logfmt_fields, timestamps,
     structured_requests, address_parts, finding_keys, ingest_accounting, stored_days, retention, retention_days,
     topology_aliases, actors_ordered, unexpected_ordered, counts_by_window, one_finding]}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import fixed_values as V
 from ..functions.documents import is_object, text_of
 from ..functions.lines import split_addr
+from ..session import cut_lineage
 
 DEFAULT_LABELS = {"protocol": "http"}
 
@@ -113,6 +114,27 @@ def regroup_streams(entries: DataFrame, extra_labels: dict | None = None,
     return (keyed.groupBy("key", "block").agg(F.first("labels").alias("labels"), order.alias("entries")))
 
 
+def chunk_streams(entries: DataFrame, lines: int = 1000) -> DataFrame:
+    """Entries back in streams: (key, chunk, labels, entries), at most `lines` of them in a row, in order.
+
+    Entries are cut into pieces by range of (labels, time, line), so one label set may fill many tasks. A line's place in
+    its stream is its place in the piece plus what earlier pieces hold of that stream; only the last stream of
+    a piece goes on in the next, so the carried counts are one row a piece. Null labels count as none.
+    """
+    labels = F.coalesce("labels", F.expr("cast(map() as map<string,string>)"))
+    keyed = entries.withColumn("labels", labels).withColumn("key", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("labels")))))
+    pieces = cut_lineage(keyed.repartitionByRange("key", "ts_ns", "line").withColumn("piece", F.spark_partition_id()))
+    counts = pieces.groupBy("key", "piece").agg(F.count("*").alias("held"))
+    edges = pieces.groupBy("piece").agg(F.min("key").alias("key"), F.max("key").alias("last"))
+    tails = edges.select("piece", F.col("last").alias("key")).join(counts, ["key", "piece"]).withColumnRenamed("piece", "from")
+    before = (edges.join(tails, "key").where(F.col("from") < F.col("piece")).groupBy("key", "piece").agg(F.sum("held").alias("before")))
+    order = Window.partitionBy("key", "piece").orderBy("ts_ns", "line")
+    placed = (pieces.withColumn("place", F.row_number().over(order) - 1).join(before, ["key", "piece"], "left")
+              .withColumn("chunk", F.floor((F.col("place") + F.coalesce("before", F.lit(0))) / lines)))
+    return placed.groupBy("key", "chunk").agg(F.first("labels").alias("labels"),
+                                              F.array_sort(F.collect_list(F.struct("ts_ns", "line"))).alias("entries"))
+
+
 def parse_socket_snapshot(df: DataFrame, with_state: bool = False, column: str = "value") -> DataFrame:
     """Rows of a captured socket list: proto, state, local, peer, process, pid.
 

@@ -22,7 +22,7 @@ def plain(v):
 
 SAMPLE = ["search_value", "search_value_indexed", "search_field_indexed", "search_port_indexed", "count_values_indexed", "threat_actors", "campaigns", "behaviour_profiles", "findings_upserted", "presence", "anomaly_states",
           "edges", "subgraph_search", "time_lapse", "matched_lines", "clusters", "ecs_rows", "normalized_fields",
-          "stream_anomalies", "stream_unit_alerts", "stream_dedup", "stream_pages", "stream_shifts", "mixed_actors", "actors_ordered", "counts_by_window"]
+          "stream_anomalies", "stream_unit_alerts", "stream_dedup", "stream_pages", "stream_chunks", "stream_shifts", "mixed_actors", "actors_ordered", "counts_by_window"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
