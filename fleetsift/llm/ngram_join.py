@@ -470,15 +470,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
             .mapInArrow(compare, "cls_a long, cls_b long").distinct())
 
 
-def _settled(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, s: Settings, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Links among pairs (a, cls_a, b, cls_b, w), added to those known, and components of classes.
+def _settled(docs: DataFrame, pairs: DataFrame, labels: DataFrame | None, s: Settings, rounds: int) -> DataFrame:
+    """Components (node, component) of classes: those known, joined by the links among pairs (a, cls_a, b, cls_b, w).
 
     In all rounds but the last each class has only its strongest pair to another component verified;
-    pairs within a component found so are not looked at again.
+    pairs within a component found so are not looked at again. Components found before stand for their links.
     """
-    as_links = lambda rows: rows.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
     tried = None
-    labels = components(as_links(links)) if links is not None else None
     for turn in range(rounds):
         rest = pairs
         if labels is not None:
@@ -496,13 +494,11 @@ def _settled(docs: DataFrame, pairs: DataFrame, links: DataFrame | None, s: Sett
             rest = cut_lineage(ends.groupBy("node").agg(strongest).select("p.*").distinct())
         now = rest.select("cls_a", "cls_b")
         tried = now if tried is None else tried.unionByName(now)
-        found = cut_lineage(_verified(docs, rest.select("a", "cls_a", "b", "cls_b"), s))
-        links = found if links is None else links.unionByName(found)
-        labels = components(as_links(links))
-    if links is None:
-        links = docs.sparkSession.createDataFrame([], "cls_a long, cls_b long")
-        labels = components(as_links(links))
-    return links, labels
+        found = cut_lineage(_verified(docs, rest.select("a", "cls_a", "b", "cls_b"), s)).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+        if labels is not None:
+            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = components(found)
+    return docs.sparkSession.createDataFrame([], "node long, component long") if labels is None else labels
 
 
 def similarity_components(docs: DataFrame, settings: Settings = Settings(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -531,7 +527,7 @@ def similarity_components(docs: DataFrame, settings: Settings = Settings(), id:
     candidates = cut_lineage(found.where(f"kind = {_PAIR}").groupBy(F.col("x").alias("cls_a"), F.col("y").alias("cls_b")).agg(F.count("*").alias("w")))
     pairs = _sifted(candidates, classes, s)
     texts = _texts(docs, pairs)
-    links, labels = _settled(texts, pairs, None, s, 3)
+    labels = _settled(texts, pairs, None, s, 3)
     members = found.where(f"kind = {_GROUP}").select(F.col("x").alias("sig"), F.col("y").alias("cls")).distinct()
     placed = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "sig", "cls", F.coalesce("component", "cls").alias("component"))
@@ -540,7 +536,7 @@ def similarity_components(docs: DataFrame, settings: Settings = Settings(), id:
     if across.limit(1).count():
         more = _between(docs, across.select("cls", "component").distinct(), classes, s).join(candidates.select("cls_a", "cls_b"), ["cls_a", "cls_b"], "left_anti")
         more = _sifted(more, classes, s)
-        links, labels = _settled(_texts(docs, more, texts), more, links, s, 3)
+        labels = _settled(_texts(docs, more, texts), more, labels, s, 3)
     labels = labels.withColumnRenamed("node", "cls")
     named = classes.join(labels, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
