@@ -2,8 +2,9 @@
 
 The zstandard ratio (compressed bytes by bytes) of repetitive text is low and that of noise is high.
 What is usual depends on the length, so each length class has its own band. A document is rejected if
-its own ratio lies outside the band of its length, or if more than a stated share of its full chunks
-lies outside the band of the chunk length.
+its own ratio lies outside the band of its length, or if more of its chunks than the share of its length
+lie outside the band of the chunk length. Chunks have a fixed length; what is left at the end is judged as
+the chunk that ends there, so every byte of a text that holds a chunk belongs to one.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits by length in bytes: (shortest length, lowest ratio, highest ratio), ascending."""
+    """Limits by length in bytes, ascending: (shortest length, lowest ratio, highest ratio) of whole texts,
+    and (shortest length, highest share of chunks outside their band)."""
     whole: tuple[tuple[int, float, float], ...] = (
         (0, 0.0, 9.9), (200, 0.40, 1.05), (500, 0.36, 0.90), (1000, 0.32, 0.80), (4000, 0.28, 0.70), (32000, 0.20, 0.62))
     chunk_bytes: int = 2048
     chunk: tuple[float, float] = (0.30, 0.80)
-    bad_share: float = 0.5
+    bad_share: tuple[tuple[int, float], ...] = ((0, 0.5), (8192, 0.4), (32000, 0.3))
     level: int = 3
 
     def of(self, length: int) -> tuple[float, float]:
@@ -35,6 +37,9 @@ class Bands:
                 low, high = a, b
         return low, high
 
+    def share(self, length: int) -> float:
+        return max((limit for limit in self.bad_share if length >= limit[0]), default=(0, 1.0))[1]
+
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
     """Words, code points in words, symbols, repeated lines, and words in repeated three-word windows."""
@@ -57,17 +62,19 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(found), sum(map(len, found)), sum(map(text.count, SYMBOLS)), repeated, covered
 
 
-def ratios(text: str, bands: Bands, compressor) -> tuple[float, int, int]:
-    """Ratio of the whole text, number of full chunks, and how many of them lie outside the chunk band."""
+def ratios(text: str, bands: Bands, compressor) -> tuple[float, int, int, int]:
+    """Length in bytes, ratio of the whole text, number of chunks, and how many of them lie outside the chunk band."""
     data = text.encode("utf-8", "surrogatepass")
     if not data:
         return 1.0, 0, 0
     whole = len(compressor.compress(data)) / len(data)
     size = bands.chunk_bytes
     low, high = bands.chunk
-    chunks = len(data) // size if len(data) >= 2 * size else 0
-    bad = sum(not low <= len(compressor.compress(data[i * size:(i + 1) * size])) / size <= high for i in range(chunks))
-    return whole, chunks, bad
+    starts = [*range(0, len(data) - size + 1, size)]
+    if starts and len(data) % size:
+        starts.append(len(data) - size)
+    bad = sum(not low <= len(compressor.compress(data[at:at + size])) / size <= high for at in starts)
+    return whole, len(starts), bad
 
 
 def judge_quality(docs: DataFrame, bands: Bands = Bands(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -90,8 +97,9 @@ def judge_quality(docs: DataFrame, bands: Bands = Bands(), id: str = "doc_id", t
                 n, chars, symbols, lines, repeat = base_counts(body)
                 failed = n < 50 or 100 * repeat > 50 * n
                 ratio, chunks, bad = ratios(body, bands, compressor)
-                low, high = bands.of(len(body.encode("utf-8", "surrogatepass")))
-                kept = not failed and low <= ratio <= high and bad <= bands.bad_share * chunks
+                length = len(body.encode("utf-8", "surrogatepass"))
+                low, high = bands.of(length)
+                kept = not failed and low <= ratio <= high and bad <= bands.share(length) * chunks
                 rows.append((n, chars, symbols, lines, repeat, failed, ratio, chunks, bad, kept))
             return {"i": batch["i"]} | {name: [r[k] for r in rows] for k, name in enumerate(names)}
         return work
