@@ -14,3 +14,8 @@ def only_where(df: DataFrame, condition: Column, computed: list[str], carried: l
     """
     one = F.when(condition, F.array(F.struct(*computed)))
     return df.select(*carried, F.inline(one))
+
+
+def with_value(value: Column, then) -> Column:
+    """then(value), with the value worked out once also where Spark shares no common parts."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
