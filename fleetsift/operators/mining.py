@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
+from ..functions.staging import only_where, with_value
+from ..session import cut_lineage
 from .templates import covers
 
 # Word characters and digits count beyond ASCII, as in the rule language.
@@ -14,18 +16,38 @@ UNICODE = "(?U)"
 def skeleton(raw: Column) -> Column:
     """The line with everything that varies masked, in fixed order."""
     for pattern, mask in V.SKELETON_MASKS:
-        raw = F.regexp_replace(raw, UNICODE + pattern, mask)
+        raw = _masked(raw, pattern, mask)
     return raw
 
 
+#: Characters without which a mask's pattern finds nothing, by its start; other masks are always tried.
+_NEEDED = {r"\b\d{4}-": "-", r"\[": "[", r"\b(?:\d{1,3}\.)": ".", r"\b(?:[0-9a-fA-F]{2}:)": ":", "(?:/": "/", '"[^"]*"|': "\"'",
+           r"\b([A-Za-z_][A-Za-z0-9_]*)=": "="}
+
+
+def _masked(raw: Column, pattern: str, mask: str) -> Column:
+    needed = next((chars for start, chars in _NEEDED.items() if pattern.startswith(start)), None)
+    if needed is None:
+        return F.regexp_replace(raw, UNICODE + pattern, mask)
+
+    def mask_where(line):
+        found = line.contains(needed[0])
+        for char in needed[1:]:
+            found = found | line.contains(char)
+        return F.when(found, F.regexp_replace(line, UNICODE + pattern, mask)).otherwise(line)
+
+    return with_value(raw, mask_where)
+
+
 def cluster_skeletons(lines: DataFrame, threshold: int = V.CLUSTER_THRESHOLD) -> DataFrame:
     """(skeleton, n, emitted, samples) of lines (id, timestamp, raw).
 
     A cluster is emitted each time it fills, so n div threshold times; samples are
     its first lines. They are picked by rank before the shuffle as well as after,
-    so a skeleton shared by a third of all lines stays small.
+    so a skeleton shared by a third of all lines stays small. Lines are masked once and
+    written to the shared folder, from where they are counted and picked.
     """
-    masked = lines.select("id", "timestamp", "raw", skeleton(F.col("raw")).alias("skeleton"))
+    masked = cut_lineage(lines.select("id", "timestamp", "raw", skeleton(F.col("raw")).alias("skeleton")))
     counts = masked.groupBy("skeleton").agg(F.count("*").alias("n")).filter(F.col("n") >= threshold)
     order = Window.partitionBy("skeleton").orderBy("timestamp", "id")
     first = masked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= threshold)
@@ -82,7 +104,8 @@ def synthesize_rules(clusters: DataFrame) -> DataFrame:
     skel = F.col("skeleton")
     made = (clusters.withColumn("event", _event_name(skel)).withColumn("pattern", _pattern(skel))
             .withColumn("fields", _fields(skel)))
-    return made.filter(F.col("event").isNotNull() & (F.length(F.trim("pattern")) >= 5))
+    # A filter would be taken down to the lines below the clusters, and make a rule of each.
+    return only_where(made, F.col("event").isNotNull() & (F.length(F.trim("pattern")) >= 5), ["event", "pattern", "fields"], clusters.columns)
 
 
 def validate_rules(candidates: DataFrame, written_by_model: bool = False) -> DataFrame:

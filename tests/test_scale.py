@@ -33,3 +33,13 @@ def test_upper_case_keys_and_bare_names(spark):
     got = spark.range(1).select(values.normalize_fields(kv).alias("m")).first().m
     assert got == {"src_ip": " 10.0.0.1 ", "peer_ip": "10.0.0.9", "peer_port": "80", "pid": "7", "empty": "", "none": None,
                    "ip": " 10.0.0.1 ", "port": "80"}
+
+
+def test_lines_are_masked_once_and_rules_made_of_clusters_only(spark):
+    lines = spark.range(60).select("id", F.timestamp_seconds("id").alias("timestamp"), F.format_string("unit %d took %d ms, see /a/b%d", F.col("id") % 2, "id", "id").alias("raw"))
+    clusters = mining.cluster_skeletons(lines)
+    assert "regexp_replace" not in optimized(clusters)
+    made = mining.synthesize_rules(clusters)
+    assert not [line for line in optimized(made).split("\n") if "Filter" in line and "regexp" in line]
+    assert made.count() == clusters.count() == 1
+    assert clusters.first().n == 60 and clusters.first().samples == [f"unit {k % 2} took {k} ms, see /a/b{k}" for k in range(3)]
