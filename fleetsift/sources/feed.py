@@ -78,8 +78,7 @@ def read_feed(bodies: DataFrame, kind: str, labels: dict | None = None) -> DataF
                         labels.alias("labels"), reason.cast("string").alias("reason"))
 
     if kind == "text":
-        found = text.select("body", F.array(row(here, none("timestamp"), F.col("body"), none("variant"), own, none("string"))).alias("r"))
-        return _rows(found, kind)
+        return _rows(text, F.array(row(here, none("timestamp"), F.col("body"), none("variant"), own, none("string"))), kind)
     parsed = text.withColumn("v", F.try_parse_json("body")).withColumn("here", here)
     get = lambda path, t="variant": F.try_variant_get("v", path, t)
     refuse = lambda why: F.array(row(F.col("here"), none("timestamp"), none("string"), none("variant"), own, F.lit(why)))
@@ -101,7 +100,7 @@ def read_feed(bodies: DataFrame, kind: str, labels: dict | None = None) -> DataF
         parsed = parsed.withColumn("items", items)
         rows = F.transform(F.col("items"), lambda v, k: row(F.xxhash64("here", k), none("timestamp"), none("string"), v, own,
                                                             F.when(~F.coalesce(is_object(v), F.lit(False)), "no object")))
-    return _rows(parsed.select("body", F.when(F.col("v").isNull(), refuse("not JSON")).otherwise(rows).alias("r")), kind)
+    return _rows(parsed, F.when(F.col("v").isNull(), refuse("not JSON")).otherwise(rows), kind)
 
 
 def _entry(stream: Column, entry: Column, own: Column, row, none) -> Column:
@@ -111,7 +110,8 @@ def _entry(stream: Column, entry: Column, own: Column, row, none) -> Column:
     return row(F.xxhash64(ns, _text_key(labels), line), F.when(bad.isNull(), ns_to_ts(ns)), F.when(bad.isNull(), line), none("variant"), labels, bad)
 
 
-def _rows(found: DataFrame, kind: str) -> DataFrame:
-    rows = found.select("body", F.explode("r").alias("r")).select(F.lit(kind).alias("kind"), "r.*", "body")
+def _rows(found: DataFrame, each: Column, kind: str) -> DataFrame:
+    """Exploded where it is made: of a column made before, Spark would ask first whether it is empty, and make it twice."""
+    rows = found.select("body", F.explode(each).alias("r")).select(F.lit(kind).alias("kind"), "r.*", "body")
     kept = rows.where(F.col("reason").isNotNull() | F.col("doc").isNotNull() | (F.trim(F.coalesce("raw", F.lit(""))) != ""))
     return kept.select("id", "kind", "ts", "raw", "doc", "labels", "reason", F.when(F.col("reason").isNotNull(), F.col("body")).alias("body"))

@@ -43,3 +43,12 @@ def test_lines_are_masked_once_and_rules_made_of_clusters_only(spark):
     assert not [line for line in optimized(made).split("\n") if "Filter" in line and "regexp" in line]
     assert made.count() == clusters.count() == 1
     assert clusters.first().n == 60 and clusters.first().samples == [f"unit {k % 2} took {k} ms, see /a/b{k}" for k in range(3)]
+
+
+@pytest.mark.parametrize("kind", ["text", "json", "streams", "ecs"])
+def test_feeds_are_parsed_once(spark, tmp_path, kind):
+    from fleetsift.sources import feed as FD
+    spark.createDataFrame([("{}",), ('["a", "b"]',)], "value string").write.text(f"{tmp_path}/in")
+    feed = FD.read_feed(FD.read_bodies(spark, f"{tmp_path}/in"), kind)
+    assert not [line for line in optimized(feed).split("\n") if "Filter" in line and "size(" in line]
+    assert feed.count() == {"text": 2, "json": 3, "streams": 2, "ecs": 3}[kind]
