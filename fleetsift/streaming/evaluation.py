@@ -64,14 +64,21 @@ class Turns(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held, out = self._held(), []
         passed = timerValues.getCurrentWatermarkInMs() // 1000
+        # A turn sees the counts of its window and the next ones to come, not all that the batch brought.
+        every, first, upto = {name: held[name] for name in ("at", *_COUNTS)}, 0, 0
+        ends = every["at"]
         while held["next"] is not None and held["next"] <= passed:
-            at = held["next"]
-            first = next((k for k, t in enumerate(held["at"]) if t > at - self.window_s), len(held["at"]))
-            for name in ("at", *_COUNTS):
-                held[name] = held[name][first:]
-            held["heard"] = max([last for t, last in zip(held["at"], held["last"]) if t <= at] + [held["heard"] or 0.0])
+            at, held["heard"] = held["next"], held["heard"] or 0.0
+            while first < len(ends) and ends[first] <= at - self.window_s:
+                first += 1
+            upto = max(upto, first)
+            while upto < len(ends) and ends[upto] <= at:
+                held["heard"] = max(held["heard"], every["last"][upto])
+                upto += 1
+            held |= {name: every[name][first:upto + 1] for name in every}
             out += self.judge(key, at, held)
             held["next"] = self.next_turn(key, at, held)
+        held |= {name: every[name][first:] for name in every}
         if held["next"] is not None:
             self.handle.registerTimer(held["next"] * 1000)
         self.keep(held)

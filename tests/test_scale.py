@@ -45,6 +45,35 @@ def test_lines_are_masked_once_and_rules_made_of_clusters_only(spark):
     assert clusters.first().n == 60 and clusters.first().samples == [f"unit {k % 2} took {k} ms, see /a/b{k}" for k in range(3)]
 
 
+def test_turns_look_at_their_window_only():
+    from fleetsift.streaming.evaluation import Anomalies
+
+    class Store:
+        def exists(self): return self.row is not None
+        def get(self): return self.row
+        def update(self, row): self.row = row
+        def clear(self): self.row = None
+
+    class Handle:
+        def getValueState(self, *_): return store
+        def registerTimer(self, _): pass
+
+    store, seen, judge = Store(), [], Anomalies(None, dict(window_s=300, warmup_s=0))
+    ends = [t * 15 for t in range(1, 2001) if t % 7 and not 900 < t < 1000]
+    store.row = (ends[0], None, None, None, ends, [5] * len(ends), [5] * len(ends), [float(t) for t in ends])
+    judge.init(Handle())
+    inner = judge.judge
+    judge.judge = lambda key, at, held: (seen.append((at, list(held["at"]), held["heard"])), inner(key, at, held))[1]
+    timer = type("T", (), {"getCurrentWatermarkInMs": staticmethod(lambda: 28000 * 1000)})
+    list(judge.handleExpiredTimer(("rate_spike", "i", "e"), timer, None))
+    assert [at for at, _, _ in seen] == list(range(15, 28001, 15))
+    assert max(len(at) for _, at, _ in seen) <= 300 // 15 + 1
+    for at, held, heard in seen:
+        assert [t for t in held if t <= at] == [t for t in ends if at - 300 < t <= at]
+        assert heard == max([float(t) for t in ends if t <= at])
+    assert store.row[4] == [t for t in ends if t > 27990 - 300]
+
+
 @pytest.mark.parametrize("kind", ["text", "json", "streams", "ecs"])
 def test_feeds_are_parsed_once(spark, tmp_path, kind):
     from fleetsift.sources import feed as FD
