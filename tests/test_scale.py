@@ -74,6 +74,23 @@ def test_turns_look_at_their_window_only():
     assert store.row[4] == [t for t in ends if t > 27990 - 300]
 
 
+def test_slices_of_many_files_in_the_order_of_time(spark, events_dir, monkeypatch):
+    from pathlib import Path
+    from driver import streams as ST
+    got = {}
+    for size in (10 ** 9, 20):
+        monkeypatch.setattr(ST, "FILE_ROWS", size)
+        monkeypatch.setattr(ST, "_STAGED", {})
+        rows = sorted(map(tuple, ST.stream_anomaly_changes(spark, events_dir).collect()))
+        (path, files), = ST._STAGED.values()
+        parts = sorted(Path(path).glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+        assert len(parts) == 3 * files
+        slices = [spark.read.parquet(*map(str, parts[k * files:(k + 1) * files])).agg(F.min("timestamp"), F.max("timestamp")).first() for k in range(3)]
+        assert all(a[1] < b[0] for a, b in zip(slices, slices[1:]))
+        got[size] = files, rows
+    assert got[10 ** 9][0] == 1 and got[20][0] > 3 and got[20][1] == got[10 ** 9][1]
+
+
 @pytest.mark.parametrize("kind", ["text", "json", "streams", "ecs"])
 def test_feeds_are_parsed_once(spark, tmp_path, kind):
     from fleetsift.sources import feed as FD
