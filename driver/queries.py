@@ -603,11 +603,11 @@ def graph_filtered(s, d):
 def fleet_metrics(s, d):
     rows = log(s, d, "compressed")
     now = last_instant(s, d)
-    e = _edges(s, d)
+    nodes, e = _tables(s, d)
     accounts = EV.ingest_accounting(_statuses(s, d))
     totals = anomaly.rate_windows(rows, now).groupBy("instance").agg(F.sum("total").alias("n"))
     spikes = anomaly.rate_spikes(rows, now, min_count=5, min_z=1.0, min_ratio=0.0)
-    found = metrics.fleet_metrics(accounts, base_rules(s), totals, spikes, G.graph_nodes(e, fleet(s)), e,
+    found = metrics.fleet_metrics(accounts, base_rules(s), totals, spikes, nodes, e,
                                   G.topology_shifts(e, now))
     return found.groupBy("metric").agg(F.count("*").alias("series"), F.round(F.sum("value"), 0).cast("long").alias("total"))
 
@@ -777,7 +777,7 @@ def ecs_accounting(s, d):
 
 
 def ecs_value_search(s, d):
-    rows = ingest.to_store(ingest.ingest_documents(ecs.decode_documents(_ecs_docs(s, d)), AS_OF))
+    rows = cut_lineage(ingest.to_store(ingest.ingest_documents(ecs.decode_documents(_ecs_docs(s, d)), AS_OF)))
     parts = [S.count_logs(rows, value=v).select(F.lit(v).alias("value"), "matched") for v in ("17", "click", "404")]
     return parts[0].union(parts[1]).union(parts[2])
 

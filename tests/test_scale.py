@@ -98,3 +98,11 @@ def test_feeds_are_parsed_once(spark, tmp_path, kind):
     feed = FD.read_feed(FD.read_bodies(spark, f"{tmp_path}/in"), kind)
     assert not [line for line in optimized(feed).split("\n") if "Filter" in line and "size(" in line]
     assert feed.count() == {"text": 2, "json": 3, "streams": 2, "ecs": 3}[kind]
+
+
+def test_documents_are_mapped_once_and_edges_built_once(spark, events_dir):
+    from driver import queries as Q
+    assert "parse_json" not in optimized(Q.ecs_value_search(spark, events_dir))
+    Q.log(spark, events_dir, "compressed")
+    plan = optimized(Q.fleet_metrics(spark, events_dir))
+    assert sum("Relation" in line and "latency_us" in line for line in plan.split("\n")) <= 5
