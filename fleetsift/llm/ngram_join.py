@@ -41,6 +41,10 @@ _SKETCH, _SLICE = 1 << 20, 1 << 16
 #: Shingles that a pair must have in common among its rarest ones.
 _COMMON = 1
 _LOW = _U(0xFFFFFFFF)
+#: Bits that a signature leaves the task with: few enough to travel cheaply, so many that strangers seldom meet.
+_SENT = _U(0xFFFFFFFFFFFF0000)
+#: Buckets of the parities that go with a set's rarest shingles, as bits and in 64-bit numbers.
+_PARITY_BITS, _PARITY = 9, 8
 
 
 @dataclass(frozen=True)
@@ -95,6 +99,15 @@ def sketch(found: np.ndarray, share: int = 1) -> np.ndarray:
     return (np.bincount(at, weights=(found & _U(255)).astype(np.float64), minlength=size).astype(np.int64) & 255).astype(np.uint8)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether each of 64 * _PARITY buckets holds an odd number of elements, as bits of _PARITY numbers.
+
+    Every element in which two sets differ turns one bit, so no more bits differ than elements do.
+    """
+    odd = np.bincount((found >> _U(64 - _PARITY_BITS)).astype(np.int64), minlength=1 << _PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def least_difference(a: np.ndarray, b: np.ndarray) -> int:
     """A lower bound of the number of elements in which two sketched sets differ."""
     if len(a) > len(b):
@@ -232,7 +245,7 @@ def _set_signatures(found: np.ndarray, band: int, slack: int, v: np.ndarray) ->
     if near.any():
         at = seg.at[near]
         out.append(_signature(band, at, seg.sums[0][at] - seg.low[near], seg.sums[1][at] - seg.high[near]))
-    return np.concatenate(out).view(np.int64)
+    return (np.concatenate(out) & _SENT).view(np.int64)
 
 
 def _second_pass(docs: DataFrame, plan, s: Settings) -> DataFrame:
@@ -377,7 +390,8 @@ def _between(docs: DataFrame, members: DataFrame, classes: DataFrame, s: Setting
     asked for, with k or more in common, have k of them among the first n - ceil(n * percent / 100) + k of each,
     whatever the order is, as long as it is the same for all. The order comes from a sketch of counts, of bounded size;
     a shingle that is counted once has no partner and is not sent. A common shingle counts where what lies behind it
-    can still suffice.
+    can still suffice, and where the parities of the two sets differ in no more bits than a link's elements may: so sets
+    that only resemble each other, however many share a shingle, are no pairs that leave the join.
     """
     spark = docs.sparkSession
     texts = cut_lineage(docs.join(members.join(classes.select("cls", "rep", "n"), "cls"), F.col("i") == F.col("rep"))
@@ -411,6 +425,7 @@ def _between(docs: DataFrame, members: DataFrame, classes: DataFrame, s: Setting
     def rarest(batches):
         for batch in batches:
             held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            bits = np.zeros((batch.num_rows, _PARITY), np.int64)
             for row, (t, cls) in enumerate(zip(batch.column("t"), batch.column("cls"))):
                 found = shingle_set(t.as_py(), s.words)
                 if digest(found) != cls.as_py():
@@ -418,20 +433,24 @@ def _between(docs: DataFrame, members: DataFrame, classes: DataFrame, s: Setting
                 times = known.value[(found & _U(_SKETCH - 1)).astype(np.int64)]
                 first = np.lexsort((found, times))[:len(found) - -(-len(found) * s.percent // 100) + _COMMON]
                 shared = np.flatnonzero(times[first] > 1)
+                bits[row] = parities(found)
                 held[0].append(found[first[shared]].view(np.int64))
                 held[1].append(shared)
                 held[2].append(np.full(len(shared), row))
             shingle, place, row = (np.concatenate(h) for h in held)
-            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(place), *(batch.column(c).take(pa.array(row)) for c in ("cls", "component", "n"))],
-                                             ["shingle", "place", "cls", "component", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(place), *(batch.column(c).take(pa.array(row)) for c in ("cls", "component", "n")),
+                                              *(pa.array(bits[row, k]) for k in range(_PARITY))], ["shingle", "place", "cls", "component", "n", *odd])
 
     kind = texts.schema["n"].dataType.simpleString()
-    rows = cut_lineage(texts.mapInArrow(rarest, f"shingle long, place long, cls long, component long, n {kind}"))
+    odd = [f"p{k}" for k in range(_PARITY)]
+    rows = cut_lineage(texts.mapInArrow(rarest, f"shingle long, place long, cls long, component long, n {kind}, " + ", ".join(f"{p} long" for p in odd)))
     a, b = rows.alias("a"), rows.alias("b")
     need = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(s.percent / (100 + s.percent)) - 1e-6)
     enough = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + (_COMMON - 1) >= need
     alike = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * s.percent
-    pairs = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.component") < F.col("b.component")) & alike & enough)
+    turned = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in odd), F.lit(0))
+    near = turned * (100 + s.percent) <= (F.col("a.n") + F.col("b.n")) * (100 - s.percent)
+    pairs = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.component") < F.col("b.component")) & alike & enough & near)
     counted = pairs.groupBy(F.least("a.cls", "b.cls").alias("cls_a"), F.greatest("a.cls", "b.cls").alias("cls_b")).agg(F.count("*").alias("w"), F.max(need).alias("need"))
     return counted.where(F.col("w") >= F.least("need", F.lit(_COMMON))).drop("need")
 

@@ -48,3 +48,28 @@ def test_links_around_the_threshold(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in J.similarity_components(frame, J.Settings()).collect()}
     assert got == brute(texts, J.Settings())
     assert sum(seen) < 3 * 150 * 149 / 2  # less than all pairs within the groups
+
+
+def test_sets_that_only_resemble_each_other_do_not_leave_the_join(spark, monkeypatch):
+    rng, seen = random.Random(9), []
+    base, texts = [f"w{rng.randrange(5000)}" for _ in range(120)], []
+    for k in range(240):
+        words = list(base)
+        for at in rng.sample(range(4, 116, 4), 2):
+            words[at] = f"x{rng.randrange(10 ** 6)}"
+        texts += [" ".join(words)] + [" ".join(words[:-1] + ["end"])] * (k % 20 == 0)
+    between = J._between
+    monkeypatch.setattr(J, "_between", lambda *a: seen.append((found := between(*a)).count()) or found)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in J.similarity_components(frame, J.Settings()).collect()}
+    assert got == brute(texts, J.Settings())
+    assert len(set(got.values())) > 100 and sum(seen) < 10 * len(texts)  # 28,680 pairs share the base
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(2)
+    for size in (1, 5, 100, 3000):
+        whole = np.unique(rng.integers(0, 2 ** 64, size, dtype=np.uint64))
+        for gone in {0, 1, size // 3, size - 1}:
+            one, other = J.parities(whole), J.parities(whole[gone:])
+            assert len(one) == J._PARITY and sum(int(x).bit_count() for x in (one ^ other).view(np.uint64)) <= gone
