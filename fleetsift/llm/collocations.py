@@ -5,7 +5,7 @@ shorter are frequent. Phrases are first counted by code in a HAT-trie per task:
 runs, runs are dealt by prefix (the first two words and a few bits of the rest, so that one hot prefix is
 many parts) and merged there. Codes that reach the threshold are kept as a Bloom filter of bounded size.
 Codes only sift: phrases that pass are counted again by their words, so no collision of codes or filter
-reaches a result.
+reaches a result. That count is summed up in the task, in a table of bounded size, and dealt by phrase to merge parts.
 """
 
 from __future__ import annotations
@@ -206,20 +206,53 @@ def count_phrases(docs: DataFrame, mining: Mining = Mining(), text: str = "text"
     for length in range(1, mining.longest + 1):
         filters.append(context.broadcast(build_filter(_frequent_codes(read, list(filters), length, parts, mining), mining.filter_bits)))
 
+    def packed(held: pa.Table) -> pa.RecordBatch:
+        """A row for each language and part, with the phrases a line feed apart, which no phrase holds."""
+        part = word_ids(held["phrase"].combine_chunks(), "") % _U(parts)
+        order = pc.sort_indices(held.append_column("part", pa.array(part)), [("lang", "ascending"), ("part", "ascending")])
+        held, part = held.take(order), part[order.to_numpy()]
+        langs = held["lang"].combine_chunks().dictionary_encode()
+        lang = langs.indices.to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (lang[1:] != lang[:-1]), [True]]))
+        phrases, counts = held["phrase"].combine_chunks().cast(pa.string()), held["a"].to_numpy()
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), phrases), "\n")
+        return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]].astype(np.int32)), langs.dictionary.take(pa.array(lang[edges[:-1]])), joined,
+                                           pa.array([counts[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary())], ["part", "lang", "phrases", "counts"])
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(held).group_by(["lang", "phrase"], use_threads=False).aggregate([("a", "sum")])
+        return found.select(["lang", "phrase", "a_sum"]).rename_columns(["lang", "phrase", "a"])
+
     def exact(batches):
-        known = [f.value for f in filters]
+        known, held, most = [f.value for f in filters], [], mining.trie
         for texts in _texts(batches, mining.stretch):
             often = known[0].holds(word_ids(texts.terms, texts.lang))
             found = [(pa.array([""]), np.array([len(texts.codes)])),
                      (texts.terms.filter(pa.array(often)).cast(pa.string()), np.bincount(texts.codes, minlength=len(often))[often])]
             for n, (places, codes) in enumerate(texts.sift(known, mining.longest), 2):
                 found.append(texts.phrases(places[known[n - 1].holds(codes)], n))
-            for n, (phrases, counts) in enumerate(found):
-                yield pa.RecordBatch.from_arrays([pa.array([texts.lang] * len(counts), pa.string()), phrases, pa.array([n] * len(counts), pa.int32()),
-                                                  pa.array(counts, pa.int64())], ["lang", "phrase", "words", "a"])
-
-    counted = cut_lineage(read.mapInArrow(exact, "lang string, phrase string, words int, a long").groupBy("lang", "phrase", "words")
-                          .agg(F.sum("a").alias("a")).where((F.col("a") >= mining.least) | (F.col("words") == 0)))
+            held += [pa.table([pa.array([texts.lang] * len(counts), pa.string()), phrases.cast(pa.large_string()), pa.array(counts, pa.int64())], ["lang", "phrase", "a"])
+                     for phrases, counts in found]
+            if sum(map(len, held)) > most:
+                held = [summed(held)]
+                if 2 * len(held[0]) > most:
+                    yield packed(held[0])
+                    held = []
+        if held:
+            yield packed(summed(held))
+
+    def merge(group: pa.Table) -> pa.Table:
+        held = []
+        for lang, phrases, counts in zip(group["lang"].to_pylist(), group["phrases"], group["counts"]):
+            each = pc.split_pattern(phrases.cast(pa.large_string()), "\n").values
+            held.append(pa.table([pa.array([lang] * len(each), pa.string()), each, pa.array(np.frombuffer(counts.as_buffer(), np.int64))], ["lang", "phrase", "a"]))
+        found = summed(held)
+        words = np.where(pc.equal(found["phrase"], ""), 0, pc.add(pc.count_substring(found["phrase"], " "), 1).to_numpy())
+        found = pa.table([found["lang"], found["phrase"].cast(pa.string()), pa.array(words.astype(np.int32)), found["a"]], ["lang", "phrase", "words", "a"])
+        return found.filter(pa.array((words == 0) | (found["a"].to_numpy() >= mining.least)))
+
+    counted = cut_lineage(read.mapInArrow(exact, "part int, lang string, phrases string, counts binary")
+                          .groupBy("part").applyInArrow(merge, "lang string, phrase string, words int, a long"))
     return counted.where("words > 0"), counted.where("words = 0").select("lang", F.col("a").alias("n"))
 
 

@@ -90,3 +90,18 @@ def test_trie_counts_and_spills_sorted_runs(burst, limit):
 
 def test_empty_table(spark):
     assert mine_collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
+
+
+@pytest.mark.parametrize("mining", [Mining(least=30, part_bytes=200_000), Mining(least=30, part_bytes=200_000, stretch=2000, trie=4000)])
+def test_phrases_are_summed_up_before_they_leave_a_task(spark, monkeypatch, mining):
+    from fleetsift.llm import collocations
+    rng, made = random.Random(5), []
+    vocabulary = [f"w{k}" for k in range(40)]
+    rows = [("en", " ".join(rng.choice(vocabulary) for _ in range(200))) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    through = type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda *a, **k: made.append(through(*a, **k)) or made[-1])
+    counts, sizes = collocations.count_phrases(frame, mining)
+    assert [r["n"] for r in sizes.collect()] == [80_000] and counts.where("words = 1").count() == 40
+    assert counts.where("words = 2").agg({"a": "sum"}).first()[0] > 70_000
+    assert made[-1].count() < 400  # there are 1,640 phrases of one and two words
