@@ -20,9 +20,13 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, count
+from operator import not_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_batches
@@ -33,6 +37,10 @@ _LITERAL = "\udc00"  # stands for a ▁ of the text itself; no text from Spark h
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
+#: Bits of the number that marks a beginning of pieces.
+_BEGIN_BITS = 22
+#: Characters of the texts that are encoded together.
+_RUN = 6_000_000
 
 
 def zipf_score(rank: int) -> float:
@@ -63,7 +71,10 @@ class Lattice:
         keys = self._hashes(list(self.score))
         order = np.argsort(keys)
         self.keys, self.values, self.ids = keys[order], *(np.array(v)[order] for v in zip(*self.score.values()))
-        self.keep, self.known, self.searched = keep, {}, {}
+        self.begins = np.zeros(1 << _BEGIN_BITS, bool)  # marks all beginnings of pieces, and some others
+        self.begins[self._hashes(sorted({p[:k] for p in self.score for k in range(1, len(p) + 1)})) >> _U(64 - _BEGIN_BITS)] = True
+        self.pieces = pa.array(self.read, pa.large_binary())
+        self.keep, self.known, self.elder, self.searched = keep, {}, {}, {}
 
     # ---- forward -----------------------------------------------------------------
 
@@ -101,24 +112,29 @@ class Lattice:
         best[0] = 0
         last, every = len(self.keys) - 1, np.arange(n)
         for start in range(size):
-            rolling = np.zeros(n, _U)
+            rolling, going = np.zeros(n, _U), every  # words in which a piece may begin so
             for end in range(start + 1, min(size, start + self.longest) + 1):
                 # the hash of a piece of length L is that of its characters plus L * step^L
-                rolling = rolling * _STEP + codes[end - 1]
+                rolling = rolling * _STEP + codes[end - 1, going]
                 width = end - start
                 key = mix(rolling + _U((width * pow(int(_STEP), width, 1 << 64)) % (1 << 64)))
-                at = np.minimum(np.searchsorted(self.keys, key), last)
-                known = self.keys[at] == key
                 if width == 1:
-                    on = every
+                    at = np.minimum(np.searchsorted(self.keys, key), last)
+                    known, on = self.keys[at] == key, every
                     s, own = np.where(known, self.values[at], 0.0), np.where(known, self.ids[at], -1)
                     for k in np.flatnonzero(~known):
                         s[k] = self.spelled * len(self._spell(words[k][start]))
                 else:  # few stretches are pieces
-                    on = np.flatnonzero(known)
+                    more = np.flatnonzero(self.begins[key >> _U(64 - _BEGIN_BITS)])
+                    if not len(more):
+                        break
+                    rolling, going, key = rolling[more], going[more], key[more]
+                    at = np.minimum(np.searchsorted(self.keys, key), last)
+                    known = self.keys[at] == key
+                    on = going[known]
                     if not len(on):
                         continue
-                    s, own = self.values[at[on]], self.ids[at[on]]
+                    s, own = self.values[at[known]], self.ids[at[known]]
                 one, two = best[start, on] + s, second[start, on] + s
                 old, old_second = best[end, on], second[end, on]
                 better = one > old
@@ -149,8 +165,10 @@ class Lattice:
             self.known[words[k]] = (np.array([i for part in reversed(ids) for i in part], "<u4").tobytes(), scores[k], gaps[k])
 
     def learn(self, words: set[str]) -> None:
+        """Words not known yet; a store that is full becomes the elder one, from which words still in use are taken over."""
         if len(self.known) > self.keep:
-            self.known, self.searched = {}, {}
+            self.known, self.elder, self.searched = {}, self.known, {}
+        self.known.update((w, self.elder[w]) for w in words if w not in self.known and w in self.elder)
         by_size: dict[int, list[str]] = {}
         for w in words:
             if w not in self.known:
@@ -196,26 +214,41 @@ class Lattice:
 
     def encode(self, texts: list[str], n: int) -> list[list[tuple[float, bytes]]]:
         """The n best segmentations of each text as (score, ids), best first."""
-        split = [self.words(t) for t in texts]
-        self.learn({w for parts in split for w in parts})
-        return [self._combined(parts, n) for parts in split]
-
-    def _combined(self, parts: list[str], n: int) -> list[tuple[float, bytes]]:
-        known = [self.known[w] for w in parts]
-        total = sum(k[1] for k in known)
-        places = heapq.nsmallest(n - 1, ((k[2], at) for at, k in enumerate(known) if k[2] < np.inf))
+        split, found, holes = [], [], []
+        for t in texts:
+            split.append(parts := self.words(t))
+            found.append(own := [*map(self.known.get, parts)])  # looked up once; few are missing
+            holes.append([*compress(count(), map(not_, own))])
+        self.learn({parts[k] for parts, own in zip(split, holes) for k in own})
+        for parts, known, own in zip(split, found, holes):
+            for k in own:
+                known[k] = self.known[parts[k]]
+        return [self._combined(parts, known, n) for parts, known in zip(split, found)]
+
+    def _combined(self, parts: list[str], known: list[tuple[bytes, float, float]], n: int) -> list[tuple[float, bytes]]:
+        pieces, scores, gaps = map(list, zip(*known)) if known else ([], [], [])
+        total, gap = sum(scores), np.array(gaps)
+        places = [int(at) for at in np.argsort(gap, kind="stable")[:n - 1] if gap[at] < np.inf]
         sums = [(0.0, ())]  # cost over the best, and (place, rank) of each departure
-        for _, at in places:
+        for at in places:
             own = self.n_best(parts[at], n)
             sums = heapq.nsmallest(n, ((cost + own[0][0] - s, gone + ((at, k),) * (k > 0)) for cost, gone in sums for k, (s, _) in enumerate(own)))
         out = []
         for cost, gone in sums:
-            pieces = [k[0] for k in known]
+            chosen = pieces.copy() if gone else pieces
             for at, k in gone:
-                pieces[at] = self.n_best(parts[at], n)[k][1]
-            out.append((total - cost, b"".join(pieces)))
+                chosen[at] = self.n_best(parts[at], n)[k][1]
+            out.append((total - cost, b"".join(chosen)))
         return out
 
+    def decoded(self, ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
+        """The bytes of the texts that runs of ids stand for; run k is ids[edges[k]:edges[k + 1]]."""
+        got = self.pieces.take(pa.array(ids))
+        at = np.frombuffer(got.buffers()[1], np.int64)[got.offset: got.offset + len(got) + 1][edges].tolist()
+        data = memoryview(got.buffers()[2] or b"")
+        texts = [bytes(data[i:j]) for i, j in zip(at, at[1:])]
+        return [t[1:] if t.startswith(b" ") else t for t in texts]
+
     def decode(self, ids) -> str:
         """The text that ids stand for; ids of control pieces stand for nothing."""
         text = b"".join(map(self.read.__getitem__, ids)).decode("utf-8", "replace")
@@ -228,6 +261,18 @@ def lattice_of(model: str, scores: str) -> Lattice:
     return Lattice(model, scores)
 
 
+def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts [a, b) of some million characters or one text: words of one length are scored together."""
+    a = held = 0
+    for b, t in enumerate(texts):
+        if b > a and held + len(t) > _RUN:
+            yield a, b
+            a, held = b, 0
+        held += len(t)
+    if texts:
+        yield a, len(texts)
+
+
 def encode_n_best(docs: DataFrame, model: str, n: int = 4, scores: str = "zipf", id: str = "doc_id", text: str = "text",
                   with_ids: bool = True) -> DataFrame:
     """(id, rank, score, n_pieces, ids_crc32, decodes[, ids]): the n best segmentations of every text.
@@ -245,12 +290,15 @@ def encode_n_best(docs: DataFrame, model: str, n: int = 4, scores: str = "zipf",
 
         def work(batch: dict) -> dict:
             rows = []
-            for at in range(0, len(batch["i"]), 256):
-                texts = [t or "" for t in batch["t"][at:at + 256]]
-                for i, body, found in zip(batch["i"][at:at + 256], texts, lattice.encode(texts, n)):
-                    for rank, (score, data) in enumerate(found):
-                        ids = np.frombuffer(data, "<u4")
-                        rows.append((i, rank, score, len(ids), zlib.crc32(data), lattice.decode(ids.tolist()) == body, ids if with_ids else None))
+            every = [t or "" for t in batch["t"]]
+            for at, end in _runs(every):
+                texts = every[at:end]
+                for i, body, found in zip(batch["i"][at:end], texts, lattice.encode(texts, n)):
+                    whole = np.frombuffer(b"".join([data for _, data in found]), "<u4")
+                    edges = np.cumsum([0] + [len(data) // 4 for _, data in found])
+                    body = body.encode("utf-8", "surrogatepass")
+                    for rank, ((score, data), back) in enumerate(zip(found, lattice.decoded(whole, edges))):
+                        rows.append((i, rank, score, len(data) // 4, zlib.crc32(data), back == body, np.frombuffer(data, "<u4") if with_ids else None))
             return {name: [r[k] for r in rows] for k, name in enumerate(names)}
         return work
 

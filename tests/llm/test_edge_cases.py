@@ -176,3 +176,19 @@ def test_sketches_bound_the_difference():
         bound = least_difference(sketch(a), sketch(b))
         assert bound <= len(np.setxor1d(a, b)) and bound == least_difference(sketch(b), sketch(a))
         assert len(a) < 90 or bound >= 0.6 * min(len(np.setxor1d(a, b)), len(sketch(a)) // 2, len(sketch(b)) // 2)
+
+
+def test_segmentations_of_words_met_before_and_after_the_store_turns():
+    import numpy as np
+    import public_tokenizers
+    from fleetsift.llm.nbest import Lattice, _runs
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["the cat sat on the mat", "", " two  blanks ", "naïve 漢字 ▁ x", "unbelievably antidisestablishmentarianism", "the mat"]
+    fresh, small = Lattice(model), Lattice(model, keep=3)
+    want = fresh.encode(texts, 4)
+    assert [small.encode([t], 4)[0] for t in texts + texts] == want + want and small.elder
+    for t, found in zip(texts, want):
+        ids = [np.frombuffer(data, "<u4") for _, data in found]
+        edges = np.cumsum([0] + [len(i) for i in ids])
+        assert fresh.decoded(np.concatenate(ids), edges) == [t.encode()] * len(found) == [fresh.decode(i.tolist()).encode() for i in ids]
+    assert fresh.begins.mean() < 0.05 and [*_runs([])] == [] and [*_runs(["a" * 6_000_001, "b", "c"])] == [(0, 1), (1, 3)]
