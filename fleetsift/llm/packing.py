@@ -19,6 +19,8 @@ import os
 import re
 import zlib
 from functools import lru_cache
+from itertools import compress, count
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer, self.keep, self.known, self.elder = Tokenizer.from_file(path), keep, {}, {}
+        self.feed: int | None = None  # id of a line feed
         added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
 
@@ -62,26 +65,39 @@ class Encoder:
         blank = [p for p in missing if p.isspace()]
         self.known.update(zip(blank, self._bytes(blank)))
         lines = [p for p in missing if not p.isspace()]
-        if lines:
+        if not lines:
+            return
+        if self.feed is None:  # the first lines show that each is one word between line feeds
             got = self.tokenizer.encode("\n".join(lines), add_special_tokens=False)
-            ids, word = np.array(got.ids, "<u4"), np.array(got.word_ids)
-            if word[-1] != 2 * len(lines) - 2:
+            (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+            if got.word_ids[-1] != 2 * len(lines) - 2:
                 raise ValueError("the tokenizer does not split texts as byte-level ones do")
-            edge = np.searchsorted(word, np.arange(0, 2 * len(lines) + 1)).tolist()
-            data = ids.tobytes()
-            self.known.update((p, data[4 * edge[2 * k]:4 * edge[2 * k + 1]]) for k, p in enumerate(lines))
+        else:
+            got = self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0]
+        ids = np.array(got.ids, "<u4")
+        edge = [-1, *np.flatnonzero(ids == self.feed).tolist(), len(ids)]
+        if len(edge) != len(lines) + 1:
+            raise ValueError("the tokenizer does not split texts as byte-level ones do")
+        data = ids.tobytes()
+        self.known.update((p, data[4 * i + 4:4 * j]) for p, i, j in zip(lines, edge, edge[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not (_BEYOND.search(t) or self.special.search(t)) for t in texts]
-        split = [PRE_TOKEN.findall(t) if ok else None for t, ok in zip(texts, plain)]
         if len(self.known) > self.keep:
             self.known, self.elder = {}, self.known
         known, elder = self.known, self.elder
-        missing = {p for parts in split if parts for p in parts if p not in known}
+        plain = [not (_BEYOND.search(t) or self.special.search(t)) for t in texts]
+        split, found, holes = [], [], []
+        for t, ok in zip(texts, plain):
+            split.append(parts := PRE_TOKEN.findall(t) if ok else [])
+            found.append(ids := [*map(known.get, parts)])  # looked up once; few are missing
+            holes.append([*compress(count(), map(not_, ids))])
+        missing = {parts[k] for parts, own in zip(split, holes) for k in own}
         known.update((p, elder[p]) for p in missing if p in elder)
         self._learn([p for p in missing if p not in known])
-        return [b"".join([known[p] for p in parts]) if ok else self._bytes([t])[0]
-                for t, parts, ok in zip(texts, split, plain)]
+        for parts, ids, own in zip(split, found, holes):
+            for k in own:
+                ids[k] = known[parts[k]]
+        return [b"".join(ids) if ok else self._bytes([t])[0] for t, ids, ok in zip(texts, found, plain)]
 
 
 @lru_cache(maxsize=1)

@@ -51,3 +51,22 @@ def test_columns_of_any_name_are_carried(spark):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "id long, length long")).collect() == []
+
+
+def test_words_are_looked_up_once(monkeypatch):
+    import public_tokenizers
+    from fleetsift.llm.packing import Encoder
+    own = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["the cat sat", "the  dog's\n\nmat 12", "", "\n", "漢 é", "the cat's new hat\tsat"]
+    whole = [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    asked = []
+
+    class Store(dict):
+        def __contains__(self, word):
+            asked.append(word)
+            return dict.__contains__(self, word)
+
+    assert own.encode(texts) == whole
+    own.known = Store(own.known)
+    assert own.encode(texts) == whole and not asked  # all known: no second look
+    assert own.encode(["the unseen zebra"]) == [np.array(own.tokenizer.encode("the unseen zebra", add_special_tokens=False).ids, "<u4").tobytes()]
