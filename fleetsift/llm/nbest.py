@@ -72,7 +72,11 @@ class Lattice:
         order = np.argsort(keys)
         self.keys, self.values, self.ids = keys[order], *(np.array(v)[order] for v in zip(*self.score.values()))
         self.begins = np.zeros(1 << _BEGIN_BITS, bool)  # marks all beginnings of pieces, and some others
-        self.begins[self._hashes(sorted({p[:k] for p in self.score for k in range(1, len(p) + 1)})) >> _U(64 - _BEGIN_BITS)] = True
+        for size in set(map(len, self.score)):
+            codes, rolling = self._points([p for p in self.score if len(p) == size], size), _U(0)
+            for width in range(1, size + 1):
+                rolling = rolling * _STEP + codes[width - 1]
+                self.begins[self._key(rolling, width) >> _U(64 - _BEGIN_BITS)] = True
         self.pieces = pa.array(self.read, pa.large_binary())
         self.keep, self.known, self.elder, self.searched = keep, {}, {}, {}
 
@@ -89,6 +93,17 @@ class Lattice:
             out.append(h)
         return mix(np.array(out, _U))
 
+    @staticmethod
+    def _points(words: list[str], size: int) -> np.ndarray:
+        """Numbers of the characters of words of one size, a row for each place."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), size).astype(_U) + _U(1)
+        return np.ascontiguousarray(codes.T)
+
+    @staticmethod
+    def _key(rolling: np.ndarray, width: int) -> np.ndarray:
+        """The hash of a piece of length L is that of its characters plus L * step^L."""
+        return mix(rolling + _U((width * pow(int(_STEP), width, 1 << 64)) % (1 << 64)))
+
     def _spell(self, c: str) -> bytes:
         return (SPACE if c == _LITERAL else c).encode()
 
@@ -105,8 +120,7 @@ class Lattice:
     def _forward(self, words: list[str]) -> None:
         """Best ids, best score and the cost of the second best, for words of one length."""
         n, size = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(_U) + _U(1)
-        codes = np.ascontiguousarray(codes.T)
+        codes = self._points(words, size)
         best, second = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
         back, piece = np.zeros((size + 1, n), np.int64), np.zeros((size + 1, n), np.int64)
         best[0] = 0
@@ -114,10 +128,9 @@ class Lattice:
         for start in range(size):
             rolling, going = np.zeros(n, _U), every  # words in which a piece may begin so
             for end in range(start + 1, min(size, start + self.longest) + 1):
-                # the hash of a piece of length L is that of its characters plus L * step^L
                 rolling = rolling * _STEP + codes[end - 1, going]
                 width = end - start
-                key = mix(rolling + _U((width * pow(int(_STEP), width, 1 << 64)) % (1 << 64)))
+                key = self._key(rolling, width)
                 if width == 1:
                     at = np.minimum(np.searchsorted(self.keys, key), last)
                     known, on = self.keys[at] == key, every
