@@ -19,7 +19,8 @@ candidates: all pairs in groups of a few sets; in larger groups each set with th
 show most of those that are no links: sums over buckets, of which no more can differ than elements do.
 Links are verified on whole sets, the strongest candidate of every class first; candidates within a component
 need no more looking at. Where larger groups still span several components, their sets are compared once more
-by their rarest shingles (a prefix filter), so no link that joins two components is missed.
+by their rarest shingles (a prefix filter), so no link that joins two components is missed. Links have several
+signatures in common, so sets with too few of them in such groups are left out.
 """
 
 from __future__ import annotations
@@ -41,8 +42,10 @@ _SKETCH, _SLICE = 1 << 20, 1 << 16
 #: Shingles that a pair must have in common among its rarest ones.
 _COMMON = 1
 _LOW = _U(0xFFFFFFFF)
-#: Bits that a signature leaves the task with: few enough to travel cheaply, so many that strangers seldom meet.
-_SENT = _U(0xFFFFFFFFFFFF0000)
+#: Bits that a signature leaves the task with: few enough to travel cheaply, so many that strangers seldom meet; the others name its band.
+_SENT, _BAND = _U(0xFFFFFFFFFFFF0000), 0xFFFF
+#: Documents whose signatures or shingles are held at once, and rows of a batch that leaves a task.
+_HELD, _ROWS_OUT = 4096, 1 << 16
 #: Buckets of the parities that go with a set's rarest shingles, as bits and in 64-bit numbers.
 _PARITY_BITS, _PARITY = 9, 8
 
@@ -68,14 +71,15 @@ class Settings:
         """Largest difference, slack, number of segments and common allowance for a band that ends at high.
 
         Small sets get few segments with an allowance of 2, so that none is likely to be empty; others
-        get an allowance of 1 and a few segments to spare.
+        get an allowance of 1 and a few segments to spare. The slack grows with the difference, as the number of
+        empty segments does: links have what is left of it in common.
         """
         partner = high * 100 // self.percent
         most = (high + partner) * (100 - self.percent) // (100 + self.percent)
         if most < 8:
             m = most // 2 + 1
             return most, 2 * m - most - 1, m, 2
-        slack = 1 + min(4, most // 10)
+        slack = 1 + max(min(4, most // 10), most // 8)
         return most, slack, most + 1 + slack + max(1, most // 16), 1
 
     def meeting_bands(self, size: int, bands: list[tuple[int, int]]) -> list[int]:
@@ -225,14 +229,24 @@ def _plan(stats: DataFrame, s: Settings) -> dict[int, np.ndarray]:
 
 
 _ROWS = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64())])
-_ROW, _HOT_ROW, _PAIR, _GROUP = 0, 1, 2, 3
+_ROW, _HOT_ROW, _PAIR, _GROUP, _NEED = 0, 1, 2, 3, 4
 
 
 def _batch(kind: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y)], schema=_ROWS)
 
 
-def _set_signatures(found: np.ndarray, band: int, slack: int, v: np.ndarray) -> np.ndarray:
+def _batches(kind: int, x: np.ndarray, y: np.ndarray):
+    for k in range(0, len(x), _ROWS_OUT):
+        yield _batch(kind, x[k:k + _ROWS_OUT], y[k:k + _ROWS_OUT])
+
+
+def _set_signatures(found: np.ndarray, band: int, slack: int, v: np.ndarray) -> tuple[np.ndarray, int]:
+    """Signatures of a set in a band, and how many of them it has in common with any set it is linked to there.
+
+    A link's units exceed its differences by slack + 1; those that do not go through empty segments have a
+    signature each.
+    """
     seg = Segments(found, len(v))
     used = np.flatnonzero(v)
     through_empty = int(v[seg.count == 0].sum() + ((seg.count == 1) & (v == 2)).sum())
@@ -245,17 +259,18 @@ def _set_signatures(found: np.ndarray, band: int, slack: int, v: np.ndarray) ->
     if near.any():
         at = seg.at[near]
         out.append(_signature(band, at, seg.sums[0][at] - seg.low[near], seg.sums[1][at] - seg.high[near]))
-    return (np.concatenate(out) & _SENT).view(np.int64)
+    return (np.concatenate(out) & _SENT | _U(band)).view(np.int64), max(1, slack + 1 - through_empty)
 
 
 def _second_pass(docs: DataFrame, plan, s: Settings) -> DataFrame:
     """(kind, x, y): signatures with classes; groups that are large within a batch are reduced to one
-    marked row, with the pairs and members they stand for beside it."""
+    marked row, with the pairs and members they stand for beside it; and for each class and band how many
+    signatures its links have in common, as (class, number and band)."""
     def run(batches):
         v_of = plan.value
         bands, seen = s.bands(1000), set()
-        for batch in batches:
-            sigs, classes = [], []
+        for batch in (whole.slice(k, _HELD) for whole in batches for k in range(0, whole.num_rows, _HELD)):
+            sigs, classes, needs = [], [], []
             for text in batch.column("t"):
                 found = shingle_set(text.as_py(), s.words)
                 if not len(found):
@@ -266,11 +281,14 @@ def _second_pass(docs: DataFrame, plan, s: Settings) -> DataFrame:
                 seen.add(mark)
                 while bands[-1][1] < len(found):
                     bands = s.bands(2 * bands[-1][1])
-                own = [_set_signatures(found, band, s.shape(bands[band][1])[1], v_of[band]) for band in s.meeting_bands(len(found), bands)]
-                sigs += own
-                classes.append(np.full(sum(map(len, own)), mark, np.int64))
+                for band in s.meeting_bands(len(found), bands):
+                    own, need = _set_signatures(found, band, s.shape(bands[band][1])[1], v_of[band])
+                    sigs.append(own)
+                    classes.append(np.full(len(own), mark, np.int64))
+                    needs.append((mark, need * (_BAND + 1) + band))
             if not sigs:
                 continue
+            yield from _batches(_NEED, *np.array(needs, np.int64).T.copy())
             x, y = np.concatenate(sigs), np.concatenate(classes)
             order = np.lexsort((y, x))
             x, y = x[order], y[order]
@@ -279,13 +297,13 @@ def _second_pass(docs: DataFrame, plan, s: Settings) -> DataFrame:
             large = np.repeat(size > s.small_group, size)
             first = np.zeros(len(x), bool)
             first[start] = True
-            yield _batch(_ROW, x[~large], y[~large])
+            yield from _batches(_ROW, x[~large], y[~large])
             if large.any():
-                yield _batch(_HOT_ROW, x[large & first], y[large & first])
+                yield from _batches(_HOT_ROW, x[large & first], y[large & first])
                 rest = large & ~first
                 centre = np.repeat(y[start], size)
-                yield _batch(_PAIR, *_distinct(centre[rest], y[rest]))
-                yield _batch(_GROUP, x[rest], y[rest])
+                yield from _batches(_PAIR, *_distinct(centre[rest], y[rest]))
+                yield from _batches(_GROUP, x[rest], y[rest])
 
     return docs.select("t").mapInArrow(run, "kind int, x long, y long")
 
@@ -321,7 +339,8 @@ def _closed_groups(x, y, hot, small):
 
 
 def _third_pass(rows: DataFrame, s: Settings) -> DataFrame:
-    """(kind, x, y): candidate pairs, and the members of large groups, from signatures in order.
+    """(kind, x, y): candidate pairs, and the members of large groups, from signatures in order; numbers
+    of signatures pass through.
 
     The last group of a batch waits for the next batch; once it is large only its first member does.
     """
@@ -329,7 +348,7 @@ def _third_pass(rows: DataFrame, s: Settings) -> DataFrame:
         wait = None  # x, y and mark of the group that may go on
         for batch in batches:
             kind, x, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for k in (_PAIR, _GROUP):
+            for k in (_PAIR, _GROUP, _NEED):
                 if (kind == k).any():
                     yield _batch(k, x[kind == k], y[kind == k])
             own = kind < _PAIR
@@ -423,7 +442,7 @@ def _between(docs: DataFrame, members: DataFrame, classes: DataFrame, s: Setting
     known = spark.sparkContext.broadcast(sums)  # 4 MB, whatever the input
 
     def rarest(batches):
-        for batch in batches:
+        for batch in (whole.slice(k, _HELD // 16) for whole in batches for k in range(0, whole.num_rows, _HELD // 16)):
             held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             bits = np.zeros((batch.num_rows, _PARITY), np.int64)
             for row, (t, cls) in enumerate(zip(batch.column("t"), batch.column("cls"))):
@@ -455,6 +474,22 @@ def _between(docs: DataFrame, members: DataFrame, classes: DataFrame, s: Setting
     return counted.where(F.col("w") >= F.least("need", F.lit(_COMMON))).drop("need")
 
 
+def _across(placed: DataFrame, needs: DataFrame, turns: int = 3) -> DataFrame:
+    """Members (sig, cls, component) of large groups that may have a link to another component that is no candidate.
+
+    All signatures that such a link's sets have in common belong to large groups that span components, else one of
+    them had made it a candidate: so a set that has fewer of them in a band than its links have in common there
+    has none, and leaves its groups. What it leaves behind is looked at again, a few times.
+    """
+    least = needs.select("cls", F.col("need").bitwiseAND(_BAND).alias("band"), F.floor(F.col("need") / (_BAND + 1)).alias("least"))
+    for _ in range(turns):
+        spanning = placed.groupBy("sig").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("sig")
+        placed = placed.join(spanning, "sig").withColumn("band", F.col("sig").bitwiseAND(_BAND))
+        enough = placed.groupBy("cls", "band").agg(F.count("*").alias("times")).join(least, ["cls", "band"]).where("times >= least").select("cls", "band")
+        placed = cut_lineage(placed.join(enough, ["cls", "band"], "left_semi").select("sig", "cls", "component"))
+    return placed
+
+
 def _texts(docs: DataFrame, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """docs' rows of the ids in pairs, written once; known rows are not read again."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
@@ -550,8 +585,7 @@ def similarity_components(docs: DataFrame, settings: Settings = Settings(), id:
     members = found.where(f"kind = {_GROUP}").select(F.col("x").alias("sig"), F.col("y").alias("cls")).distinct()
     placed = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "sig", "cls", F.coalesce("component", "cls").alias("component"))
-    spanning = placed.groupBy("sig").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("sig")
-    across = cut_lineage(placed.join(spanning, "sig"))
+    across = _across(placed, found.where(f"kind = {_NEED}").select(F.col("x").alias("cls"), F.col("y").alias("need")).distinct())
     if across.limit(1).count():
         more = _between(docs, across.select("cls", "component").distinct(), classes, s).join(candidates.select("cls_a", "cls_b"), ["cls_a", "cls_b"], "left_anti")
         more = _sifted(more, classes, s)

@@ -73,3 +73,40 @@ def test_parities_differ_in_no_more_bits_than_sets_in_elements():
         for gone in {0, 1, size // 3, size - 1}:
             one, other = J.parities(whole), J.parities(whole[gone:])
             assert len(one) == J._PARITY and sum(int(x).bit_count() for x in (one ^ other).view(np.uint64)) <= gone
+
+
+def test_links_share_as_many_signatures_as_asked_for():
+    rng, checked = np.random.default_rng(5), 0
+    for settings in (J.Settings(), J.Settings(words=5, percent=80)):
+        bands = settings.bands(4000)
+        for size in [7, 20, 33, 60, 150, 700, 2500] * 6:
+            one = np.unique(rng.integers(0, 2 ** 64, size, dtype=np.uint64))
+            gone = int(rng.integers(0, size * (100 - settings.percent) // 100 + 1))
+            more = rng.integers(0, 2 ** 64, int(rng.integers(0, 1 + size // 20)), dtype=np.uint64)
+            other = np.unique(np.concatenate([one[gone:], more]))
+            both = len(np.intersect1d(one, other))
+            if not gone + len(more) or 100 * both < settings.percent * (len(one) + len(other) - both):
+                continue
+            band = int(np.searchsorted([b[1] for b in bands], min(len(one), len(other))))
+            most, slack, m, start = settings.shape(bands[band][1])
+            if not most:
+                continue
+            v = J.allowances(rng.random(m), rng.random(m), most + 1 + slack, start)
+            (a, least_a), (b, least_b) = (J._set_signatures(x, band, slack, v) for x in (one, other))
+            assert len(np.intersect1d(a, b)) >= max(least_a, least_b)
+            assert set((a & J._BAND).tolist()) == {band}
+            checked += 1
+    assert checked > 30
+
+
+def test_sets_that_share_one_common_passage_are_not_compared_again(spark, monkeypatch):
+    rng, seen = random.Random(3), []
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join([f"w{rng.randrange(10 ** 6)}" for _ in range(150)] + passage) for _ in range(200)]
+    texts += copies(60, rng)
+    between = J._between
+    monkeypatch.setattr(J, "_between", lambda docs, members, *a: seen.append(members.count()) or between(docs, members, *a))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in J.similarity_components(frame, J.Settings()).collect()}
+    assert got == brute(texts, J.Settings())
+    assert sum(seen) <= 100  # 200 sets share the passage
