@@ -39,8 +39,8 @@ from .shingles import digest, mix, shingle_set
 _U = np.uint64
 #: Counters of the sketch that orders shingles, and how many are added up at a time.
 _SKETCH, _SLICE = 1 << 20, 1 << 16
-#: Shingles that a pair must have in common among its rarest ones.
-_COMMON = 1
+#: Shingles a row of the join by rarest shingles knows of those before its own.
+_BEFORE = 3
 _LOW = _U(0xFFFFFFFF)
 #: Bits that a signature leaves the task with: few enough to travel cheaply, so many that strangers seldom meet; the others name its band.
 _SENT, _BAND = _U(0xFFFFFFFFFFFF0000), 0xFFFF
@@ -406,11 +406,12 @@ def _between(docs: DataFrame, members: DataFrame, classes: DataFrame, s: Setting
     """Candidates (cls_a, cls_b, w) between components of members (cls, component), by their rarest shingles.
 
     Take the shingles of each set from the rarest among members to the most frequent: two sets of the likeness
-    asked for, with k or more in common, have k of them among the first n - ceil(n * percent / 100) + k of each,
-    whatever the order is, as long as it is the same for all. The order comes from a sketch of counts, of bounded size;
+    asked for have one in common among the first n - ceil(n * percent / 100) + 1 of each, whatever the order is, as long as it is the same for all. The order comes from a sketch of counts, of bounded size;
     a shingle that is counted once has no partner and is not sent. A common shingle counts where what lies behind it
     can still suffice, and where the parities of the two sets differ in no more bits than a link's elements may: so sets
-    that only resemble each other, however many share a shingle, are no pairs that leave the join.
+    that only resemble each other, however many share a shingle, are no pairs that leave the join. Nor is a pair that
+    meets at an earlier shingle as well: each row knows the _BEFORE shingles before its own. w grows with the likeness
+    that the parities leave possible.
     """
     spark = docs.sparkSession
     texts = cut_lineage(docs.join(members.join(classes.select("cls", "rep", "n"), "cls"), F.col("i") == F.col("rep"))
@@ -450,28 +451,39 @@ def _between(docs: DataFrame, members: DataFrame, classes: DataFrame, s: Setting
                 if digest(found) != cls.as_py():
                     continue
                 times = known.value[(found & _U(_SKETCH - 1)).astype(np.int64)]
-                first = np.lexsort((found, times))[:len(found) - -(-len(found) * s.percent // 100) + _COMMON]
+                first = np.lexsort((found, times))[:len(found) - -(-len(found) * s.percent // 100) + 1]
                 shared = np.flatnonzero(times[first] > 1)
                 bits[row] = parities(found)
                 held[0].append(found[first[shared]].view(np.int64))
                 held[1].append(shared)
                 held[2].append(np.full(len(shared), row))
             shingle, place, row = (np.concatenate(h) for h in held)
+            at, back = np.arange(len(row)), np.arange(1, _BEFORE + 1)
+            rank = at - np.searchsorted(row, row)
+            before = shingle[(at[:, None] - back)[rank[:, None] >= back]]
+            ends = np.concatenate([[0], np.cumsum(np.minimum(rank, _BEFORE))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(place), *(batch.column(c).take(pa.array(row)) for c in ("cls", "component", "n")),
-                                              *(pa.array(bits[row, k]) for k in range(_PARITY))], ["shingle", "place", "cls", "component", "n", *odd])
+                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(before)),
+                                              *(pa.array(bits[row, k]) for k in range(_PARITY))], ["shingle", "place", "cls", "component", "n", "before", *odd])
 
     kind = texts.schema["n"].dataType.simpleString()
     odd = [f"p{k}" for k in range(_PARITY)]
-    rows = cut_lineage(texts.mapInArrow(rarest, f"shingle long, place long, cls long, component long, n {kind}, " + ", ".join(f"{p} long" for p in odd)))
+    rows = cut_lineage(texts.mapInArrow(rarest, f"shingle long, place long, cls long, component long, n {kind}, before array<long>, " + ", ".join(f"{p} long" for p in odd)))
+    return _met(rows, s).groupBy("cls_a", "cls_b").agg(F.max("w").alias("w"))
+
+
+def _met(rows: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (cls_a, cls_b, w) of rows of equal shingles that can be links; seldom one more than once."""
     a, b = rows.alias("a"), rows.alias("b")
     need = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(s.percent / (100 + s.percent)) - 1e-6)
-    enough = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + (_COMMON - 1) >= need
+    enough = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= need
     alike = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * s.percent
-    turned = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in odd), F.lit(0))
+    turned = sum((F.bit_count(F.col(f"a.p{k}").bitwiseXOR(F.col(f"b.p{k}"))) for k in range(_PARITY)), F.lit(0))
     near = turned * (100 + s.percent) <= (F.col("a.n") + F.col("b.n")) * (100 - s.percent)
-    pairs = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.component") < F.col("b.component")) & alike & enough & near)
-    counted = pairs.groupBy(F.least("a.cls", "b.cls").alias("cls_a"), F.greatest("a.cls", "b.cls").alias("cls_b")).agg(F.count("*").alias("w"), F.max(need).alias("need"))
-    return counted.where(F.col("w") >= F.least("need", F.lit(_COMMON))).drop("need")
+    met = F.arrays_overlap("a.before", "b.before")
+    pairs = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.component") < F.col("b.component")) & alike & enough & near & ~met)
+    return pairs.select(F.least("a.cls", "b.cls").alias("cls_a"), F.greatest("a.cls", "b.cls").alias("cls_b"),
+                        (F.lit(1000) - F.floor(turned * 1000 / (F.col("a.n") + F.col("b.n")))).alias("w"))
 
 
 def _across(placed: DataFrame, needs: DataFrame, turns: int = 3) -> DataFrame:

@@ -110,3 +110,19 @@ def test_sets_that_share_one_common_passage_are_not_compared_again(spark, monkey
     got = {r["doc_id"]: r["component_id"] for r in J.similarity_components(frame, J.Settings()).collect()}
     assert got == brute(texts, J.Settings())
     assert sum(seen) <= 100  # 200 sets share the passage
+
+
+def test_pairs_leave_the_join_of_rarest_shingles_about_once(spark, monkeypatch):
+    rng, seen = random.Random(12), []
+    texts, met = copies(150, rng), J._met
+
+    def counted(rows, s):
+        pairs = met(rows, s)
+        seen.append((pairs.count(), pairs.select("cls_a", "cls_b").distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(J, "_met", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in J.similarity_components(frame, J.Settings()).collect()}
+    assert got == brute(texts, J.Settings())
+    assert seen and all(rows <= 1.5 * pairs for rows, pairs in seen), seen
