@@ -262,6 +262,20 @@ def _set_signatures(found: np.ndarray, band: int, slack: int, v: np.ndarray) ->
     return (np.concatenate(out) & _SENT | _U(band)).view(np.int64), max(1, slack + 1 - through_empty)
 
 
+def _regrouped(batches, rows: int):
+    """The rows of batches in batches of this many rows, the last one smaller."""
+    wait, n = [], 0
+    for batch in batches:
+        for part in (batch.slice(0, rows - n), *(batch.slice(k, rows) for k in range(rows - n, batch.num_rows, rows))):
+            wait.append(part)
+            n += part.num_rows
+            if n == rows:
+                yield pa.Table.from_batches(wait).combine_chunks().to_batches()[0]
+                wait, n = [], 0
+    if n:
+        yield pa.Table.from_batches(wait).combine_chunks().to_batches()[0]
+
+
 def _second_pass(docs: DataFrame, plan, s: Settings) -> DataFrame:
     """(kind, x, y): signatures with classes; groups that are large within a batch are reduced to one
     marked row, with the pairs and members they stand for beside it; and for each class and band how many
@@ -269,7 +283,7 @@ def _second_pass(docs: DataFrame, plan, s: Settings) -> DataFrame:
     def run(batches):
         v_of = plan.value
         bands, seen = s.bands(1000), set()
-        for batch in (whole.slice(k, _HELD) for whole in batches for k in range(0, whole.num_rows, _HELD)):
+        for batch in _regrouped(batches, _HELD):
             sigs, classes, needs = [], [], []
             for text in batch.column("t"):
                 found = shingle_set(text.as_py(), s.words)

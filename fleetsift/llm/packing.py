@@ -44,11 +44,12 @@ class Encoder:
 
     Merges never cross a pre-token, so the ids of a pre-token are looked up, and the tokenizer runs for
     those not seen before. A store that is full becomes the elder one, from which pre-tokens still in use are
-    taken over; so common ones stay, and at most twice `keep` are held. Texts with special tokens or with code points
-    the split is not spelled out for go to the tokenizer whole.
+    taken over; so common ones stay, and at most twice `keep` are held, of some 160 bytes each: a task must not take
+    more for them, as every core has a store. Texts with special tokens or with code points the split is not spelled
+    out for go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer, self.keep, self.known, self.elder = Tokenizer.from_file(path), keep, {}, {}

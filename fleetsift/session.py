@@ -15,6 +15,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bound_batches(spark: SparkSession, limit: str = "4m") -> SparkSession:
+    """Bound the Arrow batches that go to Python by bytes, unless the session does so already.
+
+    Spark counts rows alone, so 10,000 long texts are one batch, which the executor and the Python process hold
+    more than once each.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, set only where it is unset.
 
