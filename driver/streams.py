@@ -291,7 +291,7 @@ def mixed_accounting(s, d):
 def mixed_search(s, d):
     """A search for a value over rows of all feeds."""
     rows = MX.stored_log(s, _mixed(s, d))
-    return SR.search_logs(rows, 100000, value="198.51.100.8").select("event", "instance", us("timestamp").alias("at_us"), "raw")
+    return SR.search_logs(rows, None, value="198.51.100.8").select("event", "instance", us("timestamp").alias("at_us"), "raw")
 
 
 def mixed_actors(s, d):

@@ -105,3 +105,14 @@ def test_feeds_say_what_they_refuse(spark):
         (None, "a"), ("no stream", None), ("not JSON", None), ("short entry", None), ("short entry", None)]
     with pytest.raises(ValueError):
         FD.read_feed(body("a"), "other")
+
+
+def test_search_over_all_feeds_is_not_cut(spark, monkeypatch):
+    """The SQL has no limit; more than 100,000 rows match."""
+    rows = spark.range(100_003).select("id", F.timestamp_seconds(F.lit(BEGIN) + F.col("id")).alias("timestamp"), F.lit("web.access").alias("event"),
+                                       F.create_map(F.lit("peer_ip"), F.lit("198.51.100.8")).alias("kv"), F.lit("h").alias("instance"), F.lit("x").alias("raw"))
+    other = rows.withColumn("kv", F.create_map(F.lit("peer_ip"), F.lit("198.51.100.9"))).limit(7)
+    monkeypatch.setattr(DS, "_mixed", lambda s, d: d)
+    monkeypatch.setattr(DS.MX, "stored_log", lambda s, path: rows.unionByName(other))
+    got = DS.mixed_search(spark, "unused")
+    assert got.count() == 100_003 and got.agg(F.min("at_us")).first()[0] == BEGIN * 1_000_000
