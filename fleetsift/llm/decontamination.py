@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetsift.session import cut_lineage
+from fleetsift.session import bound_batches, cut_lineage
 
 from .common import arrow_schema
 from .tokens import byte_class, bytes_of, cut_words, numbered, stretches
@@ -27,6 +27,9 @@ from .tokens import byte_class, bytes_of, cut_words, numbered, stretches
 #: Words are runs of digits, letters and everything beyond ASCII.
 IN_WORD = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _PIECE = 2048
+#: A row of the index is megabytes long, and Parquet counts bytes only every hundred rows: each row is a row group of its
+#: own, so that neither the writer nor a reader, which fetches up to 4,096 rows of a group at once, holds more than one.
+_ROW_GROUPS = {"parquet.block.row.count.limit": 1}
 
 
 @dataclass(frozen=True)
@@ -49,6 +52,7 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", segment
     place; repeated rows and null ids stay; other columns are not read; an empty table gives an empty index.
     """
     kind = docs.schema[id].dataType.simpleString()
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         number = 0
@@ -66,7 +70,7 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", segment
 
     names = ["segment", "ids", "sizes", "terms", "counts", "positions"]
     return cut_lineage(docs.select(docs[id].alias("i"), docs[text].alias("t")).mapInArrow(
-        run, f"segment long, ids array<{kind}>, sizes array<int>, terms array<string>, counts array<int>, positions array<int>"))
+        run, f"segment long, ids array<{kind}>, sizes array<int>, terms array<string>, counts array<int>, positions array<int>"), **_ROW_GROUPS)
 
 
 def _row(values: pa.Array) -> pa.Array:
@@ -212,7 +216,7 @@ def search_index(index: DataFrame, items: DataFrame, search: Search = Search(),
     if search.reach < search.width - 1:
         raise ValueError("reach must cover a window")
     arrow = arrow_schema(schema)
-    context = index.sparkSession.sparkContext
+    context = bound_batches(index.sparkSession).sparkContext
     found, passes = None, 0
     for block in _blocks(_pieces(items, item, item_text, search.width), search):
         block.rank(_counts(index, block))

@@ -49,12 +49,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, **options) -> DataFrame:
     """Write df to the shared folder as Parquet and continue from the files.
 
     Later steps read only the columns they need, their size is known to the
     planner, and a lost executor costs one read instead of the steps before.
+    options are the writer's.
     """
     path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

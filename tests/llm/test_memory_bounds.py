@@ -3,10 +3,12 @@
 import sys
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from fleetsift.llm.decontamination import build_index, search_index
 from fleetsift.llm.ngram_join import _regrouped
 from fleetsift.session import bound_batches
 
@@ -60,3 +62,24 @@ def test_store_of_pre_tokens_is_bounded():
     assert most <= 2 * (500 + 500)  # a store may be overfull by what one call brings
     each = sum(sys.getsizeof(word) + sys.getsizeof(ids) for word, ids in held) / len(held) + 40
     assert 2 * Encoder(path).keep * each < 128 << 20
+
+
+def test_rows_of_the_index_are_written_and_read_one_at_a_time(spark):
+    docs = spark.range(300, numPartitions=2).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words"), "id").alias("text"))
+    index = build_index(docs, segment_bytes=60)
+    held = [meta.row_group(k).num_rows for meta in (pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()) for k in range(meta.num_row_groups)]
+    assert index.count() > 50 and set(held) == {1} and len(held) == index.count()
+
+
+def test_texts_and_rows_of_the_index_travel_in_bounded_batches(spark):
+    items = spark.createDataFrame([(1, "some words")], "item_id long, text string")
+    docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 400).alias("text"))
+    spark.conf.unset(LIMIT)
+    try:
+        index = build_index(docs)
+        assert index.agg(F.max(F.size("positions"))).first()[0] * len("word ") <= 5 << 20
+        spark.conf.unset(LIMIT)
+        assert search_index(index, items).agg(F.sum(F.size("items"))).first()[0] == 4000
+        assert largest_batch(spark) <= 5 << 20
+    finally:
+        spark.conf.unset(LIMIT)
